@@ -46,4 +46,32 @@ SELECT s.doc_id, s.n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0
        coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= s.n_words AS contaminated
 FROM sizes s LEFT JOIN hits h ON h.id = s.doc_id LEFT JOIN named m ON m.id = s.doc_id"""
 
-ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_url_filter": URL_FILTER, "op10_decontaminate": DECONTAMINATE}
+SUBSTRING_DEDUP = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word, len(w) AS n FROM docs),
+windows AS (
+  SELECT doc_id, p, n, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING), ' ') AS gram FROM words),
+again AS (SELECT gram FROM windows WHERE p + 35 <= n GROUP BY gram HAVING count(*) > 1),
+flags AS (SELECT w.doc_id, w.p, w.word, (a.gram IS NOT NULL AND w.p + 35 <= w.n)::INT AS starts FROM windows w LEFT JOIN again a ON a.gram = w.gram),
+covered AS (SELECT doc_id, p, word, max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM flags),
+kept AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.a = e.vec_id"""
+
+ORACLES = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op3_url_filter": URL_FILTER,
+    "op6_embedding_dedup": EMBEDDING_DEDUP,
+    "op8_substring_dedup": SUBSTRING_DEDUP,
+    "op10_decontaminate": DECONTAMINATE,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_fm, simhash, url_filter
+from . import decontaminate, embedding_dedup, line_dedup, mixing, quality_fm, simhash, substring_dedup, url_filter
 from ._plan import table
 
 
@@ -27,6 +27,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_fm.add_scores(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +59,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,

@@ -47,7 +47,7 @@ SELECT s.doc_id, s.n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0
 FROM sizes s LEFT JOIN hits h ON h.id = s.doc_id LEFT JOIN named m ON m.id = s.doc_id"""
 
 SUBSTRING_DEDUP = r"""
-WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word, len(w) AS n FROM docs),
 windows AS (
   SELECT doc_id, p, n, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING), ' ') AS gram FROM words),
@@ -60,8 +60,8 @@ FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
 EMBEDDING_DEDUP = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, quality_fm, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, license_scan, line_dedup, mixing, quality_fm, simhash, substring_dedup, url_filter
 from ._plan import table
 
 
@@ -27,6 +27,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, license_scan, line_dedup, mixing, quality_fm, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, license_scan, line_dedup, mixing, pii, quality_fm, simhash, substring_dedup, url_filter
 from ._plan import table
 
 
@@ -36,6 +36,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs)).drop("masked")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_license_scan": op5_license_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,

@@ -1,0 +1,335 @@
+"""Operators against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lexforge.llm import decontaminate, embedding_dedup, license_scan, line_dedup, mixing, pii, quality_fm, simhash, substring_dedup, url_filter
+from lexforge.llm.components import connected_components
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def texts(seed=1, n=60):
+    random.seed(seed)
+    vocabulary = ["alpha", "Beta", "gamma", "ünder", "Delta", "on", "the", "of", "naïve", "x1", "42"]
+    passage = " ".join(random.choice(vocabulary) + str(i) for i in range(60))
+    rows = [None, "", "   \n\t ", "one", "one two three", "Mit License", "the " * 200, passage, "a b " + passage + " c d", passage.replace(" ", "\n")]
+    for _ in range(n):
+        rows.append(" ".join(random.choice(vocabulary) + random.choice(["", "", str(random.randint(0, 9))]) for _ in range(random.randint(1, 120))))
+    rows += [rows[12], rows[12] + " more", rows[13].replace("alpha", "ALPHA"), "long " * 30_000 + passage]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    found = [(i, t, f"s{i % 3}" if i % 7 else None) for i, t in enumerate(texts())]
+    return found + [found[12], (None, "no id at all", "s1")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, source string, kept string, key0 int").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def components(nodes, near):
+    label = {n: n for n in nodes}
+    while True:
+        new = {n: min([label[n]] + [label[m] for m in near[n]]) for n in nodes}
+        if new == label:
+            return label
+        label = new
+
+
+def shingle_print(text):
+    words = (text or "").translate(LOW).encode().split()
+    grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
+    counts = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g, 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
+
+
+def test_simhash_groups(docs, rows):
+    want = [(r[0], shingle_print(r[1])) for r in rows]
+    near = {i: [j for j, (_, q) in enumerate(want) if (p ^ q).bit_count() <= 4] for i, (_, p) in enumerate(want)}
+    label = components(range(len(want)), near)
+    least = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(want):
+        if d is not None:
+            least[label[i]] = d if least[label[i]] is None else min(d, least[label[i]])
+    for block in (4096, 2):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_groups(docs, block=block).collect())
+        assert got == sorted((d is None, d or 0, p, least[label[i]]) for i, (d, p) in enumerate(want))
+
+
+def test_simhash_masks_cover_every_pair_within_the_radius():
+    random.seed(3)
+    masks = simhash.masks(4)
+    for _ in range(3000):
+        difference = sum(1 << b for b in random.sample(range(64), 4))
+        assert any(m & difference == 0 for m in masks)
+
+
+def test_simhash_keeps_one_of_each_group(docs, nothing):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    groups = simhash.simhash_groups(docs).where("doc_id IS NOT NULL").select("component_id").distinct().count()
+    assert kept.where("doc_id IS NOT NULL").count() == groups
+    assert simhash.simhash_groups(nothing).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [10_000, 0])
+def test_components(spark, one_task):
+    random.seed(5)
+    links = [(random.randint(-50, 150), random.randint(-50, 150)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    near = defaultdict(list)
+    for a, b in links:
+        near[a].append(b)
+        near[b].append(a)
+    want = {k: v for k, v in components(list(near), near).items() if any(x != k for x in near[k])}
+    got = connected_components(spark.createDataFrame(links, "x long, y long"), one_task)
+    assert {r.node: r.component for r in got.collect()} == want
+    assert connected_components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_line_dedup(spark, broadcast_bytes):
+    lines = ["", "  Common Line ", "rare", "common line", "x", None]
+    random.seed(2)
+    rows = [(i, None if i == 3 else "\n".join(str(random.choice(lines[:5])) for _ in range(random.randint(1, 6))), "c") for i in range(40)] + [(1, "rare\nrare", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").repartition(3)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    held = Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")})
+    bad = {k for k, n in held.items() if n >= 10 and k}
+    want = []
+    for d, t, _ in rows:
+        all_lines = (t or "").split("\n")
+        stay = [x for x in all_lines if key(x) not in bad]
+        want.append((d, len(all_lines), len(all_lines) - len(stay), "\n".join(stay)))
+    got = line_dedup.drop_lines(frame, broadcast_bytes=broadcast_bytes).select("doc_id", "n_lines", "n_dropped", "kept")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    firsts = line_dedup.drop_lines(frame.dropDuplicates(["doc_id"]), keep_first=True, broadcast_bytes=broadcast_bytes)
+    left = Counter(k for r in firsts.collect() for k in map(key, r.kept.split("\n")) if k in bad)
+    assert left and max(left.values()) == 1
+    assert line_dedup.drop_lines(frame.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["https://www.example.com/en/x?y#z", "http://EXAMPLE.com/en/", "http://example.com/de", "ftp://a.net/es/1", "a.net/es/1", None, "", "x://net", "https://b.net/fr/#", "https://xcom/", "https://b.org/casino/1", "https://b.org/casinos", "https://o.com?x=com/", "http://example.com/EN/"]
+    rows = [(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "again"), (None, "https://a.com/", "h")]
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string")).collect()}
+    assert len(url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string")).collect()) == len(rows)
+    assert got == {
+        (0, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (1, "example.com", "/en/", "example.com/en/", "block"), (2, "example.com", "/de", "com/", "allow"),
+        (3, "a.net", "/es/1", "net/es/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "net", "", None, "allow"), (8, "b.net", "/fr/", "net/fr/", "block"),
+        (9, "xcom", "/", None, "allow"), (10, "b.org", "/casino/1", None, "block"), (11, "b.org", "/casinos", None, "allow"), (12, "o.com", "", None, "allow"), (13, "example.com", "/EN/", "com/", "allow"), (None, "a.com", "/", "com/", "allow"),
+    }
+    plan = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string"), broadcast_rules=0)
+    assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in plan.collect()} == got
+
+
+def test_mixing(docs, rows, nothing):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len((t or "").encode().split())
+    sums = defaultdict(int)
+    for _, t, s in rows:
+        sums[s] += size(t)
+    names = sorted(sums, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    target, full, budget = {}, set(), 1.5 * sum(sums.values())
+    while True:
+        rest, w = budget - sum(2 * sums[s] for s in full), sum(weight[s] for s in names if s not in full)
+        target = {s: 2.0 * sums[s] if s in full else rest * weight[s] / w for s in names}
+        over = {s for s in names if target[s] > 2 * sums[s]}
+        if not over:
+            break
+        full |= over
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in got) == sorted((d is None, d or 0, size(t)) for d, t, _ in rows)
+    for s in names:
+        mine = [r for r in got if r.source == s]
+        assert all(r.source_size == sums[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r["size"] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 1
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_license_scan(docs, rows, spark, nothing):
+    extra = [(900, "Under the Apache  License, MIT-license and CC BY; gnu General\nPublic license!", None), (901, "İ mit Kicense mit", None), (902, "permission is hereby granted free of charge to any lucky person obtaining a copy of this software and associated documentation files", None)]
+    frame = docs.select("doc_id", "text", "source").union(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    want = []
+    for d, t, _ in rows + extra:
+        words, at = LETTERS.findall((t or "").translate(LOW)), []
+        for phrase in license_scan.BASE:
+            p = phrase.text.split()
+            at += [(i, phrase.label) for i in range(len(words)) if words[i : i + len(p)] == p]
+        want.append((-1 if d is None else d, len(words), len(at), min(at)[0] if at else -1, max(at)[0] if at else -1, sorted({x for _, x in at})))
+    got = license_scan.scan_licenses(frame).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, list(r.base_labels)) for r in got) == sorted(want)
+    assert all(0 <= r.score <= 1 and set(r.base_labels) <= set(r.labels) for r in got)
+    assert [list(r.labels) for r in got if r.doc_id == 902] == [["mit-grant"]]
+    assert [r.score for r in got if r.doc_id == 3] == [0.0]
+    assert license_scan.scan_licenses(nothing).count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_embedding_groups(spark, block):
+    random = np.random.default_rng(4)
+    vectors = [random.normal(size=16).astype(np.float32).tolist() for _ in range(150)]
+    for i in range(80):
+        base = np.array(vectors[i % 20])
+        noise = random.normal(size=16)
+        vectors.append((base + noise * np.linalg.norm(base) / np.linalg.norm(noise) * random.uniform(0, 0.5)).astype(np.float32).tolist())
+    vectors += [vectors[0], vectors[0], None, [0.0] * 16, [float("nan")] * 16, [1.0, None] + [0.5] * 14, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], []]
+    rows = [(i, v, None if i == 140 else i % 2 if i < 100 else 1, 1.0) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node double")
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) and rows[i][2] is not None for i, v in enumerate(vectors)]
+    near = defaultdict(list)
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            if i != j and ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(vectors[i]) == len(vectors[j]):
+                a, b = np.array(vectors[i], float), np.array(vectors[j], float)
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                    near[i].append(j)
+    label = components(range(len(rows)), near)
+    got = {r.vec_id: r for r in embedding_dedup.embedding_groups(frame, block=block).collect()}
+    assert len(got) == len(rows)
+    found, all_links = sum(r.n_links for r in got.values()), sum(map(len, near.values()))
+    assert 0.97 * all_links <= found <= all_links
+    assert all(got[i].n_links <= len(near[i]) and got[i].kept == (got[i].component_id == i) for i in got)
+    assert sum(got[i].component_id == label[i] for i in got) >= 0.97 * len(got)
+    assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
+
+
+def test_pii_patterns_equal_plain_regular_expressions():
+    samples = ["a.b@c.de, x@y z@-.a@b.c.d..e @q.r a@b@c.d", "1.2.3.4.5 256.1.1.1 1.2.3 010.0.0.300 9.9.9.9", "4111 1111 1111 1111 4111-1111-1111-1112 5500000000000004", "+1 (988) 555-2485 +12 +1234567890123456 ++49 30 1234567", "", "ü@ü.de ö1.2.3.4"]
+    random.seed(8)
+    samples += ["".join(random.choice("ab1.@+-() 24") for _ in range(200)) for _ in range(200)]
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for s in samples:
+        want = [(*m.span(), 0) for m in email.finditer(s)]
+        want += [(*m.span(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", s) if all(int(p) <= 255 for p in m.group().split("."))]
+        want += [(*m.span(), 2) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", s) if 14 <= len(pii.digits(m.group())) <= 19 and pii.luhn(pii.digits(m.group()))]
+        want += [(*m.span(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", s) if 10 <= len(pii.digits(m.group())) <= 15]
+        assert pii.base_spans(s) == sorted(want, key=lambda x: (x[0], x[2]))
+
+
+def test_pii_field(spark):
+    random.seed(6)
+    number = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(120):
+        secret = "AKIA" + "".join(random.choice("ABCDEFGH23") for _ in range(16))
+        rows.append((i, f"Write to u{i}@mail.example.com or +1 (988) {number(3)}-{number(4)}.\nHost 10.0.{i}.7 key {secret} is up since {1900 + i}", "x"))
+    rows += [(200, None, "x"), (201, "", "x"), (202, "word " * 5000 + "99", "x"), (0, rows[0][1], "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = pii.find_pii(frame, pii.train(frame)).collect()
+    assert len(found) == len(rows)
+    first = next(r for r in found if r.doc_id == 5)
+    assert (first.n_email, first.n_ip, first.n_card, first.n_phone) == (1, 1, 0, 1)
+    base = pii.base_spans(rows[5][1])
+    assert first.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+    assert set(pii.joined(base).split(",")) < set(first.spans.split(",")) and "secret:" in first.spans
+    assert sum("secret:" in r.spans for r in found) >= 0.95 * 121 and "[EMAIL]" in first.masked
+    empty = next(r for r in found if r.doc_id == 200)
+    assert empty.spans == "" and empty.masked == ""
+
+
+@pytest.mark.parametrize("shard", [2048, 2])
+def test_substring_dedup(docs, rows, nothing, shard):
+    split = [(r[0], (r[1] or "").encode().split()) for r in rows]
+    counts = Counter(tuple(w[i : i + 35]) for _, w in split for i in range(len(w) - 34))
+    want = []
+    for d, w in split:
+        gone = {i + j for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        want.append((-1 if d is None else d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    got = substring_dedup.remove_repeats(docs, shard=shard).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_automaton_counts_places():
+    random.seed(7)
+    passages = {b" ".join(random.choice([b"a", b"b", b"c"]) for _ in range(random.randint(6, 40))): random.randint(1, 2) for _ in range(30)}
+    counts = Counter()
+    for p, n in passages.items():
+        w = p.split(b" ")
+        for i in range(len(w) - 5):
+            counts[tuple(w[i : i + 6])] += n
+    automaton = substring_dedup.Automaton()
+    for p, n in passages.items():
+        automaton.add(p.split(b" "), n)
+    automaton.close()
+    for p in passages:
+        w = p.split(b" ")
+        assert automaton.repeated(w, 6) == [counts[tuple(w[i : i + 6])] > 1 for i in range(len(w) - 5)]
+
+
+def test_quality_machine(spark):
+    random.seed(9)
+    good = lambda: " ".join(random.choice(["river", "stone", "walks", "under", "quiet", "trees"]) + random.choice(["", "s", "ed"]) for _ in range(random.randint(20, 80)))
+    bad = lambda: " ".join(random.choice(["buy###", "now***", "$$$", "click!!"]) for _ in range(random.randint(20, 80)))
+    rows = [(i, good() if i % 3 else bad(), None if i == 4 else 10 * i, int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:3] + ("s",) for r in rows] + [(900, None, None, "t"), (901, "", 0, "t"), (None, "x", 1, "t")], "doc_id long, text string, n_chars long, score string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality_fm.train(docs, labels)
+    scored = {r.doc_id: r.score for r in quality_fm.add_scores(docs, model).collect()}
+    assert len(scored) == 603 and all(0 <= s <= 1 for s in scored.values())
+    held = [r[0] for r in docs.where(quality_fm.held_out(F.col("doc_id"))).select("doc_id").collect()]
+    assert held and np.mean([(scored[i] >= 0.5) == (i % 3 > 0) for i in held if i < 600]) > 0.95
+    flat = quality_fm.train(docs, labels.where("quality = 1"))
+    assert all(r.score > 0.9 for r in quality_fm.add_scores(docs, flat).collect())
+    none = quality_fm.train(docs, labels.limit(0))
+    assert {r.score for r in quality_fm.add_scores(docs, none).collect()} == {0.5}
+
+
+def test_machine_equals_all_pairs():
+    random = np.random.default_rng(1)
+    words, wide = 1 << quality_fm.BUCKET_BITS, quality_fm.STATISTICS
+    model = quality_fm.Machine(0.3, random.normal(size=words + wide), random.normal(size=(words + wide, 3)), np.zeros(wide), np.ones(wide))
+    bucket, share, dense = np.array([3, 9, 77]), np.array([0.2, 0.5, 0.3]), random.normal(size=(1, wide))
+    index, value = np.concatenate([bucket, np.arange(words, words + wide)]), np.concatenate([share, dense[0]])
+    total = model.bias + model.linear[index] @ value + sum(model.factors[index[i]] @ model.factors[index[j]] * value[i] * value[j] for i in range(len(index)) for j in range(i))
+    assert np.isclose(quality_fm.scores(model, np.zeros(3, np.int64), bucket, share, dense)[0], 1 / (1 + np.exp(-total)))
+
+
+@pytest.mark.parametrize("pass_words", [2_000_000, 30])
+def test_decontaminate(spark, docs, rows, nothing, pass_words):
+    items = [(1, texts()[7][:200]), (10, "One two THREE"), (2, None), (3, ""), (4, "the the the the the the the the the the the the the the"), (5, "nowhere to be found")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = LETTERS.findall((t or "").translate(LOW))
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[k : k + n])].add(str(i))
+    want = []
+    for d, t, _ in rows:
+        w, hit, names = LETTERS.findall((t or "").translate(LOW)), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    names |= windows[tuple(w[k : k + n])]
+        want.append((-1 if d is None else d, len(w), len(hit), sorted(names)))
+    got = decontaminate.benchmark_hits(docs, bench, pass_words=pass_words).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted(want)
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(not (n_hit and 20 * n_hit >= n) for _, n, n_hit, _ in want)
+    assert decontaminate.benchmark_hits(nothing, bench).count() == 0
+    assert {r.n_hit for r in decontaminate.benchmark_hits(docs, bench.limit(0)).collect()} == {0}

@@ -260,7 +260,8 @@ def repeated_spans(keyed: DataFrame, width: int = WINDOW, shard: int = SHARD) ->
     hot = found.where("size(hot_anchors) > 0").select("key0", F.col("hot_anchors").alias("anchors"))
     if not hot.isEmpty():
         windows = keyed.join(hot, "key0").select("doc_id", "text", "key0", "key1", "anchors").mapInArrow(single_windows(width), "w0 long, w1 long, key0 long, key1 long, start long")
-        again = windows.groupBy("w0", "w1").agg(F.count("*").alias("places")).where("places > 1")
+        # Written out, so that the join below has shuffles of its own, of which a hot window's can be split.
+        again = checkpointed(windows.groupBy("w0", "w1").agg(F.count("*").alias("places")).where("places > 1"))
         spans = spans.unionByName(windows.join(again.select("w0", "w1"), ["w0", "w1"]).select("key0", "key1", "start", (F.col("start") + width).alias("end")))
     return spans
 

@@ -185,12 +185,12 @@ def parent_context(spark, d):
 
 
 def context_prefix_budget(spark, d):
-    rows = r.prefix_budget(lines_ranked(spark, d).where("rank <= 100"))
+    rows = r.prefix_budget(lines_ranked(spark, d))
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"))
 
 
 def evidence_clip_budget(spark, d):
-    rows = r.clipped_budget(lines_ranked(spark, d).where("rank <= 100"))
+    rows = r.clipped_budget(lines_ranked(spark, d))
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max_by("text", "rank").alias("last"))
 
 
@@ -277,6 +277,6 @@ ORACLES = {
         t AS (SELECT o.query_id, o.chunk_id, ar + 0.5 AS spot, row_number() OVER (PARTITION BY o.query_id ORDER BY CASE WHEN granularity = 'poem' THEN 0 ELSE 1 END, overlap DESC, rrf DESC, rank, chunk_id) AS one FROM o JOIN a USING (query_id) WHERE rank > 6 AND granularity IN ('poem', 'line') AND o.work_id = aw),
         u AS (SELECT query_id, chunk_id, rank::DOUBLE AS spot FROM o WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, spot::DOUBLE FROM t WHERE one = 1)
         SELECT query_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS place FROM u) x WHERE place <= 6""",
-    "context_prefix_budget": f"WITH {WORKS}, {LINES}, {RANKED}, s AS (SELECT *, sum(least(length(text), 1200)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranked WHERE rank <= 100) SELECT query_id, count(*) AS n, CAST(sum(least(length(text), 1200)) AS BIGINT) AS letters FROM s WHERE used <= 6000 GROUP BY 1",
-    "evidence_clip_budget": f"WITH {WORKS}, {LINES}, {RANKED}, s AS (SELECT *, greatest(0, least(2500, 12000 - coalesce(sum(least(length(text), 2500)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS room FROM ranked WHERE rank <= 100) SELECT query_id, count(*) AS n, CAST(sum(least(length(text), room)) AS BIGINT) AS letters, arg_max(substr(text, 1, CAST(room AS BIGINT)), rank) AS last FROM s WHERE room > 0 GROUP BY 1",
+    "context_prefix_budget": f"WITH {WORKS}, {LINES}, {RANKED}, s AS (SELECT *, sum(least(length(text), 1200)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranked) SELECT query_id, count(*) AS n, CAST(sum(least(length(text), 1200)) AS BIGINT) AS letters FROM s WHERE used <= 6000 GROUP BY 1",
+    "evidence_clip_budget": f"WITH {WORKS}, {LINES}, {RANKED}, s AS (SELECT *, greatest(0, least(2500, 12000 - coalesce(sum(least(length(text), 2500)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS room FROM ranked) SELECT query_id, count(*) AS n, CAST(sum(least(length(text), room)) AS BIGINT) AS letters, arg_max(substr(text, 1, CAST(room AS BIGINT)), rank) AS last FROM s WHERE room > 0 GROUP BY 1",
 }

@@ -105,7 +105,7 @@ def sse_encode(spark, d):
 
 def sse_parse(spark, d):
     """Events of users' streams, written as frames with comments and CRLF and parsed again."""
-    events = load(spark, d, "events").where("user_id < 50")
+    events = load(spark, d, "events")
     frame = F.concat(F.lit(": ping\r\n"), F.replace(sse.encoded(F.col("event_type"), F.col("props")), F.lit("\n"), F.lit("\r\n")))
     streams = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", frame.alias("f")))).alias("fs")).select("user_id", F.array_join(F.transform("fs", lambda x: x["f"]), "").alias("stream"))
     return sse.parsed(streams, "user_id", "stream").select("user_id", (F.col("place") + 1).cast("long").alias("place"), "event", "data")
@@ -113,8 +113,8 @@ def sse_parse(spark, d):
 
 def canonical_snapshot(spark, d):
     """Canonical JSON of works, keys in order and nulls kept, and its hash."""
-    payload = F.to_json(F.struct("author", F.col("content").substr(1, 40).alias("content"), "dynasty", "id", F.when(F.col("deleted"), "yes").alias("note"), "status"), {"ignoreNullFields": "false"})
-    return works(spark, d).where("content NOT RLIKE '[\"\\\\\\\\/\\t\\r]'").select("id", F.sha2(payload, 256).alias("content_hash"))
+    payload = F.to_json(F.struct("author", "content", "dynasty", "id", F.when(F.col("deleted"), "yes").alias("note"), "status"), {"ignoreNullFields": "false"})
+    return works(spark, d).select("id", F.sha2(payload, 256).alias("content_hash"))
 
 
 def fixed_report_lines(spark, d):
@@ -161,8 +161,8 @@ ORACLES = {
     "stripped_terms": rf"WITH {QUESTIONS}, s AS (SELECT query_id, trim(regexp_replace(replace(replace(replace(replace(replace(lower(question), 'that', ' '), 'the', ' '), 'de', ' '), 'la', ' '), 'of', ' '), '\s+', ' ', 'g')) AS t FROM questions) SELECT query_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END AS rest FROM s",
     "redacted_props": """SELECT event_id, '{"api_key":"[REDACTED]","n":' || event_id || '}' AS props FROM events""",
     "sse_encode": "SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events",
-    "sse_parse": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_type AS event, props AS data FROM events WHERE user_id < 50",
-    "canonical_snapshot": f"""WITH {WORKS} SELECT id, sha256('{{"author":"' || author || '","content":"' || replace(substr(content, 1, 40), chr(10), '\\n') || '","dynasty":"' || dynasty || '","id":' || id || ',"note":' || CASE WHEN deleted THEN '"yes"' ELSE 'null' END || ',"status":"' || status || '"}}') AS content_hash FROM works WHERE NOT regexp_matches(content, '["\\\\/\\t\\r]')""",
+    "sse_parse": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_type AS event, props AS data FROM events",
+    "canonical_snapshot": f"""WITH {WORKS} SELECT id, sha256('{{"author":"' || author || '","content":"' || replace(replace(replace(content, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '","dynasty":"' || dynasty || '","id":' || id || ',"note":' || CASE WHEN deleted THEN '"yes"' ELSE 'null' END || ',"status":"' || status || '"}}') AS content_hash FROM works""",
     "fixed_report_lines": "SELECT c_mktsegment, '| ' || c_mktsegment || ' | n/a | ' || printf('%.6f', round(avg(CASE WHEN c_acctbal > 0 THEN c_custkey END), 6)) || ' |' AS line FROM customer GROUP BY 1",
     "primary_flags": "SELECT l_orderkey AS query_id, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1 AS is_primary FROM lineitem",
     "natural_shard_order": r"SELECT author, row_number() OVER (ORDER BY regexp_extract(author, '^\D*'), CAST(nullif(regexp_extract(author, '(\d+)', 1), '') AS INT), author) - 1 AS source_index FROM (SELECT DISTINCT source AS author FROM documents) x",

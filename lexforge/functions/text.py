@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 STRONG, WEAK = "。！？!?；;", "，,、"
@@ -26,12 +27,12 @@ def content_key(text: str | None) -> str:
     return _GAPS.sub("", unicodedata.normalize("NFKC", text or "").casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_lookup_full(text: pd.Series) -> pd.Series:
     return text.map(lookup_key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_content_full(text: pd.Series) -> pd.Series:
     return text.map(content_key, na_action="ignore")
 
@@ -156,7 +157,7 @@ def clamped(score: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redacted(text: pd.Series) -> pd.Series:
     """JSON with the values of keys that name a secret replaced, at any depth; other text is left as it is."""
     import json

@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from .license_scan import BASE, GRAM, NEAR, NOTICES, VERIFIED
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -68,7 +70,33 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
 FROM embeddings e JOIN least m ON m.a = e.vec_id"""
 
+
+
+def license_scan(templates=BASE + NOTICES) -> str:
+    """Votes of template grams on diagonals, merged over NEAR diagonals and verified by their share."""
+    shapes, grams = [], []
+    for i, t in enumerate(templates):
+        words = t.text.split()
+        count = len(words) - GRAM + 1
+        shapes.append(f"({i}, '{t.label}', {count}, {str(t.exact).lower()})")
+        grams += [f"('{' '.join(words[j : j + GRAM])}', {i}, {j})" for j in range(count)]
+    return rf"""
+WITH grams(gram, template, place) AS (VALUES {", ".join(grams)}), shapes(template, label, grams, exact) AS (VALUES {", ".join(shapes)}),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM docs),
+pairs AS (SELECT doc_id, p, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY p) AS gram FROM words),
+votes AS (SELECT doc_id, template, p - place AS start, count(*) AS votes FROM pairs JOIN grams USING (gram) GROUP BY 1, 2, 3),
+merged AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, template ORDER BY start RANGE BETWEEN CURRENT ROW AND {NEAR} FOLLOWING) AS merged FROM votes),
+spans AS (SELECT doc_id, start, label, exact AND votes = grams AS whole, least(1.0::DOUBLE, merged::DOUBLE / grams) AS share, NOT exact AND least(1.0::DOUBLE, merged::DOUBLE / grams) >= {VERIFIED}::DOUBLE AS verified FROM merged JOIN shapes USING (template)),
+found AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word, max(share) AS share,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR verified) AS labels FROM spans GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id"""
+
+
 ORACLES = {
+    "op5_license_scan": license_scan(),
     "op2_line_dedup": LINE_DEDUP,
     "op3_url_filter": URL_FILTER,
     "op6_embedding_dedup": EMBEDDING_DEDUP,

@@ -24,6 +24,8 @@ WINDOW, GRAM = 35, 8
 MOST_WINDOWS = 64
 #: Passages of a shard that is made into one automaton; windows of commoner anchors are counted one by one.
 SHARD = 2048
+#: Parts that the rows of one hot window are dealt out to.
+SALTS = 32
 OTHER_BASE = 0xD6E8FEB86659FD93
 
 
@@ -261,7 +263,10 @@ def repeated_spans(keyed: DataFrame, width: int = WINDOW, shard: int = SHARD) ->
     if not hot.isEmpty():
         windows = keyed.join(hot, "key0").select("doc_id", "text", "key0", "key1", "anchors").mapInArrow(single_windows(width), "w0 long, w1 long, key0 long, key1 long, start long")
         again = windows.groupBy("w0", "w1").agg(F.count("*").alias("places")).where("places > 1")
-        spans = spans.unionByName(windows.join(again.select("w0", "w1"), ["w0", "w1"]).select("key0", "key1", "start", (F.col("start") + width).alias("end")))
+        # One window may hold a large share of the rows, so both sides are dealt out over SALTS parts of each window.
+        again = again.select("w0", "w1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        windows = windows.withColumn("salt", F.pmod(F.xxhash64("key0", "key1", "start"), F.lit(SALTS)).cast("int"))
+        spans = spans.unionByName(windows.join(again, ["w0", "w1", "salt"]).select("key0", "key1", "start", (F.col("start") + width).alias("end")))
     return spans
 
 

@@ -51,7 +51,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     upto = F.regexp_extract(rest, r"^[^?#]*", 0)
     host = F.translate(F.regexp_extract(upto, "^[^/]*", 0), UPPER, LOWER)
-    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(upto, "^[^/]*(.*)$", 1), F.lit(""))
+    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(upto, "(?s)^[^/]*(.*)$", 1), F.lit(""))
 
 
 def rule_index(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import small_batches
+from ._plan import hash_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens of a segment, characters of a token that may be part of one, documents to learn from, and rounds.
-MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 5, 120, 1500, 4, 0.2
-#: Islands that the sample may hold; those of the documents with the least hash come first.
+MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 5, 120, 12_000, 4, 0.2
+#: Islands that the field learns from, of the sampled texts in random order.
 SAMPLE_ISLANDS = 3000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -249,18 +249,17 @@ def marked(text: str) -> set[tuple[int, int, int]]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 9) -> Field:
-    """A field learned from the texts with a digit or @ of the sample_docs least hashes of doc_id and text."""
+    """A field learned from the texts with a digit or @ among about sample_docs documents, chosen by the hash of doc_id and text."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    texts = [r.text for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
-    field, examples = Field(), []
-    for text in texts:
+    chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text", seed=seed)
+    texts = sorted(r.text for r in chosen.where(F.col("text").rlike("[0-9@]")).collect())
+    field, examples, order = Field(), [], np.random.default_rng(seed)
+    for text in (texts[i] for i in order.permutation(len(texts))):
         gold = marked(text)
         for tokens in islands(text):
             if len(examples) < SAMPLE_ISLANDS:
                 low, high = tokens[0][0], tokens[-1][1]
                 examples.append((text[low:high], [(s - low, e - low) for s, e in tokens], {(s - low, e - low, k) for s, e, k in gold if low <= s and e <= high}))
-    order = np.random.default_rng(seed)
     for epoch in range(EPOCHS):
         for i in order.permutation(len(examples)):
             field.learn(*examples[i], RATE / (1 + epoch))

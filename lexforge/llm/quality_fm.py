@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import small_batches
+from ._plan import hash_sample, small_batches
 from ._text import Roller, find_words, lower_table, space_table, text_chunks
 
-#: Labelled rows to learn from: those with the least hash of doc_id.
+#: Labelled rows to learn from, about: those whose hash of doc_id is under their share.
 SAMPLE_ROWS = 6000
 BUCKET_BITS, FACTORS = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-5
@@ -127,14 +127,14 @@ def dense_columns(batch: pa.RecordBatch, first: int, rows: int, statistics: np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_chars",), sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Machine:
-    """Fit a machine on at most sample_rows labelled rows outside the held-out third.
+    """Fit a machine on about sample_rows labelled rows (twice at most) outside the held-out third.
 
-    labels needs doc_id and quality (null rows are skipped). The sample is that with the least hashes
-    of doc_id, so reruns agree; documents of a doc_id that several rows share all count.
+    labels needs doc_id and quality (null rows are skipped). The sample is chosen by the hash of
+    doc_id, so reruns agree; documents of a doc_id that several rows share all count.
     """
     small_batches(docs.sparkSession)
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    chosen = usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(sample_rows)
+    chosen = hash_sample(usable, sample_rows, "doc_id", seed=seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()

@@ -236,3 +236,20 @@ def test_sources(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["| a | 0.500000 |", "| b | n/a |"]
     stream = spark.createDataFrame([(1, ": c\r\nevent: a\r\ndata: 1\r\ndata: 2\r\n\r\ndata: x\n\n")], "k long, s string")
     assert [(r.event, r.data) for r in sse.parsed(stream, "k", "s").orderBy("place").collect()] == [("a", "1\n2"), ("message", "x")]
+
+
+def test_stack(spark):
+    from lexforge.plans import stack
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (6, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "明月", [0.0, 1.0])], "query_id long, question string, embedding array<float>")
+    variants = spark.createDataFrame([(1, 0, "明月", 3.0, [0.0, 1.0]), (1, 1, "登高", 1.5, [0.0, 1.0])], "query_id long, ord int, question string, weight double, embedding array<float>")
+    got = {s: [r.chunk_id for r in stack.search(chunks(spark), queries, s, 3, vectors, variants).orderBy("rank").collect()] for s in stack.STRATEGIES}
+    assert got["lexical"] == [2, 1] and got["dense"] == [6, 1] and got["expanded_lexical"][0] == 2 and set(got["expanded_lexical"]) == {1, 2, 6}
+    assert set(got["hybrid"]) == {1, 2, 6} and len(got["expanded_hybrid"]) == 3
+    assert {r.strategy for r in stack.search(chunks(spark), queries, "hybrid", 3).collect()} == {"lexical"}
+    with pytest.raises(ValueError):
+        stack.search(chunks(spark), queries, "other", 3)
+    results = stack.search(chunks(spark), queries, "lexical", 1).withColumn("work_id", F.lit(10).cast("long"))
+    rows = stack.with_context(results, chunks(spark).withColumn("chunk_index", F.col("chunk_id"))).orderBy("rank").collect()
+    assert [(r.chunk_id, list(r.match_types)) for r in rows] == [(2, ["chunk_exact"]), (1, ["parent_context"])]

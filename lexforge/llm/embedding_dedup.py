@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import checkpointed
+from ._plan import checkpointed, hash_sample
 from .components import connected_components
 
 COSINE = 0.93
-#: Vectors that the coarse centroids and code books are fitted on: those with the least hash.
+#: Vectors that the coarse centroids and code books are fitted on: about so many, by hash.
 SAMPLE_ROWS = 12_000
 MOST_LISTS, SUBSPACE, CODE_WORDS, STEPS = 1024, 4, 16, 8
 #: A list is asked if the plane half-way to its centroid lies within so many deviations of a random step of the link radius.
@@ -215,7 +215,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, block: int = BL
     classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("own").alias("node"), F.count("*").alias("copies"))
     classes = checkpointed(classes)
     total = classes.count()
-    sample = classes.select("embedding", F.size("embedding").alias("dim")).orderBy(F.xxhash64(F.lit(seed), "embedding"), "embedding").limit(sample_rows).collect()
+    sample = classes.select("embedding", F.size("embedding").alias("dim")).transform(lambda df: hash_sample(df, sample_rows, "embedding", seed=seed)).collect()
+    sample.sort(key=lambda r: (r.dim, r.embedding))
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r.dim, []).append(r.embedding)

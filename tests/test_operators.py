@@ -253,3 +253,18 @@ def test_stack(spark):
     results = stack.search(chunks(spark), queries, "lexical", 1).withColumn("work_id", F.lit(10).cast("long"))
     rows = stack.with_context(results, chunks(spark).withColumn("chunk_index", F.col("chunk_id"))).orderBy("rank").collect()
     assert [(r.chunk_id, list(r.match_types)) for r in rows] == [(2, ["chunk_exact"]), (1, ["parent_context"])]
+
+
+def test_vector_store(spark, tmp_path):
+    from lexforge.sources import vector_store as vs
+
+    path = str(tmp_path / "points")
+    rows = lambda *r: spark.createDataFrame([(i, v, {"k": i}) for i, v in r], "id string, vector array<float>, payload map<string,string>")
+    assert vs.points(spark, path).count() == 0
+    vs.upsert(rows(("a", [1.0, 2.0]), ("b", [3.0, 4.0])), path, 2, 1)
+    vs.upsert(rows(("a", [5.0, 6.0])), path, 2, 2)
+    vs.delete(spark.createDataFrame([("b",)], "id string"), path, 3)
+    vs.upsert(rows(), path, 2, 4)
+    assert [(r.id, r.vector) for r in vs.points(spark, path).collect()] == [("a", [5.0, 6.0])]
+    with pytest.raises(ValueError):
+        vs.upsert(rows(("c", [1.0])), path, 2, 5)

@@ -16,6 +16,7 @@ from ..sources.tables import top
 RRF = 60
 BEST_OF_TWO = 2 / (RRF + 1)
 GRANULARITIES = {"line": 0, "poem": 1, "note": 2}
+NAMES = ("title", "author", "dynasty")
 #: Queries (and bytes of their vectors) that are broadcast; more are joined by grams of their keys, or by blocks.
 BROADCAST_QUERIES = 5000
 GRAM = 8
@@ -46,12 +47,19 @@ def query_keys(queries: DataFrame, column: str = "question") -> DataFrame:
 def containing(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column, most: int = BROADCAST_QUERIES) -> DataFrame:
     """Pairs of rows and queries that meet condition.
 
-    Few queries are broadcast and compared with every row. Beyond that, rows and queries meet in the first
-    gram of the query's key, which a row that contains the key holds as well; queries shorter than a gram
-    are still broadcast, and their number is bounded by the letters there are.
+    Few queries are broadcast and compared with every row; more meet the rows in grams.
     """
     if queries.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(queries), condition)
+    return by_grams(rows, queries, key, query_key, condition)
+
+
+def by_grams(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column) -> DataFrame:
+    """Pairs that meet condition, which has to hold only where the row's key contains the query's.
+
+    Rows and queries meet in the first gram of the query's key, which a row that contains the key holds as
+    well; queries shorter than a gram are still broadcast, and their number is bounded by the letters there are.
+    """
     size = F.length(F.col(query_key))
     short, long = queries.where(size < GRAM), queries.where(size >= GRAM).withColumn("__gram", F.substring(query_key, 1, GRAM))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - (GRAM - 1))), lambda i: F.substring(F.col(key), i, F.lit(GRAM))))
@@ -59,14 +67,38 @@ def containing(rows: DataFrame, queries: DataFrame, key: str, query_key: str, co
     return met.unionByName(rows.join(F.broadcast(short), condition))
 
 
-def lexical_columns() -> tuple[Column, Column, Column, Column]:
-    """(match, priority, score, match types) of a row with content, title, author and dynasty keys and a query's keys."""
+def lexical_pairs(rows: DataFrame, queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
+    """Pairs of rows and queries that match by content, title, author or dynasty, each once.
+
+    Beyond most queries, content keys meet in grams, and so do lookup keys with the distinct names, which
+    are then joined with their rows. A pair comes by its content or else by the first name that matches.
+    """
+    match, phrase, part = lexical_match()
+    if queries.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(queries), match)
+    phrase = F.coalesce(phrase, F.lit(False))
+    by_content = by_grams(rows, queries.where("q_content <> ''"), "content_key", "q_content", phrase)
+    named = rows.select("*", F.posexplode(F.array(*(f"{n}_key" for n in NAMES))).alias("__place", "__name")).where("__name <> ''")
+    names = by_grams(named.select("__name").distinct(), queries.where("q_lookup <> ''"), "__name", "q_lookup", F.contains("__name", F.col("q_lookup")))
+    first = F.when(part[0], 0).when(part[1], 1).when(part[2], 2)
+    by_name = named.join(names, "__name").where(~phrase & (first == F.col("__place"))).drop("__place", "__name")
+    return by_content.unionByName(by_name)
+
+
+def lexical_match() -> tuple[Column, Column, list[Column]]:
+    """(match, match by content, matches by each name) of a row's keys and a query's."""
+    q, lookup = F.col("q_content"), F.col("q_lookup")
+    phrase = (q != "") & F.contains("content_key", q)
+    part = [(lookup != "") & F.contains(F.coalesce(F.col(f"{n}_key"), F.lit("")), lookup) for n in NAMES]
+    return phrase | part[0] | part[1] | part[2], phrase, part
+
+
+def lexical_columns() -> tuple[Column, Column, Column]:
+    """(priority, score, match types) of a row with content, title, author and dynasty keys and a query's keys."""
     c, q, lookup = F.col("content_key"), F.col("q_content"), F.col("q_lookup")
-    own, meta = q != "", lookup != ""
-    names = [F.coalesce(F.col(f"{n}_key"), F.lit("")) for n in ("title", "author", "dynasty")]
-    equal, part = [meta & (n == lookup) for n in names], [meta & F.contains(n, lookup) for n in names]
-    exact, phrase = own & (c == q), own & F.contains(c, q)
-    match = phrase | part[0] | part[1] | part[2]
+    _, phrase, part = lexical_match()
+    equal = [(lookup != "") & (F.coalesce(F.col(f"{n}_key"), F.lit("")) == lookup) for n in NAMES]
+    exact = (q != "") & (c == q)
     priority = F.when(exact, 0)
     for i, cond in enumerate([*equal, *part, phrase], 1):
         priority = priority.when(cond, i)
@@ -75,8 +107,8 @@ def lexical_columns() -> tuple[Column, Column, Column, Column]:
     for e, p, (high, low) in zip(equal, part, ((1.0, 0.8), (0.95, 0.6), (0.9, 0.55))):
         scores.append(F.when(e, high).when(p, low).otherwise(zero))
     score = F.round(F.least(F.lit(1.0), F.greatest(*scores)), 6)
-    types = F.array_compact(F.array(F.when(exact, "chunk_exact").when(phrase, "chunk_phrase"), *(F.when(p, f"{n}_phrase") for p, n in zip(part, ("title", "author", "dynasty")))))
-    return match, priority.otherwise(99), score, types
+    types = F.array_compact(F.array(F.when(exact, "chunk_exact").when(phrase, "chunk_phrase"), *(F.when(p, f"{n}_phrase") for p, n in zip(part, NAMES))))
+    return priority.otherwise(99), score, types
 
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -88,8 +120,8 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     rows = rows.repartition(spread) if spread else rows
-    match, priority, score, types = lexical_columns()
-    pairs = containing(rows, queries.select("query_id", "q_content", "q_lookup"), "content_key", "q_content", match, most)
+    priority, score, types = lexical_columns()
+    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup"), most)
     cut = top(pairs.withColumn("priority", priority), candidate_limit(k), F.asc("priority"), F.asc("chunk_id"), name="cut")
     scored = cut.withColumns({"score": score, "match_types": types}).where("score > 0").withColumn("candidate_count", F.count("*").over(Window.partitionBy("query_id")))
     return top(scored, k, F.desc("score"), granularity_order("granularity"), F.asc("chunk_id")).drop("priority", "cut", "q_content", "q_lookup")

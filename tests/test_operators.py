@@ -24,6 +24,21 @@ def test_lexical_search(spark, most):
     assert [(f[2], f[3]) for f in found if f[0] == 5] == [(2, 0.95), (3, 0.95), (1, 0.95)]
 
 
+@pytest.mark.parametrize("most", [5000, 0])
+def test_lexical_search_finds_long_names_on_both_sides_of_the_limit(spark, most):
+    names = [("a long summer night", "somebody else", "tang dynasty"), ("a long summer", "a long summer", None), ("night", None, "the long winter"), (None, "!!!!????....", "x")]
+    rows = [(10 * w + i, w, "line", text, *names[w]) for w in range(4) for i, text in enumerate(["nothing of it", "A long summer night!", None])]
+    frame = spark.createDataFrame(rows + rows[:1], "chunk_id long, work_id long, granularity string, text string, title string, author string, dynasty string")
+    frame = frame.withColumn("content_key", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).withColumns({f"{c}_key": F.lower(F.trim(c)) for c in ("title", "author", "dynasty")})
+    asked = ["a long summer night", "a long summer", "somebody else", "the long winter", "!!!!????", "summer", "absent altogether"]
+    queries = retrieval.query_keys(spark.createDataFrame(list(enumerate(asked)), "query_id long, question string"))
+    found = retrieval.lexical_search(frame, queries, 20, most=most).collect()
+    key = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    want = [(q, r[0]) for q, a in enumerate(asked) for r in rows + rows[:1] if key(a) and key(a) in key(r[3]) or any(a in (n or "") for n in r[4:])]
+    assert sorted((r.query_id, r.chunk_id) for r in found) == sorted(want)
+    assert {(r.chunk_id, r.score) for r in found if r.query_id == 0} >= {(0, 1.0), (2, 1.0)} and all(r.candidate_count == sum(q == r.query_id for q, _ in want) for r in found)
+
+
 def test_containing_by_grams_equals_nested_loop(spark):
     random.seed(2)
     rows = spark.createDataFrame([(i, "".join(random.choice("ab") for _ in range(40))) for i in range(60)], "i int, k string")

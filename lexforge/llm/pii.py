@@ -9,6 +9,7 @@ them to spellings that no pattern has.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from ._plan import hash_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Tokens of a segment, characters of a token that may be part of one, documents to learn from, and rounds.
+#: Tokens of a segment, characters of a token that is not split at punctuation, documents to learn from, and rounds.
 MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 5, 120, 12_000, 4, 0.2
 #: Islands that the field learns from, of the sampled texts in random order.
 SAMPLE_ISLANDS = 3000
+#: Tokens of a piece of an island to learn from.
+PIECE = 40
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,6 +38,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Only for learning: shapes of secrets.
 SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s?=\s?\"?[0-9A-Za-z]{8,64}\"?)")
 HINT = re.compile(r"[0-9@]")
+#: What else an island starts at, and the words, lower-cased, of which such a place holds one.
+KEYWORD = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?\S?|AKIA[0-9A-Z]{16}")
+WORDS = ("password", "passwd", "secret", "token", "api", "akia")
+UNSPACED, PART = re.compile(r"\S+"), re.compile(r"[A-Za-z0-9._%+@=-]+")
 
 
 def digits(text: str) -> str:
@@ -91,43 +98,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(((s, e, k) for k, find in enumerate((emails, addresses, cards, phones)) for s, e in find(text)), key=lambda x: (x[0], x[2]))
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The tokens of a run without white space: the run itself, or what punctuation leaves of a long one."""
+    return [(start, end)] if end - start <= MOST_LETTERS else [m.span() for m in PART.finditer(text, start, end)]
+
+
+def hints(text: str) -> Iterator[tuple[int, int]]:
+    """Places of digits, @ and secret keywords (these up to the first character of their value), by start."""
+    low, found = text.lower(), (m.span() for m in HINT.finditer(text))
+    return heapq.merge(found, (m.span() for m in KEYWORD.finditer(text))) if any(w in low for w in WORDS) else found
+
+
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens (start, end) around tokens with a digit or @: these with up to two tokens beside them."""
-    done, hits = 0, []
-    for m in HINT.finditer(text):
-        if m.start() < done:
+    """Whole runs of neighbouring tokens (start, end) with a hint, and up to two tokens of the same line before each; no two share a token."""
+    done, run = 0, []
+    for start, high in hints(text):
+        if high <= done:
             continue
-        start = end = m.start()
-        while start > 0 and not text[start - 1].isspace():
+        start = max(start, done)
+        while start > done and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
-        hits.append((start, end))
-    group: list[tuple[int, int]] = []
-    for start, end in hits:
-        if group and start - group[-1][1] > 1:
-            yield widened(text, group)
-            group = []
-        group.append((start, end))
-        if len(group) >= 40:
-            yield widened(text, group)
-            group = []
-    if group:
-        yield widened(text, group)
-
-
-def widened(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """tokens after up to two tokens of the same line."""
-    for _ in range(2):
-        end = tokens[0][0] - 1
-        if end <= 0 or text[end] != " ":
-            break
-        start = max(text.rfind(" ", 0, end), text.rfind("\n", 0, end)) + 1
-        if start >= end or end - start > MOST_LETTERS:
+        while high < len(text) and not text[high].isspace():
+            high += 1
+        found = [x for m in UNSPACED.finditer(text, start, high) for x in parts(text, *m.span())]
+        if not (run and found and start - run[-1][1] <= 1):
+            found = widened(text, start, done) + found
+        done = high
+        for token in found:
+            gap = text[run[-1][1] : token[0]] if run and token[0] - run[-1][1] <= 3 else None
+            if gap is None or len(gap) > 1 and any(c.isspace() for c in gap):
+                if run:
+                    yield run
+                run = []
+            run.append(token)
+    if run:
+        yield run
+
+
+def widened(text: str, start: int, free: int) -> list[tuple[int, int]]:
+    """Up to two tokens of the same line before start, none of them before free."""
+    tokens: list[tuple[int, int]] = []
+    while len(tokens) < 2 and start - 1 > free and text[start - 1] == " ":
+        end = start = start - 1
+        while start > free and not text[start - 1].isspace():
+            start -= 1
+        if start == end:
             break
-        tokens = [(start, end), *tokens]
-    return tokens
+        tokens = parts(text, start, end) + tokens
+    return tokens[-2:]
+
+
+def pieces(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Islands to learn from: long ones in pieces, each after the last tokens of the one before."""
+    for tokens in islands(text):
+        for i in range(0, len(tokens), PIECE):
+            yield tokens[max(0, i - MOST_TOKENS + 1) : i + PIECE]
 
 
 def bounds(text: str, start: int, end: int) -> tuple[int, int]:
@@ -172,18 +197,19 @@ class Field:
     def __init__(self, weights: dict[str, np.ndarray] | None = None):
         self.weights = weights or {}
 
+    def ending(self, text: str, tokens: list[tuple[int, int]], j: int) -> Iterator[tuple[int, int, int, int, list[str]]]:
+        """(first token, last token, start, end, features) of the candidates of an island that end with token j."""
+        first = j
+        while first > max(0, j - MOST_TOKENS + 1) and "\n" not in text[tokens[first - 1][0] : tokens[first][0]]:
+            first -= 1
+        for i in range(first, j + 1):
+            start, end = bounds(text, tokens[i][0], tokens[j][1])
+            if end - start >= 5:
+                yield i, j, start, end, segment_features(text[start:end], j - i + 1, text[slice(*tokens[i - 1])] if i else "")
+
     def segments(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
-        """(first token, last token, start, end, features) of the candidates of an island."""
-        out = []
-        for i in range(len(tokens)):
-            before = text[slice(*tokens[i - 1])] if i else ""
-            for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-                if tokens[j][1] - tokens[j][0] > MOST_LETTERS or "\n" in text[tokens[i][0] : tokens[j][1]]:
-                    break
-                start, end = bounds(text, tokens[i][0], tokens[j][1])
-                if end - start >= 5:
-                    out.append((i, j, start, end, segment_features(text[start:end], j - i + 1, before)))
-        return out
+        """All candidates of an island by first and last token."""
+        return sorted((s for j in range(len(tokens)) for s in self.ending(text, tokens, j)), key=lambda s: s[:2])
 
     def score(self, features: list[str]) -> np.ndarray:
         total = np.zeros(len(KINDS))
@@ -196,23 +222,20 @@ class Field:
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(start, end, kind) of the best segmentation."""
         top, back = [0.0] + [0.0] * len(tokens), [None] * (len(tokens) + 1)
-        ends: dict[int, list] = {}
-        for seg in self.segments(text, tokens):
-            ends.setdefault(seg[1], []).append((seg, self.score(seg[4])))
         for j in range(len(tokens)):
             top[j + 1] = top[j]
-            for seg, score in ends.get(j, ()):
+            for i, _, start, end, features in self.ending(text, tokens, j):
+                score = self.score(features)
                 k = int(score.argmax())
-                if top[seg[0]] + score[k] > top[j + 1]:
-                    top[j + 1], back[j + 1] = top[seg[0]] + score[k], (seg, k)
+                if top[i] + score[k] > top[j + 1]:
+                    top[j + 1], back[j + 1] = top[i] + score[k], (i, start, end, k)
         out, j = [], len(tokens)
         while j:
             if back[j] is None:
                 j -= 1
             else:
-                seg, k = back[j]
-                out.append((seg[2], seg[3], k))
-                j = seg[0]
+                j, *found = back[j]
+                out.append(tuple(found))
         return out[::-1]
 
     def learn(self, text: str, tokens: list[tuple[int, int]], gold: set[tuple[int, int, int]], rate: float) -> None:
@@ -252,11 +275,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 9) -> Fie
     """A field learned from the texts with a digit or @ among about sample_docs documents, chosen by the hash of doc_id and text."""
     small_batches(docs.sparkSession)
     chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text", seed=seed)
-    texts = sorted(r.text for r in chosen.where(F.col("text").rlike("[0-9@]")).collect())
+    texts = sorted(r.text for r in chosen.where(F.col("text").rlike("(?i)[0-9@]|password|passwd|secret|token|api[_-]?key|akia")).collect())
     field, examples, order = Field(), [], np.random.default_rng(seed)
     for text in (texts[i] for i in order.permutation(len(texts))):
         gold = marked(text)
-        for tokens in islands(text):
+        for tokens in pieces(text):
             if len(examples) < SAMPLE_ISLANDS:
                 low, high = tokens[0][0], tokens[-1][1]
                 examples.append((text[low:high], [(s - low, e - low) for s, e in tokens], {(s - low, e - low, k) for s, e, k in gold if low <= s and e <= high}))
@@ -273,12 +296,11 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
     starts = np.array([s for s, _ in taken])
     reach = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else starts
     more = []
-    if HINT.search(text):
-        for tokens in islands(text):
-            for s, e, k in field.best(text, tokens):
-                at = int(np.searchsorted(starts, e))
-                if not at or reach[at - 1] <= s:
-                    more.append((s, e, k))
+    for tokens in islands(text):
+        for s, e, k in field.best(text, tokens):
+            at = int(np.searchsorted(starts, e))
+            if not at or reach[at - 1] <= s:
+                more.append((s, e, k))
     return base, sorted({*base, *more}, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -24,7 +24,7 @@ from ._plan import hash_sample, small_batches
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens of a segment, characters of a token that is not split at punctuation, documents to learn from, and rounds.
 MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 5, 120, 12_000, 4, 0.2
-#: Islands that the field learns from, of the sampled texts in random order.
+#: Pieces of islands that the field learns from, taken in turns from all sampled texts.
 SAMPLE_ISLANDS = 3000
 #: Tokens of a piece of an island to learn from.
 PIECE = 40
@@ -271,18 +271,28 @@ def marked(text: str) -> set[tuple[int, int, int]]:
     return set(base_spans(text)) | {(*bounds(text, *m.span()), len(KINDS) - 1) for m in SECRET.finditer(text)}
 
 
+def sampled_islands(texts: list[str], most: int, order: np.random.Generator) -> list[tuple[str, list[tuple[int, int]], set[tuple[int, int, int]]]]:
+    """(text, tokens, marks) of at most most pieces of islands: of every text a random one, then of every text another, and so on."""
+
+    def turns() -> Iterator[tuple]:
+        for text in texts:
+            found, gold = list(pieces(text)), marked(text)
+            for turn, i in enumerate(order.permutation(len(found))[:most]):
+                yield turn, order.random(), text, found[i], gold
+
+    return [x[2:] for x in heapq.nsmallest(most, turns(), key=lambda x: x[:2])]
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 9) -> Field:
     """A field learned from the texts with a digit or @ among about sample_docs documents, chosen by the hash of doc_id and text."""
     small_batches(docs.sparkSession)
     chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text", seed=seed)
     texts = sorted(r.text for r in chosen.where(F.col("text").rlike("(?i)[0-9@]|password|passwd|secret|token|api[_-]?key|akia")).collect())
-    field, examples, order = Field(), [], np.random.default_rng(seed)
-    for text in (texts[i] for i in order.permutation(len(texts))):
-        gold = marked(text)
-        for tokens in pieces(text):
-            if len(examples) < SAMPLE_ISLANDS:
-                low, high = tokens[0][0], tokens[-1][1]
-                examples.append((text[low:high], [(s - low, e - low) for s, e in tokens], {(s - low, e - low, k) for s, e, k in gold if low <= s and e <= high}))
+    field, order = Field(), np.random.default_rng(seed)
+    examples = []
+    for text, tokens, gold in sampled_islands(texts, SAMPLE_ISLANDS, order):
+        low, high = tokens[0][0], tokens[-1][1]
+        examples.append((text[low:high], [(s - low, e - low) for s, e in tokens], {(s - low, e - low, k) for s, e, k in gold if low <= s and e <= high}))
     for epoch in range(EPOCHS):
         for i in order.permutation(len(examples)):
             field.learn(*examples[i], RATE / (1 + epoch))

@@ -268,6 +268,16 @@ def test_pii_field(spark):
     assert empty.spans == "" and empty.masked == ""
 
 
+def test_pii_learns_from_every_sampled_document(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(pii, "SAMPLE_ISLANDS", 40)
+    monkeypatch.setattr(pii.Field, "learn", lambda self, text, *_: learned.append(text))
+    rows = [(i, f"number doc{i} and more words than two\n" * (100 if i < 5 else 1)) for i in range(35)]
+    pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [re.search("doc[0-9]+", t).group() for t in learned]
+    assert len(found) == 40 * pii.EPOCHS and set(found) == {f"doc{i}" for i in range(35)} and max(Counter(found).values()) <= 2 * pii.EPOCHS
+
+
 @pytest.mark.parametrize("shard", [2048, 2])
 def test_substring_dedup(docs, rows, nothing, shard):
     split = [(r[0], (r[1] or "").encode().split()) for r in rows]

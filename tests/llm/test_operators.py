@@ -93,6 +93,16 @@ def test_simhash_keeps_one_of_each_group(docs, nothing):
     assert simhash.simhash_groups(nothing).count() == 0
 
 
+def test_simhash_judges_texts_of_one_doc_id_by_their_own_groups(spark):
+    random.seed(12)
+    a, b, c = (" ".join("".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (1, b, "y"), (2, a, "x"), (3, b, "x"), (3, c, "x"), (None, a, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(tuple, simhash.keep_one(frame.repartition(n)).where("doc_id IS NOT NULL").collect())) for n in (1, 3, 7)]
+    assert [r[:2] for r in kept[0]] == sorted([(1, a), (1, b), (3, c)]) and kept[0] == kept[1] == kept[2]
+    assert simhash.keep_one(frame).where("doc_id IS NULL").count() == 1
+
+
 @pytest.mark.parametrize("one_task", [10_000, 0])
 def test_components(spark, one_task):
     random.seed(5)

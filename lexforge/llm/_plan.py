@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder named in spark.checkpoint.dir and read from there.
 
-    Only where that setting is missing, as in local tests, a temporary folder is used.
+    Where that setting is missing, a local master, as in tests, gets a temporary folder; a cluster has to
+    name a folder that all machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexforge-checkpoint-"))
     return df.checkpoint()
 
 
@@ -37,11 +41,13 @@ def small_batches(spark: SparkSession) -> None:
 def hash_sample(df: DataFrame, rows: int, *columns: str, seed: int = 1) -> DataFrame:
     """About rows of df's rows, all of them if there are no more: those whose hash of the columns is under their share.
 
-    A threshold needs no sort: what reaches the driver doesn't grow with the number of partitions, as the
-    parts of a top-k do. Reruns agree. Twice rows is the most that comes, where equal rows share a hash.
+    A threshold needs no sort of df: what reaches the driver doesn't grow with the number of partitions, as the
+    parts of a top-k do. Rows that repeat share a hash, so that more may come; of more than twice rows the
+    least by hash and columns stay, and reruns agree on them.
     """
     total = df.count()
     if total <= rows:
         return df
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)
-    return df.where(unit < int(rows / total * (1 << 53))).limit(2 * rows)
+    under = df.where(unit < int(rows / total * (1 << 53)))
+    return under if under.limit(2 * rows + 1).count() <= 2 * rows else under.orderBy(unit, *columns).limit(2 * rows)

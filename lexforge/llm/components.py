@@ -17,10 +17,12 @@ from ._plan import checkpointed
 
 #: Links that one task may join up directly (16 bytes each); beyond it star rounds run.
 ONE_TASK_LINKS = 400_000
+#: Nodes that a task holds before it hands its stars on and starts anew.
+HELD_NODES = 1_000_000
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task as (node, smallest node of its group)."""
+    """The links of a task as (node, smallest node of its group); a task of many nodes gives such stars of several parts of its links."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -31,15 +33,21 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def given() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if parent[x] != x]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if parent[x] != x]
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        if len(parent) > HELD_NODES:
+            yield from given()
+            parent.clear()
+    yield from given()
 
 
 def large_star(links: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def connected_components(links: DataFrame, one_task: int = ONE_TASK_LINKS, round
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     links = checkpointed(links.mapInArrow(stars, "a long, b long"))
-    if links.count() <= one_task:
+    if links.count() <= min(one_task, HELD_NODES // 2):
         links = checkpointed(links.coalesce(1).mapInArrow(stars, "a long, b long"))
     else:
         seen = None

@@ -35,6 +35,10 @@ class Machine:
     mean: np.ndarray
     deviation: np.ndarray
 
+    def plain(self) -> tuple:
+        """Numbers and arrays only, for a broadcast that workers can read without this package."""
+        return self.bias, self.linear, self.factors, self.mean, self.deviation
+
 
 def features(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk of texts: (document, bucket, share of its words) of the hashed words, and a row of STATISTICS for each document."""
@@ -129,8 +133,9 @@ def dense_columns(batch: pa.RecordBatch, first: int, rows: int, statistics: np.n
 def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_chars",), sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Machine:
     """Fit a machine on about sample_rows labelled rows (twice at most) outside the held-out third.
 
-    labels needs doc_id and quality (null rows are skipped). The sample is chosen by the hash of
-    doc_id, so reruns agree; documents of a doc_id that several rows share all count.
+    labels needs doc_id and quality (null rows are skipped; a doc_id with both labels counts with each).
+    The sample is chosen by the hash of doc_id, so reruns agree; of several rows of one doc_id the one of
+    the least content hash is learned from. Without documents or labels every score is 0.5.
     """
     small_batches(docs.sparkSession)
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
@@ -149,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_ch
                 )
 
     meta = [F.col(c).cast("double") for c in metadata]
-    rows = docs.select("doc_id", "text", *meta).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", *(f"{c}" for c in metadata))
+    rows = docs.select("doc_id", "text", *meta).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text", *metadata).alias("h"), "text", *metadata)).alias("s"))
+    rows = one.select("doc_id", "s.text", "quality", *(f"s.{c}" for c in metadata))
     sample = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, buckets array<int>, shares array<float>, rest array<double>").toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     column = {c: sample.column(c).combine_chunks() for c in ("buckets", "shares", "rest")} if sample.num_rows else {}
@@ -164,16 +171,16 @@ def add_scores(docs: DataFrame, model: Machine, metadata: tuple[str, ...] = ("n_
     texts get a score like others.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     @F.arrow_udf("double")
     def score(text: pa.Array, *rest: pa.Array) -> pa.Array:
-        roller, out = Roller(), []
+        roller, out, known = Roller(), [], Machine(*shared.value)
         batch = pa.RecordBatch.from_arrays([text, *rest], [str(i) for i in range(1 + len(rest))])
         for first, data, offsets in text_chunks(text):
             owner, bucket, share, rows = features(data, offsets, roller)
             dense = dense_columns(batch, first, len(rows), rows, list(range(1, 1 + len(rest))))
-            out.append(scores(shared.value, owner, bucket, share, shared.value.mean + shared.value.deviation * np.clip((dense - shared.value.mean) / shared.value.deviation, -5, 5)))
+            out.append(scores(known, owner, bucket, share, known.mean + known.deviation * np.clip((dense - known.mean) / known.deviation, -5, 5)))
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(name, score("text", *(F.col(c).cast("double") for c in metadata)))

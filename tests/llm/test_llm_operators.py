@@ -196,8 +196,8 @@ def test_license_scan(docs, rows, spark, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_embedding_groups(spark, block):
+@pytest.mark.parametrize("block, list_rows", [(2048, 50_000), (3, 50_000), (2048, 2)])
+def test_embedding_groups(spark, block, list_rows):
     random = np.random.default_rng(4)
     vectors = [random.normal(size=16).astype(np.float32).tolist() for _ in range(150)]
     for i in range(80):
@@ -218,13 +218,18 @@ def test_embedding_groups(spark, block):
     label = components(range(len(rows)), near)
     got = {r.vec_id: r for r in embedding_dedup.embedding_groups(frame, block=block).collect()}
     assert len(got) == len(rows)
-    found, all_links = sum(r.n_links for r in got.values()), sum(map(len, near.values()))
-    assert 0.97 * all_links <= found <= all_links
-    assert all(got[i].n_links <= len(near[i]) and got[i].kept == (got[i].component_id == i) for i in got)
-    assert sum(got[i].component_id == label[i] for i in got) >= 0.97 * len(got)
+    assert all((r.n_links, r.component_id, r.kept) == (len(near[i]), label[i], label[i] == i) for i, r in got.items())
     assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_embedding_groups_of_repeated_and_missing_ids(spark):
+    groups = lambda rows: sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    x, y, near = [1.0, 0.0], [0.0, 1.0], [1.0, 0.05]
+    assert groups([(1, x, 1), (5, x, 1), (5, y, 1), (7, y, 1)]) == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 1, False), (7, 1, 1, False)]
+    assert groups([(1, x, 1), (1, y, 1), (2, near, 1)]) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    assert groups([(None, x, 1), (3, near, 1), (None, y, 1), (None, None, 1), (3, None, 1), (3, y, None)]) == [(0, 0, None, True), (0, 0, None, True), (0, 1, 3, False), (3, 0, 3, True), (3, 0, 3, True), (3, 1, 3, True)]
+
+
 def test_pii_patterns_equal_plain_regular_expressions():
     samples = ["a.b@c.de, x@y z@-.a@b.c.d..e @q.r a@b@c.d", "1.2.3.4.5 256.1.1.1 1.2.3 010.0.0.300 9.9.9.9", "4111 1111 1111 1111 4111-1111-1111-1112 5500000000000004", "+1 (988) 555-2485 +12 +1234567890123456 ++49 30 1234567", "", "ü@ü.de ö1.2.3.4"]
     random.seed(8)

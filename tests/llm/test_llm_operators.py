@@ -351,29 +351,47 @@ def test_machine_equals_all_pairs():
     assert np.isclose(quality_fm.scores(model, np.zeros(3, np.int64), bucket, share, dense)[0], 1 / (1 + np.exp(-total)))
 
 
+def test_decontaminate_tells_words_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate.Roller, "words", lambda self, words: (words.ends - words.starts).astype(np.uint64))
+    text = [b"aa bbb", b"cc bbb aa bbb", b"cc ddd"]
+    tests = decontaminate.prepare([("x", "aa bbb")], 13)
+    offsets = np.cumsum([0, *map(len, text)])
+    found = list(decontaminate.matches(tests, np.frombuffer(b"".join(text), np.uint8), offsets, decontaminate.Roller()))
+    assert [x[2:] for x in found] == [([0], 2, 0), ([0], 2, 2), ([], 0, None)]
+
+
 @pytest.mark.parametrize("pass_words", [2_000_000, 30])
 def test_decontaminate(spark, docs, rows, nothing, pass_words):
-    items = [(1, texts()[7][:200]), (10, "One two THREE"), (2, None), (3, ""), (4, "the the the the the the the the the the the the the the"), (5, "nowhere to be found")]
+    items = [(1, texts()[7][:200]), (10, "One two THREE"), (2, None), (3, ""), (4, "the the the the the the the the the the the the the the"), (5, "nowhere to be found"), (6, "the"), (None, "Mit license"), (7, texts()[7][100:400] + " the the"), (8, "the " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = defaultdict(set)
-    for i, t in items:
-        w = LETTERS.findall((t or "").translate(LOW))
+    spelled = [LETTERS.findall((t or "").translate(LOW)) for _, t in items]
+    for (i, _), w in zip(items, spelled):
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if w else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])] |= {str(i)} if i is not None else set()
+    parts = {tuple(w[a:b]) for w in spelled for a in range(len(w)) for b in range(a + 13, len(w) + 1)}
+    most = max(map(len, parts))
     want = []
     for d, t, _ in rows:
-        w, hit, names = LETTERS.findall((t or "").translate(LOW)), set(), set()
+        w, hit, names, longest = LETTERS.findall((t or "").translate(LOW)), set(), set(), (0, None)
         for n in {len(k) for k in windows}:
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in windows:
                     hit.update(range(k, k + n))
                     names |= windows[tuple(w[k : k + n])]
-        want.append((-1 if d is None else d, len(w), len(hit), sorted(names)))
+                    longest = (n, k) if n > longest[0] else longest
+        for k in range(len(w)):
+            n = 13
+            while n <= most and k + n <= len(w) and tuple(w[k : k + n]) in parts:
+                longest = (n, k) if n > longest[0] else longest
+                n += 1
+        want.append((-1 if d is None else d, len(w), len(hit), sorted(names), *longest))
+    assert max(x[4] for x in want) > 30
     got = decontaminate.benchmark_hits(docs, bench, pass_words=pass_words).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted(want)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.longest, -1 if r.longest_start is None else r.longest_start) for r in got) == sorted((*x[:5], -1 if x[5] is None else x[5]) for x in want)
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(not (n_hit and 20 * n_hit >= n) for _, n, n_hit, _ in want)
+    assert kept.count() == sum(not (x[2] and 20 * x[2] >= x[1]) for x in want)
     assert decontaminate.benchmark_hits(nothing, bench).count() == 0
     assert {r.n_hit for r in decontaminate.benchmark_hits(docs, bench.limit(0)).collect()} == {0}

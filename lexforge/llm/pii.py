@@ -2,8 +2,9 @@
 
 The field scores whole candidate segments of up to MOST_TOKENS tokens by features of the segment, and
 a dynamic programme over the tokens chooses boundaries and kinds together. It learns from a bounded
-sample of documents in which the patterns mark the segments, so it takes over their shapes and applies
-them to spellings that no pattern has.
+sample of documents in which the patterns mark the segments. Each marked piece is also learned from with
+a segment respelled in ways that no pattern takes, and with something harmless (a date, a version, an
+amount) in its place, so that the field goes beyond the patterns that teach it.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._plan import hash_sample, small_batches
 
+Example = tuple[str, list[tuple[int, int]], set[tuple[int, int, int]]]
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens of a segment, characters of a token that is not split at punctuation, documents to learn from, and rounds.
-MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 5, 120, 12_000, 4, 0.2
+MOST_TOKENS, MOST_LETTERS, SAMPLE_DOCS, EPOCHS, RATE = 7, 120, 12_000, 4, 0.2
 #: Pieces of islands that the field learns from, taken in turns from all sampled texts.
 SAMPLE_ISLANDS = 3000
 #: Tokens of a piece of an island to learn from.
@@ -37,7 +40,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Only for learning: shapes of secrets.
 SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s?=\s?\"?[0-9A-Za-z]{8,64}\"?)")
-HINT = re.compile(r"[0-9@]")
+#: An @ and a spelled-out one take the next token with them.
+HINT = re.compile(r"[0-9]|(?:@|[(\[{<]\x20?(?:at|AT|dot|DOT)\x20?[)\]}>])(?:\x20\S)?")
 #: What else an island starts at, and the words, lower-cased, of which such a place holds one.
 KEYWORD = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?\S?|AKIA[0-9A-Z]{16}")
 WORDS = ("password", "passwd", "secret", "token", "api", "akia")
@@ -156,25 +160,33 @@ def pieces(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def bounds(text: str, start: int, end: int) -> tuple[int, int]:
-    """A segment without quotes, brackets and stops at its ends."""
-    while start < end and text[start] in "\"'([{<":
+    """A segment without punctuation at its ends, but for a plus before it."""
+    while start < end and not (text[start].isalnum() or text[start] == "+"):
         start += 1
-    while end > start and text[end - 1] in ".,;:!?\"')]}>":
+    while end > start and not text[end - 1].isalnum():
         end -= 1
     return start, end
 
 
+NUMBERS, MARKS, VALUE = re.compile("[0-9]+"), re.compile("[A-Za-z0-9]+"), re.compile("[A-Za-z0-9+/_-]+")
+SAID = re.compile(r"(?i)[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]")
+NAMED = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|credential")
+#: Brackets and quotes of all kinds are one to the features.
+ALIKE = str.maketrans("[{<]}>'`", '((()))""')
 SHAPES = ((re.compile("[A-Z]+"), "A"), (re.compile("[a-z]+"), "a"), (re.compile("[0-9]+"), "9"), (re.compile(r"\s+"), " "))
 
 
 def segment_features(piece: str, tokens: int, before: str) -> list[str]:
     """Features of a whole segment."""
     number = digits(piece)
+    piece = piece.translate(ALIKE)
     shape = piece
     for pattern, name in SHAPES:
         shape = pattern.sub(name, shape)
     n = len(number)
-    found = ["bias", f"tokens{tokens}", f"shape{shape[:24]}", f"digits{min(n, 20)}", f"length{min(12, len(piece) // 4)}", f"first{piece[:1] if not piece[:1].isalnum() else 'x'}", f"dots{min(4, piece.count('.'))}", f"before{before[-12:].lower()}"]
+    groups = "-".join(str(min(5, len(g))) for g in NUMBERS.findall(piece)[:6])
+    marks = "".join(sorted(set(MARKS.sub("", piece))))[:6]
+    found = ["bias", f"groups{groups}", f"marks{marks}", f"digits{min(n, 20)}marks{marks}", f"tokens{tokens}", f"shape{shape[:24]}", f"digits{min(n, 20)}", f"length{min(12, len(piece) // 4)}", f"first{piece[:1] if not piece[:1].isalnum() else 'x'}", f"dots{min(4, piece.count('.'))}", f"before{before[-12:].lower()}"]
     if "@" in piece:
         found.append("at")
     if piece.startswith("+"):
@@ -185,9 +197,17 @@ def segment_features(piece: str, tokens: int, before: str) -> list[str]:
         found.append("equals")
     if n and re.fullmatch(r"[0-9a-f]{12,}|[0-9A-Z]{16,}", piece.rpartition("=")[2].strip(" \"")):
         found.append("key")
-    if not n and "@" not in piece:
+    if not n and "@" not in piece and not SAID.search(piece):
         found.append("plain")
     found.append(f"density{int(5 * n / max(1, len(piece)))}")
+    if SAID.search(piece):
+        found += [f"said{min(3, len(SAID.findall(piece)))}", f"said:tokens{tokens}"]
+    named = NAMED.search(piece)
+    if named:
+        value = max(len(x) for x in VALUE.findall(piece[named.end() :]) or [""])
+        found += ["named", f"named:at{min(2, named.start())}", f"named:value{min(8, value // 4)}", f"named:digits{n > 0}:tokens{tokens}"]
+    long = max(map(len, VALUE.findall(piece)), default=0)
+    found.append(f"long{min(8, long // 6)}:{n > 2}")
     return found
 
 
@@ -238,32 +258,51 @@ class Field:
                 out.append(tuple(found))
         return out[::-1]
 
-    def learn(self, text: str, tokens: list[tuple[int, int]], gold: set[tuple[int, int, int]], rate: float) -> None:
-        """One step up the log-likelihood of the marked segmentation, by forward and backward sums over all segmentations."""
-        segments = self.segments(text, tokens)
-        scores = [self.score(s[4]) for s in segments]
-        n = len(tokens)
-        ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-        merged = [float(np.logaddexp.reduce(s)) for s in scores]
-        by_end: dict[int, list[int]] = {}
-        by_start: dict[int, list[int]] = {}
-        for x, s in enumerate(segments):
-            by_end.setdefault(s[1], []).append(x)
-            by_start.setdefault(s[0], []).append(x)
-        for j in range(n):
-            ahead[j + 1] = float(np.logaddexp.reduce([ahead[j], *(ahead[segments[x][0]] + merged[x] for x in by_end.get(j, ()))]))
-        for i in range(n - 1, -1, -1):
-            behind[i] = float(np.logaddexp.reduce([behind[i + 1], *(behind[segments[x][1] + 1] + merged[x] for x in by_start.get(i, ()))]))
-        for s, score in zip(segments, scores):
-            expected = np.exp(np.minimum(0, ahead[s[0]] + score + behind[s[1] + 1] - ahead[n]))
-            step = -expected
-            for k in range(len(KINDS)):
-                if (s[2], s[3], k) in gold:
-                    step[k] += 1
-            if np.abs(step).max() > 1e-4:
-                for f in s[4]:
-                    self.weights.setdefault(f, np.zeros(len(KINDS)))
-                    self.weights[f] += rate * step
+    def learn(self, examples: list[Example], epochs: int, rate: float, order: np.random.Generator) -> None:
+        """Climb the log-likelihood of the marked segmentations, one example (text, tokens, marks) after another, by forward and backward sums over all segmentations."""
+        names: dict[str, int] = {}
+        ready = []
+        for text, tokens, gold in examples:
+            segments = self.segments(text, tokens)
+            if segments:
+                ids = np.array([names.setdefault(f, len(names)) for s in segments for f in s[4]])
+                sizes = np.array([len(s[4]) for s in segments])
+                marks = np.array([[(s[2], s[3], k) in gold for k in range(len(KINDS))] for s in segments], float)
+                ready.append((len(tokens), [s[0] for s in segments], [s[1] for s in segments], ids, sizes, np.cumsum(sizes) - sizes, marks))
+        weights = np.zeros((len(names), len(KINDS)))
+        for f, w in self.weights.items():
+            if f in names:
+                weights[names[f]] = w
+        for epoch in range(epochs):
+            for x in order.permutation(len(ready)):
+                n, first, last, ids, sizes, begin, marks = ready[x]
+                scores = np.add.reduceat(weights[ids], begin, axis=0)
+                step = marks - expected(n, first, last, scores)
+                np.add.at(weights, ids, rate / (1 + epoch) * np.repeat(step, sizes, axis=0))
+        self.weights.update({f: weights[i] for f, i in names.items()})
+
+
+def expected(n: int, first: list[int], last: list[int], scores: np.ndarray) -> np.ndarray:
+    """The probability of every segment (its first and last of n tokens) with each kind, over all segmentations."""
+    top = scores.max(axis=1)
+    merged = (top + np.log(np.exp(scores - top[:, None]).sum(axis=1))).tolist()
+    by_end: list[list[int]] = [[] for _ in range(n)]
+    by_start: list[list[int]] = [[] for _ in range(n)]
+    for x, (i, j) in enumerate(zip(first, last)):
+        by_end[j].append(x)
+        by_start[i].append(x)
+    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+    for j in range(n):
+        ahead[j + 1] = summed([ahead[j], *(ahead[first[x]] + merged[x] for x in by_end[j])])
+    for i in range(n - 1, -1, -1):
+        behind[i] = summed([behind[i + 1], *(behind[last[x] + 1] + merged[x] for x in by_start[i])])
+    around = np.array([ahead[i] + behind[j + 1] - ahead[n] for i, j in zip(first, last)])
+    return np.exp(np.minimum(0, scores + around[:, None]))
+
+
+def summed(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs))
 
 
 def marked(text: str) -> set[tuple[int, int, int]]:
@@ -271,31 +310,89 @@ def marked(text: str) -> set[tuple[int, int, int]]:
     return set(base_spans(text)) | {(*bounds(text, *m.span()), len(KINDS) - 1) for m in SECRET.finditer(text)}
 
 
-def sampled_islands(texts: list[str], most: int, order: np.random.Generator) -> list[tuple[str, list[tuple[int, int]], set[tuple[int, int, int]]]]:
-    """(text, tokens, marks) of at most most pieces of islands: of every text a random one, then of every text another, and so on."""
+def respelled(piece: str, kind: int, random: np.random.Generator) -> str:
+    """A span of a kind in a spelling that the patterns don't take."""
+    pick = lambda *x: x[int(random.integers(len(x)))]
+    if kind == 0:
+        local, _, domain = piece.partition("@")
+        at = pick(" (at) ", " [at] ", "(at)", " @ ", "[at]", " {at} ")
+        return local + at + domain.replace(".", pick(".", ".", " (dot) ", "[dot]", " [dot] "))
+    if kind == 1:
+        return piece.replace(".", pick(" . ", "[.]", "(.)", "-", " [dot] ", "[dot]"))
+    number = digits(piece)
+    if kind == 2:
+        return pick(".", "/", "_", "  ", ".", " - ").join(number[i : i + 4] for i in range(0, len(number), 4))
+    if kind == 3:
+        number = number[-10:] if pick(True, True, False) else number
+        head, a, b = number[:-7], number[-7:-4], number[-4:]
+        mark = pick(" ", "-", ".", "/")
+        return pick(f"({head}) {a}{mark}{b}", f"{head}{mark}{a}{mark}{b}", f"00{head}{mark}{a}{mark}{b}", f"tel:{head}{mark}{a}{mark}{b}", f"{head}{mark}{a}{b}")
+    value = max(VALUE.findall(piece), key=len)
+    if pick(True, False):
+        letters = pick("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+        value = "".join(letters[i] for i in random.integers(len(letters), size=int(random.integers(8, 41))))
+    quote = pick("", "", '"', "'")
+    return pick("pwd", "auth_token", "client_secret", "private_key", "api key", "bearer", "access-key", "passphrase", "credential") + pick(": ", " : ", "=", " => ", ":", " is ", " ") + quote + value + quote
+
+
+def harmless(random: np.random.Generator) -> str:
+    """A date, time, version, amount, range or another number that is nobody's."""
+    n = lambda low, high: int(random.integers(low, high))
+    return (
+        f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 32):02}", f"{n(1, 32)}.{n(1, 13)}.{n(1900, 2100)}", f"{n(0, 24):02}:{n(0, 60):02}:{n(0, 60):02}", f"v{n(0, 20)}.{n(0, 30)}.{n(0, 99)}", f"{n(1, 999)},{n(0, 999):03}.{n(0, 99):02}",
+        f"{n(1, 900)}-{n(1, 900)}", f"{n(0, 100)} % of {n(0, 10**6)}", f"{n(0, 10**9)}", f"{n(1900, 2100)} and {n(1900, 2100)}", f"{n(1, 99)} x {n(1, 99)} x {n(1, 99)}", f"chapter {n(1, 99)}.{n(1, 99)}", f"the key {n(1, 99)} to room {n(1, 999)}", f"{n(1, 9)} 000 {n(100, 999)}", f"@ {n(1, 99)} each",
+    )[n(0, 14)]
+
+
+def taught(text: str, tokens: list[tuple[int, int]], gold: set[tuple[int, int, int]], random: np.random.Generator) -> Iterator[Example]:
+    """The examples of a piece: itself and, if something is marked, it with one mark respelled twice, and with something harmless instead."""
+    yield text, tokens, gold
+    if not gold:
+        return
+    s, e, k = sorted(gold)[int(random.integers(len(gold)))]
+    for new, kind in ((respelled(text[s:e], k, random), k), (respelled(text[s:e], k, random), k), (harmless(random), None)):
+        changed, step = text[:s] + new + text[e:], len(new) - (e - s)
+        marks = {(a + step * (a >= e), b + step * (a >= e), c) for a, b, c in gold if b <= s or a >= e}
+        if kind is not None:
+            marks.add((*bounds(changed, s, s + len(new)), kind))
+        for found in islands(changed):
+            low, high = found[0][0], found[-1][1]
+            yield changed[low:high], [(a - low, b - low) for a, b in found], {(a - low, b - low, c) for a, b, c in marks if low <= a and b <= high}
+
+
+def sample_pieces(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """(turn, draw, text, tokens, gold) of pieces of islands of docs' texts, cut on the executors; turn counts a text's pieces in random order."""
 
-    def turns() -> Iterator[tuple]:
-        for text in texts:
-            found, gold = list(pieces(text)), marked(text)
-            for turn, i in enumerate(order.permutation(len(found))[:most]):
-                yield turn, order.random(), text, found[i], gold
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                text = value.as_py()
+                order = np.random.default_rng([seed, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))])
+                found, gold = list(pieces(text)), marked(text)
+                rows = []
+                for turn, i in enumerate(order.permutation(len(found))[:most]):
+                    low, high = found[i][0][0], found[i][-1][1]
+                    tokens = [x - low for t in found[i] for x in t]
+                    rows.append((turn, float(order.random()), text[low:high], tokens, [x for s, e, k in sorted(gold) if low <= s and e <= high for x in (s - low, e - low, k)]))
+                kinds = (pa.int32(), pa.float64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["turn", "draw", "text", "tokens", "gold"])
 
-    return [x[2:] for x in heapq.nsmallest(most, turns(), key=lambda x: x[:2])]
+    return docs.select("text").mapInArrow(run, "turn int, draw double, text string, tokens array<int>, gold array<int>")
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 9) -> Field:
-    """A field learned from the texts with a digit or @ among about sample_docs documents, chosen by the hash of doc_id and text."""
+    """A field learned from about sample_docs documents, chosen by the hash of doc_id and text.
+
+    Of their islands at most SAMPLE_ISLANDS pieces of some tokens reach the driver: of every text a random
+    one, then of every text another, and so on.
+    """
     small_batches(docs.sparkSession)
-    chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text", seed=seed)
-    texts = sorted(r.text for r in chosen.where(F.col("text").rlike("(?i)[0-9@]|password|passwd|secret|token|api[_-]?key|akia")).collect())
+    chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text", seed=seed).where(F.col("text").rlike(r"(?i)[0-9@]|password|passwd|secret|token|api[_-]?key|akia|[(\[{<] ?(?:at|dot) ?[)\]}>]"))
+    rows = sample_pieces(chosen, SAMPLE_ISLANDS, seed).orderBy("turn", "draw", "text").limit(SAMPLE_ISLANDS).collect()
     field, order = Field(), np.random.default_rng(seed)
-    examples = []
-    for text, tokens, gold in sampled_islands(texts, SAMPLE_ISLANDS, order):
-        low, high = tokens[0][0], tokens[-1][1]
-        examples.append((text[low:high], [(s - low, e - low) for s, e in tokens], {(s - low, e - low, k) for s, e, k in gold if low <= s and e <= high}))
-    for epoch in range(EPOCHS):
-        for i in order.permutation(len(examples)):
-            field.learn(*examples[i], RATE / (1 + epoch))
+    pairs = lambda x, n: [tuple(x[i : i + n]) for i in range(0, len(x), n)]
+    examples = [x for r in rows for x in taught(r.text, pairs(r.tokens, 2), set(pairs(r.gold, 3)), order)]
+    field.learn(examples, EPOCHS, RATE, order)
     return field
 
 
@@ -323,9 +420,11 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
 
     docs needs doc_id and text; other columns are unread. Returns one row per input row: doc_id, n_email,
     n_ip, n_card, n_phone (pattern matches), base_sha256 (of these as kind:start:end, comma-joined), spans
-    (these and the field's, as the same kind of string) and masked (the text with [KIND] for each span that
-    no earlier one overlaps). Offsets are code points. A null or empty text has no spans; rows that repeat
-    are alike.
+    (these and the field's, as the same kind of string), n_spans (their number) and masked (the text with
+    [KIND] for each span that no earlier one overlaps). Offsets are code points. A null or empty text has no
+    spans; rows that repeat are alike; an empty table gives none. Of segmentations with equal scores the
+    one is taken that leaves the last token outside or, else, has the longest last segment; of equal kinds
+    the first.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field.weights)
@@ -334,13 +433,14 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Field(shared.value)
         for batch in batches:
-            counts, digests, spans, masks = [], [], [], []
+            counts, digests, spans, sizes, masks = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base, found = all_spans(text, model)
                 counts.append([sum(1 for b in base if b[2] == k) for k in range(4)])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(found))
+                sizes.append(len(found))
                 out, at = [], 0
                 for s, e, k in found:
                     if s >= at:
@@ -348,6 +448,6 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
                         at = e
                 masks.append("".join([*out, text[at:]]))
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(masks, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(sizes, pa.int64()), pa.array(masks, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "masked"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, masked string")

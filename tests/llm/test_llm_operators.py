@@ -246,7 +246,7 @@ def test_pii_patterns_equal_plain_regular_expressions():
 def test_pii_field_takes_whole_runs_long_tokens_and_keywords():
     weight = lambda **w: pii.Field({f: np.array([0, 0, 0, 0, x]) for f, x in w.items()})
     spans = lambda text, field: [text[s:e] for s, e, _ in pii.all_spans(text, field)[1]]
-    assert spans("ab " + " ".join(["11"] * 100), weight(digits10=1.0)) == ["11 11 11 11 11"] * 20
+    assert spans("ab " + " ".join(["11"] * 100), weight(digits10=1.0, tokens5=0.1)) == ["11 11 11 11 11"] * 20
     crossing = " ".join(["x7"] * 38 + ["12", "34", "56", "78", "90"] + ["x7"] * 30)
     assert spans(crossing, weight(digits10=1.0, tokens5=0.1, **{"firstx": 0.0, "shape9 9 9 9 9": 5.0}))[7] == "12 34 56 78 90"
     field = weight(key=1.0, tokens1=0.1)
@@ -286,11 +286,78 @@ def test_pii_field(spark):
 def test_pii_learns_from_every_sampled_document(spark, monkeypatch):
     learned = []
     monkeypatch.setattr(pii, "SAMPLE_ISLANDS", 40)
-    monkeypatch.setattr(pii.Field, "learn", lambda self, text, *_: learned.append(text))
+    monkeypatch.setattr(pii.Field, "learn", lambda self, examples, *_: learned.extend(x[0] for x in examples))
     rows = [(i, f"number doc{i} and more words than two\n" * (100 if i < 5 else 1)) for i in range(35)]
     pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
     found = [re.search("doc[0-9]+", t).group() for t in learned]
-    assert len(found) == 40 * pii.EPOCHS and set(found) == {f"doc{i}" for i in range(35)} and max(Counter(found).values()) <= 2 * pii.EPOCHS
+    assert len(found) == 40 and set(found) == {f"doc{i}" for i in range(35)} and max(Counter(found).values()) <= 2
+
+
+def segmentations(segments, n, at=0):
+    """All ways to choose segments (first, last, ..) that don't overlap, each with a kind."""
+    if at >= n:
+        yield []
+        return
+    yield from segmentations(segments, n, at + 1)
+    for x, s in enumerate(segments):
+        if s[0] == at:
+            for rest in segmentations(segments, n, s[1] + 1):
+                yield from ([(x, k), *rest] for k in range(len(pii.KINDS)))
+
+
+def test_pii_decoding_and_learning_equal_all_segmentations():
+    random.seed(14)
+    for text in ("call 55512 or a1@b c2", "key 12345 x9 y88888 z", "token: abcd9 efgh1"):
+        tokens = next(pii.islands(text))
+        field = pii.Field()
+        segments = field.segments(text, tokens)
+        field.weights = {f: np.array([random.uniform(-1, 1) for _ in pii.KINDS]) for s in segments for f in s[4]}
+        score = [field.score(s[4]) for s in segments]
+        every = list(segmentations(segments, len(tokens)))
+        total = np.array([sum(score[x][k] for x, k in way) for way in every])
+        best = every[int(total.argmax())]
+        assert field.best(text, tokens) == [(segments[x][2], segments[x][3], k) for x, k in best]
+        chance = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        want = np.zeros((len(segments), len(pii.KINDS)))
+        for way, p in zip(every, chance):
+            for x, k in way:
+                want[x, k] += p
+        assert np.allclose(pii.expected(len(tokens), [s[0] for s in segments], [s[1] for s in segments], np.array(score)), want)
+        before, gold = {f: w.copy() for f, w in field.weights.items()}, {(segments[0][2], segments[0][3], 1)}
+        field.learn([(text, tokens, gold)], 1, 0.5, np.random.default_rng(1))
+        for f, w in field.weights.items():
+            slope = sum((s[4].count(f) * (np.array([(s[2], s[3], k) in gold for k in range(len(pii.KINDS))]) - want[x]) for x, s in enumerate(segments)), np.zeros(len(pii.KINDS)))
+            assert np.allclose(w - before[f], 0.5 * slope)
+
+
+def test_pii_field_finds_spellings_that_no_pattern_has(spark):
+    """Recall and precision of what the field adds, on planted documents: the values and words around them are not those that it learned from."""
+    random.seed(15)
+    word = lambda: "".join(random.choice("abdeghilmnorstu") for _ in range(random.randint(2, 9)))
+    number = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    words = lambda n: " ".join(word() for _ in range(n))
+    card = lambda: next(c for base in [number(15)] for c in (base + str(i) for i in range(10)) if pii.luhn(c))
+    plain = lambda: random.choice([f"{word()}.{word()}@{word()}.com", f"{random.randint(1, 255)}.{random.randint(0, 255)}.{random.randint(0, 255)}.{random.randint(1, 255)}", card(), f"+{number(2)} ({number(3)}) {number(3)}-{number(4)}", f'token = "{number(20)}"', f"AKIA{number(16)}"])
+    rows = [(i, f"{words(12)} {plain()} {words(8)} {random.randint(1800, 2030)} {words(5)}\n{words(6)} {plain()}, {words(3)}") for i in range(700)]
+    planted, clean = [], []
+    for i in range(300):
+        parts = [number(4) for _ in range(4)]
+        span = random.choice([
+            f"{word()} <at> {word()}.net", f"{word()}_{word()}[at]{word()}[dot]org", f"{number(3)} {number(3)} {number(4)}", f"({number(3)}){number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}",
+            "/".join(parts), ".".join(parts), f"passwd => '{word()}{number(6)}'", f"api_secret: {number(9)}{word()}", f"{random.randint(1, 255)}[.]{random.randint(0, 255)}[.]{random.randint(0, 255)}[.]{random.randint(1, 255)}",
+        ])
+        planted.append((f"{words(9)} {span} {words(7)}", span))
+        clean.append(f"{words(5)} {random.choice([f'{random.randint(1, 30)} May {random.randint(1800, 2030)}', f'{random.randint(1, 12)}:{random.randint(10, 59)}', f'{number(2)} percent', f'no. {number(3)}', f'{number(1)}.{number(2)}', f'{number(2)}-{number(2)} votes', f'page {number(3)}'])} {words(7)}")
+    field = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [[t[s:e] for s, e, _ in pii.all_spans(t, field)[1]] for t, _ in planted]
+    strip = lambda x: x[slice(*pii.bounds(x, 0, len(x)))]
+    recall = np.mean([strip(span) in f for (_, span), f in zip(planted, found)])
+    overlap = np.mean([any(strip(span) in x or x in strip(span) for x in f) for (_, span), f in zip(planted, found)])
+    alarms = sum(bool(pii.all_spans(t, field)[1]) for t in clean)
+    if recall < 0.85 or alarms > 15:
+        print([(span, f) for (_, span), f in zip(planted, found) if strip(span) not in f][:40], [f for t in clean if (f := [t[s:e] for s, e, _ in pii.all_spans(t, field)[1]])])
+    print(f"whole spans {recall:.3f}, in part {overlap:.3f}, clean texts with a span {alarms} of {len(clean)}")
+    assert recall >= 0.75 and overlap >= 0.9 and alarms <= 0.05 * len(clean)
 
 
 @pytest.mark.parametrize("shard", [2048, 2])

@@ -153,8 +153,7 @@ def test_url_filter(spark):
     assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in plan.collect()} == got
 
 
-def test_mixing(docs, rows, nothing):
-    got = mixing.mix(docs).collect()
+def check_mix(got, rows):
     size = lambda t: len((t or "").encode().split())
     sums = defaultdict(int)
     for _, t, s in rows:
@@ -174,8 +173,22 @@ def test_mixing(docs, rows, nothing):
         mine = [r for r in got if r.source == s]
         assert all(r.source_size == sums[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r["size"] for r in mine)
         assert abs(sum(r.taken for r in mine) - target[s]) <= 1
+
+
+@pytest.mark.parametrize("copies", [1000, 3])
+def test_mixing(spark, docs, rows, nothing, copies, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    got = mixing.mix(docs).collect()
+    check_mix(got, rows)
     assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
     assert mixing.mix(nothing).count() == 0
+    # Many rows without a doc_id, one row many times, one doc_id of many texts, and many small sources.
+    hot = [(None, f"a b {i}", "s1") for i in range(60)] + [(7, "x y z", "s1")] * 50 + [(8, f"w {i} " * (i % 9), "s2") for i in range(60)] + [(1000 + i, "one two", f"t{i:03}") for i in range(70)] + [(5, None, None), (6, "", None), (6, "", "empty")]
+    frame = spark.createDataFrame(hot, "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    got = mixing.mix(frame).collect()
+    check_mix(got, hot)
+    assert sorted(map(str, mixing.mix(frame.coalesce(1)).collect())) == sorted(map(str, got))
 
 
 def test_license_scan(docs, rows, spark, nothing):

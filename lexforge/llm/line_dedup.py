@@ -2,9 +2,10 @@
 
 Every task fills a filter of lines seen once and one of lines seen again. Merged bit by bit, the
 second filter holds each line of two or more documents, and few others. Only lines that it suspects
-shuffle, as counts summed up per task before; they are confirmed by their exact text. The filters
-have a fixed largest size, so a corpus that outgrows it sends more lines to the exact count and
-never gets another result.
+shuffle, as counts summed up per task before; they are confirmed by their exact text. A corpus with
+more lines than a pair of filters holds well gets a pair for each of several ranges of hashes, and the
+ranges are looked up in passes of their own. A range count beyond MOST_RANGES is not split further: then more
+lines go to the exact count, and the result is never another one.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._plan import checkpointed, row_key, small_batches
+from ._text import mixed
 
-#: Bits for each line, probes for each line, and the largest filter: 2^28 bits are 32 MB.
-BITS_PER_LINE, PROBES, MOST_BITS = 16, 4, 1 << 28
+#: Bits for each line, probes for each line, and the largest filter: 2^28 bits are 32 MB. Ranges of hashes with filters of their own.
+BITS_PER_LINE, PROBES, MOST_BITS, MOST_RANGES = 16, 4, 1 << 28, 16
 SEGMENTS = 64
 #: Bytes of confirmed line keys that are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -43,24 +45,50 @@ def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([((hashes + np.uint64(i) * step) % np.uint64(bits)) for i in range(PROBES)]).astype(np.int64)
 
 
-def twice_seen(docs: DataFrame, bits: int, least_length: int) -> np.ndarray:
-    """The merged filter, as bytes, of line keys that two or more documents hold."""
+def in_filter(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the packed filter holds all probes of each column of places."""
+    return ((bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def put(bitmap: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, (places >> 3).ravel(), (1 << (7 - (places & 7))).astype(np.uint8).ravel())
+
+
+def places_set(bitmap: np.ndarray) -> np.ndarray:
+    """The bits that are set in a packed filter, looked up in its non-zero bytes."""
+    some = np.flatnonzero(bitmap)
+    byte, bit = np.nonzero(np.unpackbits(bitmap[some]).reshape(-1, 8))
+    return (some[byte] * 8 + bit).astype(np.uint32)
+
+
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return (mixed(hashes) % np.uint64(ranges)).astype(np.int64)
+
+
+def text_hashes(text: str | None, least_length: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(k) for k in {line_key(x) for x in lines_of(text)} if len(k.decode("utf-8", "surrogatepass")) >= least_length]
+
+
+def twice_seen(docs: DataFrame, bits: int, ranges: int, least_length: int) -> DataFrame:
+    """(range, segment, bits) of the merged filters, as bytes, of line keys that two or more documents hold."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            hashes = [xxhash.xxh64_intdigest(k) for t in batch.column(0) for k in {line_key(x) for x in lines_of(t.as_py())} if len(k.decode("utf-8", "surrogatepass")) >= least_length]
-            for i in range(0, len(hashes), 65536):
-                unique, counts = np.unique(np.array(hashes[i : i + 65536], np.uint64), return_counts=True)
+        # Filters of a task are made for one range after another, of the hashes of all its lines.
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(np.array(text_hashes(t.as_py(), least_length), np.uint64) for batch in batches for t in batch.column(0))])
+        mine, width = range_of(hashes, ranges), bits // SEGMENTS // 8
+        for r in range(ranges):
+            once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+            part = hashes[mine == r] if ranges > 1 else hashes
+            for i in range(0, len(part), 65536):
+                unique, counts = np.unique(part[i : i + 65536], return_counts=True)
                 places = probes(unique, bits)
-                again = once[places].all(axis=0) | (counts > 1)
-                once[places] = True
-                twice[places[:, again]] = True
-        width = bits // SEGMENTS
-        for s in range(SEGMENTS):
-            pair = [np.flatnonzero(x[s * width : (s + 1) * width]).astype(np.uint32) for x in (once, twice)]
-            if len(pair[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in pair)], ["segment", "once", "twice"])
+                again = in_filter(once, places) | (counts > 1)
+                put(once, places)
+                put(twice, places[:, again])
+            for s in range(SEGMENTS):
+                pair = [places_set(x[s * width : (s + 1) * width]) for x in (once, twice)]
+                if len(pair[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in pair)], ["range", "segment", "once", "twice"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = bits // SEGMENTS
@@ -71,26 +99,40 @@ def twice_seen(docs: DataFrame, bits: int, least_length: int) -> np.ndarray:
                 twice[a[once[a]]] = True
                 twice[b] = True
                 once[a] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([np.packbits(twice).tobytes()], pa.binary())], ["range", "segment", "bits"])
 
-    filled = docs.select("text").mapInArrow(fill, "segment int, once binary, twice binary")
-    merged = filled.groupBy("segment").applyInArrow(merge, "segment int, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.collect():  # 64 rows of at most MOST_BITS / 8 bytes together
-        out[row.segment * bits // SEGMENTS // 8 : (row.segment + 1) * bits // SEGMENTS // 8] = np.frombuffer(row.bits, np.uint8)
-    return out
+    filled = docs.select("text").mapInArrow(fill, "range int, segment int, once binary, twice binary")
+    return filled.groupBy("range", "segment").applyInArrow(merge, "range int, segment int, bits binary")
 
 
-def repeated_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, most_bits: int = MOST_BITS) -> DataFrame:
     """Line keys of at least least_docs documents: key (binary), docs, and the first place (doc key pair, line number).
 
     Rows that repeat a doc_id count as documents of their own.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits = min(MOST_BITS, 1 << max(16, (BITS_PER_LINE * int(lines)).bit_length()))
-    suspects = spark.sparkContext.broadcast(twice_seen(docs, bits, least_length))
+    lines = int(docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0)
+    wanted = BITS_PER_LINE * lines
+    bits = min(most_bits, 1 << max(16, wanted.bit_length()))
+    ranges = min(MOST_RANGES, max(1, -(-wanted // most_bits)))
+    merged = twice_seen(docs, bits, ranges, least_length)
+    if ranges > 1:
+        merged = checkpointed(merged)
+    counted = None
+    for r in range(ranges):
+        suspects = np.zeros(bits // 8, np.uint8)
+        width = bits // SEGMENTS // 8
+        for row in merged.where(F.col("range") == r).toLocalIterator():  # SEGMENTS rows of at most MOST_BITS / 8 bytes together
+            suspects[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, np.uint8)
+        found = suspect_counts(docs, spark.sparkContext.broadcast(suspects), bits, r, ranges, least_length)
+        counted = found if counted is None else counted.unionByName(found)
+    summed = counted.groupBy("key").agg(F.sum("docs").alias("docs"), F.min(F.struct("first0", "first1", "line")).alias("first"))
+    return summed.where(F.col("docs") >= least_docs)
+
+
+def suspect_counts(docs: DataFrame, suspects, bits: int, part: int, ranges: int, least_length: int) -> DataFrame:
+    """(key, docs, first place) of the keys of one range of hashes that the filter holds, summed up by task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, held = suspects.value, {}
@@ -112,8 +154,10 @@ def repeated_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1)
                 keys = [k for k in at if len(k.decode("utf-8", "surrogatepass")) >= least_length]
                 if not keys:
                     continue
-                places = probes(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), bits)
-                hit = ((bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=0)
+                hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+                hit = in_filter(bitmap, probes(hashes, bits))
+                if ranges > 1:
+                    hit &= range_of(hashes, ranges) == part
                 for i in np.flatnonzero(hit):
                     place = (k0.as_py(), k1.as_py(), at[keys[i]])
                     n, least = held.get(keys[i], (0, place))
@@ -123,20 +167,18 @@ def repeated_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1)
         if held:
             yield flush()
 
-    counted = docs.select("text", *row_key("doc_id", "text")).mapInArrow(count, "key binary, docs long, first0 long, first1 long, line long")
-    summed = counted.groupBy("key").agg(F.sum("docs").alias("docs"), F.min(F.struct("first0", "first1", "line")).alias("first"))
-    return summed.where(F.col("docs") >= least_docs)
+    return docs.select("text", *row_key("doc_id", "text")).mapInArrow(count, "key binary, docs long, first0 long, first1 long, line long")
 
 
-def drop_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, keep_first: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, keep_first: bool = False, broadcast_bytes: int = BROADCAST_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
     """Drop lines whose key at least least_docs documents hold, everywhere or, with keep_first, but for one place of it.
 
     docs needs doc_id and text. Returns its columns and n_lines, n_dropped (long) and kept (the other
     lines joined by a line feed; for a null text too), which replace columns of these names. A null or
-    empty text is one empty line. Keys shorter than least_length code points are never dropped. Repeated
+    empty text is one empty line; an empty table gives none. Keys shorter than least_length code points are never dropped. Repeated
     rows are treated alike, unless keep_first: then the copies of the first place all keep it.
     """
-    bad = checkpointed(repeated_lines(docs, least_docs, least_length))
+    bad = checkpointed(repeated_lines(docs, least_docs, least_length, most_bits))
     spark = docs.sparkSession
     weight = bad.agg(F.sum(F.length("key") + 100)).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]

@@ -117,8 +117,8 @@ def test_components(spark, one_task):
     assert connected_components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_line_dedup(spark, broadcast_bytes):
+@pytest.mark.parametrize("broadcast_bytes, most_bits", [(1 << 20, 1 << 28), (0, 1 << 28), (1 << 20, 1 << 9)])
+def test_line_dedup(spark, broadcast_bytes, most_bits):
     lines = ["", "  Common Line ", "rare", "common line", "x", None]
     random.seed(2)
     rows = [(i, None if i == 3 else "\n".join(str(random.choice(lines[:5])) for _ in range(random.randint(1, 6))), "c") for i in range(40)] + [(1, "rare\nrare", "c")]
@@ -131,7 +131,7 @@ def test_line_dedup(spark, broadcast_bytes):
         all_lines = (t or "").split("\n")
         stay = [x for x in all_lines if key(x) not in bad]
         want.append((d, len(all_lines), len(all_lines) - len(stay), "\n".join(stay)))
-    got = line_dedup.drop_lines(frame, broadcast_bytes=broadcast_bytes).select("doc_id", "n_lines", "n_dropped", "kept")
+    got = line_dedup.drop_lines(frame, broadcast_bytes=broadcast_bytes, most_bits=most_bits).select("doc_id", "n_lines", "n_dropped", "kept")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     firsts = line_dedup.drop_lines(frame.dropDuplicates(["doc_id"]), keep_first=True, broadcast_bytes=broadcast_bytes)
     left = Counter(k for r in firsts.collect() for k in map(key, r.kept.split("\n")) if k in bad)

@@ -2,7 +2,8 @@
 
 Rolling word k-grams of documents are joined with those of the license templates. A shared gram
 votes for the diagonal document place - template place; votes on a diagonal and its neighbours, where
-words were put in or left out, form a span, which its share of the template's grams verifies.
+words were put in or left out, are taken together, and the share of the template's grams that they hold,
+each counted once, verifies them. Verified neighbours make one span.
 """
 
 from __future__ import annotations
@@ -78,9 +79,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
     docs needs doc_id and text; other columns are unread. Returns one row per input row: doc_id, n_words,
     n_base (places of exact templates), first_word and last_word (their least and greatest start, else null),
     base_labels and labels (sorted arrays, the second with the verified labels of other templates), score
-    (the greatest share of a template's grams in a span; 1 with an exact place, 0 without votes) and spans
-    (sorted structs start, end, label, share of the verified templates). A null or empty text has no words;
-    repeated rows are scanned apart.
+    (the greatest share of a template's grams on near diagonals; 1 with an exact place, 0 without votes) and
+    spans (sorted structs start, end, label, share of the verified templates; one for each run of verified
+    diagonals that are near each other, with the share of the best, and of its words from the first to the last
+    that votes). A null or empty text has no words;
+    repeated rows are scanned apart; an empty table gives none. Rows are told apart by their place in their
+    partition, which a task that runs again finds unchanged as long as docs reads the same files.
     """
     index, shapes = template_tables(docs.sparkSession, templates)
     few = F.broadcast if sum(len(t.text.split()) for t in templates) <= broadcast_grams else (lambda df: df)
@@ -90,13 +94,25 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
     asked = grams.select("row", "doc_id", "n_words", F.posexplode("grams").alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
     votes = asked.join(few(index), "hash").where("gram = known")
     key = ["row", "doc_id", "n_words"]
-    diagonals = votes.groupBy(*key, "template", (F.col("at") - 1 - F.col("place")).alias("start")).agg(F.count("*").alias("votes"))
-    near = Window.partitionBy("row", "template").orderBy("start").rangeBetween(0, NEAR)
-    spans = diagonals.withColumn("merged", F.sum("votes").over(near)).join(few(shapes), "template", "left")
-    share = F.when(F.col("grams").isNotNull(), F.least(F.lit(1.0), F.col("merged") / F.col("grams")))
-    place = F.col("exact") & (F.col("votes") == F.col("grams"))
-    verified = ~F.col("exact") & (share >= VERIFIED)
-    span = F.struct("start", (F.col("start") + F.col("words")).alias("end"), "label", share.alias("share"))
+    voted = F.sort_array(F.collect_set("place"))
+    diagonals = votes.groupBy(*key, "template", (F.col("at") - 1 - F.col("place")).alias("start")).agg(F.count("*").alias("votes"), voted.alias("voted"))
+    order = Window.partitionBy("row", "template").orderBy("start")
+    near = order.rangeBetween(0, NEAR)
+    held = F.array_distinct(F.flatten(F.collect_list("voted").over(near)))
+    first, end = F.min(F.col("start") + F.element_at("voted", 1)).over(near), F.max(F.col("start") + F.element_at("voted", -1) + GRAM).over(near)
+    spans = diagonals.withColumns({"held": held, "first": first, "end": end}).join(few(shapes), "template", "left")
+    share = F.when(F.col("grams").isNotNull(), F.size("held") / F.col("grams"))
+    verified = ~F.col("exact") & (F.col("share") >= VERIFIED)
+    spans = spans.withColumn("share", share).withColumn("verified", F.coalesce(verified, F.lit(False)))
+    # Verified diagonals near one another are numbered as one run.
+    last = F.max(F.when(F.col("verified"), F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("verified") & F.coalesce(F.col("start") - last > NEAR, F.lit(True))
+    spans = spans.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    alike = Window.partitionBy("row", "template", "run", "verified")
+    spans = spans.withColumns({"begins": F.min("first").over(alike), "ends": F.max("end").over(alike), "best": F.max("share").over(alike)})
+    span = F.struct(F.col("begins").alias("start"), F.col("ends").alias("end"), "label", F.col("best").alias("share"))
+    place, verified = F.col("exact") & (F.col("votes") == F.col("grams")), F.col("verified")
+    share = F.col("share")
     return spans.groupBy(*key).agg(
         F.count_if(place).alias("n_base"),
         F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
@@ -104,5 +120,5 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
         F.sort_array(F.collect_set(F.when(place, F.col("label")))).alias("base_labels"),
         F.sort_array(F.collect_set(F.when(place | verified, F.col("label")))).alias("labels"),
         F.when(F.count_if(place) > 0, 1.0).otherwise(F.coalesce(F.max(share), F.lit(0.0))).alias("score"),
-        F.sort_array(F.collect_list(F.when(verified, span))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(verified, span))).alias("spans"),
     ).select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

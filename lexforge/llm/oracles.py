@@ -73,7 +73,7 @@ FROM embeddings e JOIN least m ON m.a = e.vec_id"""
 
 
 def license_scan(templates=BASE + NOTICES) -> str:
-    """Votes of template grams on diagonals, merged over NEAR diagonals and verified by their share."""
+    """Votes of template grams on diagonals; over NEAR diagonals each place of a template counts once and its share verifies."""
     shapes, grams = [], []
     for i, t in enumerate(templates):
         words = t.text.split()
@@ -85,9 +85,10 @@ WITH grams(gram, template, place) AS (VALUES {", ".join(grams)}), shapes(templat
 docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM docs),
 pairs AS (SELECT doc_id, p, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY p) AS gram FROM words),
-votes AS (SELECT doc_id, template, p - place AS start, count(*) AS votes FROM pairs JOIN grams USING (gram) GROUP BY 1, 2, 3),
-merged AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, template ORDER BY start RANGE BETWEEN CURRENT ROW AND {NEAR} FOLLOWING) AS merged FROM votes),
-spans AS (SELECT doc_id, start, label, exact AND votes = grams AS whole, least(1.0::DOUBLE, merged::DOUBLE / grams) AS share, NOT exact AND least(1.0::DOUBLE, merged::DOUBLE / grams) >= {VERIFIED}::DOUBLE AS verified FROM merged JOIN shapes USING (template)),
+marks AS (SELECT doc_id, template, p - place AS start, place FROM pairs JOIN grams USING (gram)),
+votes AS (SELECT doc_id, template, start, count(*) AS votes FROM marks GROUP BY 1, 2, 3),
+merged AS (SELECT v.doc_id, v.template, v.start, v.votes, count(DISTINCT m.place) AS held FROM votes v JOIN marks m ON m.doc_id = v.doc_id AND m.template = v.template AND m.start BETWEEN v.start AND v.start + {NEAR} GROUP BY 1, 2, 3, 4),
+spans AS (SELECT doc_id, start, label, exact AND votes = grams AS whole, held::DOUBLE / grams AS share, NOT exact AND held::DOUBLE / grams >= {VERIFIED}::DOUBLE AS verified FROM merged JOIN shapes USING (template)),
 found AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word, max(share) AS share,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR verified) AS labels FROM spans GROUP BY 1)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

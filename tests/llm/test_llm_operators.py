@@ -205,6 +205,12 @@ def test_license_scan(docs, rows, spark, nothing):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, list(r.base_labels)) for r in got) == sorted(want)
     assert all(0 <= r.score <= 1 and set(r.base_labels) <= set(r.labels) for r in got)
     assert [list(r.labels) for r in got if r.doc_id == 902] == [["mit-grant"]]
+    assert [[tuple(s) for s in r.spans] for r in got if r.doc_id == 902] == [[(0, 21, "mit-grant", 18 / 19)]]
+    twice = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    again = spark.createDataFrame([(1, twice + " x x x x " + twice), (2, " ".join(["provided that"] * 12)), (3, twice.replace("forms", "other forms here"))], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(again).collect()}
+    assert [(s.start, s.end) for s in found[1].spans] == [(0, 21), (25, 46)] and found[1].score == 1.0
+    assert not found[2].spans and found[2].score == 1 / 20 and [(s.start, s.end) for s in found[3].spans] == [(0, 23)]
     assert [r.score for r in got if r.doc_id == 3] == [0.0]
     assert license_scan.scan_licenses(nothing).count() == 0
 

@@ -51,3 +51,11 @@ def hash_sample(df: DataFrame, rows: int, *columns: str, seed: int = 1) -> DataF
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)
     under = df.where(unit < int(rows / total * (1 << 53)))
     return under if under.limit(2 * rows + 1).count() <= 2 * rows else under.orderBy(unit, *columns).limit(2 * rows)
+
+
+def copied(rows: DataFrame, count: str, copy: str, most: int) -> DataFrame:
+    """Every row as often as its count column says, with the number of the copy from 0; rows of more than most copies are dealt out in pieces."""
+    few = rows.where(F.col(count) <= most).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    pieces = rows.where(F.col(count) > most).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(most).cast("long"))))
+    last = F.least(F.col("__piece") + most, count) - 1
+    return few.unionByName(pieces.repartition(*rows.columns[:1], "__piece").withColumn(copy, F.explode(F.sequence(F.col("__piece"), last))).drop("__piece"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._plan import checkpointed
+from ._plan import checkpointed, copied
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Weights of the sources in order, repeating.
@@ -96,11 +96,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("o")) & (F.col("slice") == F.col("at")))
     within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.col("offset") + F.sum(words).over(within) - words).drop("o", "at", "offset", "slice", "slices", "key")
-    one = rows.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    pieces = rows.where(F.col("copies") > COPIES).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
-    several = pieces.repartition("doc_id", "piece").withColumn("copy", F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + COPIES, "copies") - 1))).drop("piece")
+    rows = copied(rows.select("doc_id", "source", "size", "copies", "source_size", "target", "start"), "copies", "copy", COPIES)
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - (F.col("start") + F.col("copy") * F.col("size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest))
-    return one.unionByName(several).select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))

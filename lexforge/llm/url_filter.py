@@ -9,14 +9,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import copied
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[a-z0-9]+"
-#: Rules that are broadcast; more are joined by a shuffle.
-BROADCAST_RULES = 200_000
+#: Rules that are a constant of the plan; more are a table, which up to so many rules is broadcast and beyond is joined by a shuffle.
+MAP_RULES, BROADCAST_RULES = 200, 200_000
+#: Copies of a judged url that are written out in one piece.
+COPIES = 1000
 
 
 @dataclass(frozen=True)
@@ -54,36 +57,59 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(upto, "(?s)^[^/]*(.*)$", 1), F.lit(""))
 
 
-def rule_index(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:
-    """(token, rank, pattern): each rule under the token of its literal that the fewest rules hold (then the longest, then the first by name).
+def rule_index(rules: list[Rule] | tuple[Rule, ...]) -> list[tuple[str, int, str, str | None, str]]:
+    """(token, rank, pattern, rule, verdict): each rule under the token of its literal that the fewest rules hold (then the longest, then the first by name).
 
     rank orders rules: site rules before word rules, longer names first, then by name.
     """
     tokens = {r: sorted(set(re.findall(TOKEN, r.literal.lower()))) for r in rules}
+    bare = [r.name for r, found in tokens.items() if not found]
+    if bare:
+        raise ValueError(f"rules need a literal with a letter or digit: {', '.join(bare)}")
     held = Counter(t for found in tokens.values() for t in found)
     ranked = sorted(rules, key=lambda r: (not r.first, -len(r.name), r.name, r.verdict))
-    rows = [(min(tokens[r], key=lambda t: (held[t], -len(t), t)), i, r.pattern, r.name if r.first else None, r.verdict) for i, r in enumerate(ranked)]
-    return spark.createDataFrame(rows, "token string, rank int, pattern string, rule string, verdict string")
+    return [(min(tokens[r], key=lambda t: (held[t], -len(t), t)), i, r.pattern, r.name if r.first else None, r.verdict) for i, r in enumerate(ranked)]
 
 
-def filter_urls(pages: DataFrame, rules=SITE_RULES + WORD_RULES, default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def best_by_map(urls: DataFrame, index: list[tuple]) -> DataFrame:
+    """urls with the least rank that fits, from an index that is a constant of the plan: no shuffle."""
+    of_token: dict[str, list[tuple]] = {}
+    for token, rank, pattern, *_ in index:
+        of_token.setdefault(token, []).append((rank, pattern))
+    entry = lambda x: F.struct(F.lit(x[0]).alias("rank"), F.lit(x[1]).alias("pattern"))
+    held = F.create_map(*(c for t, found in of_token.items() for c in (F.lit(t), F.array(*map(entry, found)))))
+    fetched = F.flatten(F.array_compact(F.transform("tokens", lambda t: F.try_element_at(held, t))))
+    fitting = F.filter(fetched, lambda x: F.rlike(F.col("whole"), x["pattern"]))
+    return urls.withColumn("rank", F.array_min(F.transform(fitting, lambda x: x["rank"])))
+
+
+def best_by_join(urls: DataFrame, index: list[tuple], broadcast_rules: int) -> DataFrame:
+    """The same from a table of many rules; equal urls are one, and meet their candidates in a join."""
+    rules = urls.sparkSession.createDataFrame([x[:3] for x in index], "token string, rank int, pattern string")
+    few = F.broadcast if len(index) <= broadcast_rules else (lambda df: df)
+    one = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"), F.first("whole").alias("whole"), F.first("tokens").alias("tokens"))
+    fetched = one.withColumn("token", F.explode_outer("tokens")).join(few(rules), "token", "left")
+    best = fetched.groupBy("page_id", "host", "path", "copies").agg(F.min(F.when(F.rlike("whole", F.col("pattern")), F.col("rank"))).alias("rank"))
+    return copied(best, "copies", "copy", COPIES)
+
+
+def filter_urls(pages: DataFrame, rules=SITE_RULES + WORD_RULES, default: str = "allow", map_rules: int = MAP_RULES, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """Judge every url by the fitting rule of the best rank.
 
     pages needs page_id and url. Returns one row per input row: page_id, host, path, rule (null unless
     a site rule fits) and verdict (the rule's, else the default). A null url has an empty host and path
-    and gets the default; repeated rows, null page_ids and other columns are allowed, the last unread.
-    Every rule's literal needs at least one token of letters or digits.
+    and gets the default; repeated rows, null page_ids, very long urls and other columns are allowed, the
+    last unread; an empty table gives none. Every rule's literal needs a token of letters or digits, or a
+    ValueError is raised. Up to map_rules rules are a constant of the plan; more are joined.
     """
-    spark = pages.sparkSession
+    index = rule_index(rules)
     host, path = url_parts(F.col("url"))
-    index = rule_index(spark, rules)
-    few = F.broadcast if len(rules) <= broadcast_rules else (lambda df: df)
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", "path"), UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
-    asked = urls.select("page_id", "host", "path", "copies", F.explode_outer(tokens).alias("token"))
-    fetched = asked.join(few(index.select("token", "rank", "pattern")), "token", "left")
-    fits = F.rlike(F.concat("host", "path"), F.col("pattern"))
-    best = fetched.groupBy("page_id", "host", "path", "copies").agg(F.min(F.when(fits, F.col("rank"))).alias("rank"))
-    judged = best.join(few(index.select("rank", "rule", "verdict")), "rank", "left")
-    judged = judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "copies")
-    return judged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("page_id", "host", "path", "rule", "verdict")
+    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("whole", F.concat("host", "path"))
+    urls = urls.withColumn("tokens", F.array_distinct(F.regexp_extract_all(F.translate("whole", UPPER, LOWER), F.lit(TOKEN), F.lit(0))))
+    if not index:
+        best = urls.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        best = best_by_map(urls, index) if len(index) <= map_rules else best_by_join(urls, index, broadcast_rules)
+    named = urls.sparkSession.createDataFrame([(x[1], *x[3:]) for x in index], "rank int, rule string, verdict string")
+    judged = best.join(F.broadcast(named) if len(index) <= broadcast_rules else named, "rank", "left")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

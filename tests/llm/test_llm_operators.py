@@ -149,8 +149,17 @@ def test_url_filter(spark):
         (3, "a.net", "/es/1", "net/es/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "net", "", None, "allow"), (8, "b.net", "/fr/", "net/fr/", "block"),
         (9, "xcom", "/", None, "allow"), (10, "b.org", "/casino/1", None, "block"), (11, "b.org", "/casinos", None, "allow"), (12, "o.com", "", None, "allow"), (13, "example.com", "/EN/", "com/", "allow"), (None, "a.com", "/", "com/", "allow"),
     }
-    plan = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string"), broadcast_rules=0)
-    assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in plan.collect()} == got
+    long = [(50, "https://b.org/" + "a/" * 200_000 + "casino"), (51, "https://" + "x" * 100_000 + ".com/")]
+    frame = spark.createDataFrame([(*r, "x") for r in long], "page_id long, url string, rule string")
+    for how in ({}, {"map_rules": 0}, {"map_rules": 0, "broadcast_rules": 0}):
+        pages = spark.createDataFrame(rows * 3, "page_id long, url string, rule string")
+        found = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, **how).collect()]
+        assert len(found) == 3 * len(rows) and set(found) == got
+        assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter.filter_urls(frame, **how).collect()) == [(50, "block", None), (51, "allow", "com/")]
+        assert url_filter.filter_urls(frame.limit(0), **how).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(frame, ()).collect()} == {"allow"}
+    with pytest.raises(ValueError, match="dots"):
+        url_filter.filter_urls(frame, [url_filter.Rule("dots", "block", "[.]", "...")])
 
 
 def check_mix(got, rows):

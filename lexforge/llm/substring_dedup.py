@@ -94,8 +94,6 @@ class Automaton:
 def shard_windows(passages: dict[bytes, int], width: int) -> dict[bytes, list[tuple[int, int]]]:
     """For each passage of a shard with its number of places: the word ranges covered by repeated windows."""
     split = {p: p.split(b" ") for p in passages}
-    if len(passages) == 1 and next(iter(passages.values())) > 1:
-        return {p: [(0, len(w))] for p, w in split.items()}
     automaton = Automaton()
     for p, w in split.items():
         automaton.add(w, passages[p])

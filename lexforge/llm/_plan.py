@@ -33,6 +33,13 @@ def row_key(*columns: str, prefix: str = "key") -> list[Column]:
     return [F.xxhash64(F.lit(salt), *(F.col(c).isNull() for c in columns), *columns).alias(f"{prefix}{i}") for i, salt in enumerate((11, 29))]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df starts with it in any case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import row_key, small_batches
+from ._plan import free, row_key, small_batches
 from ._text import Roller, Words, find_words, letter_table, lower_table, text_chunks
 
 WINDOW = 13
@@ -281,5 +281,6 @@ def contaminated():
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs without the rows that contaminated() names; their keys are joined to the rows by content."""
     bad = benchmark_hits(docs, benchmark, width).where(contaminated()).select("key0", "key1").distinct()
-    keyed = docs.withColumns(dict(zip(("__key0", "__key1"), row_key("doc_id", "text"))))
-    return keyed.join(bad, (F.col("__key0") == bad.key0) & (F.col("__key1") == bad.key1), "left_anti").drop("__key0", "__key1")
+    mine = free(docs, "__key")
+    keyed = docs.select("*", *row_key("doc_id", "text", prefix=mine))
+    return keyed.join(bad.toDF(f"{mine}2", f"{mine}3"), F.expr(f"{mine}0 = {mine}2 AND {mine}1 = {mine}3"), "left_anti").drop(f"{mine}0", f"{mine}1")

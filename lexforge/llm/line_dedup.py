@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import checkpointed, row_key, small_batches
+from ._plan import checkpointed, free, row_key, small_batches
 from ._text import mixed
 
 #: Bits for each line, probes for each line, and the largest filter: 2^28 bits are 32 MB. Ranges of hashes with filters of their own.
@@ -182,7 +182,7 @@ def drop_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, kee
     spark = docs.sparkSession
     weight = bad.agg(F.sum(F.length("key") + 100)).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    docs = docs.select(*names)
+    docs, mine = docs.select(*names), free(docs, "__lines")
 
     def kept(text: str | None, drops) -> tuple[int, int, str]:
         lines = lines_of(text)
@@ -199,24 +199,24 @@ def drop_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, kee
             rows = [kept(t.as_py(), lambda i, k, at=(a.as_py(), b.as_py()): k in firsts and not (keep_first and firsts[k] == (*at, i))) for t, a, b in zip(text, k0, k1)]
             return pa.StructArray.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_lines", "n_dropped", "kept"])
 
-        out = docs.withColumn("__c", clean("text", *row_key("doc_id", "text")))
-        return out.select(*names, "__c.n_lines", "__c.n_dropped", "__c.kept")
+        out = docs.withColumn(mine, clean("text", *row_key("doc_id", "text")))
+        return out.select(*names, f"{mine}.n_lines", f"{mine}.n_dropped", f"{mine}.kept")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(line_key(x), k0.as_py(), k1.as_py(), i) for t, k0, k1 in zip(*(batch.column(i) for i in range(3))) for i, x in enumerate(lines_of(t.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["key", "k0", "k1", "line"])
 
-    keyed = docs.withColumns(dict(zip(("__k0", "__k1"), row_key("doc_id", "text"))))
-    at = keyed.select("text", "__k0", "__k1").mapInArrow(places, "key binary, k0 long, k1 long, line long")
+    keyed = docs.select("*", *row_key("doc_id", "text", prefix=mine))
+    at = keyed.select("text", f"{mine}0", f"{mine}1").mapInArrow(places, "key binary, k0 long, k1 long, line long")
     hits = at.join(bad, "key").where(F.lit(not keep_first) | (F.struct("k0", "k1", "line") != F.col("first")))
-    gone = hits.groupBy(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).agg(F.collect_set("line").alias("__gone"))
+    gone = hits.groupBy(F.col("k0").alias(f"{mine}0"), F.col("k1").alias(f"{mine}1")).agg(F.collect_set("line").alias(f"{mine}gone"))
 
     @F.arrow_udf(result)
     def remove(text: pa.Array, gone: pa.Array) -> pa.Array:
         rows = [kept(t.as_py(), lambda i, k, x=set(g.as_py() or ()): i in x) for t, g in zip(text, gone)]
         return pa.StructArray.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_lines", "n_dropped", "kept"])
 
-    out = keyed.join(gone, ["__k0", "__k1"], "left").withColumn("__c", remove("text", "__gone"))
-    return out.select(*names, "__c.n_lines", "__c.n_dropped", "__c.kept")
+    out = keyed.join(gone, [f"{mine}0", f"{mine}1"], "left").withColumn(mine, remove("text", f"{mine}gone"))
+    return out.select(*names, f"{mine}.n_lines", f"{mine}.n_dropped", f"{mine}.kept")
 

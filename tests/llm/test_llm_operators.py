@@ -308,7 +308,11 @@ def test_pii_field(spark):
     assert set(pii.joined(base).split(",")) < set(first.spans.split(",")) and "secret:" in first.spans
     assert sum("secret:" in r.spans for r in found) >= 0.95 * 121 and "[EMAIL]" in first.masked
     empty = next(r for r in found if r.doc_id == 200)
-    assert empty.spans == "" and empty.masked == ""
+    assert empty.spans == "" and empty.masked == "" and all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in found)
+    nothing = pii.train(frame.limit(0))
+    assert pii.find_pii(frame.limit(0), nothing).count() == 0
+    plain = pii.find_pii(frame, nothing).where("doc_id = 5").first()
+    assert plain.spans == pii.joined(base) and pii.joined([(0, 5, 1), (0, 5, 2)]) == "ip:0:5,card:0:5"
 
 
 def test_pii_learns_from_every_sampled_document(spark, monkeypatch):
@@ -434,6 +438,9 @@ def test_quality_machine(spark):
     assert all(r.score > 0.9 for r in quality_fm.add_scores(docs, flat).collect())
     none = quality_fm.train(docs, labels.limit(0))
     assert {r.score for r in quality_fm.add_scores(docs, none).collect()} == {0.5}
+    assert quality_fm.add_scores(docs.limit(0), quality_fm.train(docs.limit(0), labels)).count() == 0
+    copies = docs.union(docs.where("doc_id < 3")).union(spark.createDataFrame([(1, "other text of this id", 5, "s")], docs.schema))
+    assert quality_fm.train(copies, labels).bias == quality_fm.train(copies.repartition(5), labels).bias
 
 
 def test_machine_equals_all_pairs():

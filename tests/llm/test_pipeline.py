@@ -49,3 +49,20 @@ def test_stages(spark, corpus):
 
 def test_query_names():
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES if k != "pipeline"}
+
+
+def test_stages_take_nulls_repeats_clashing_columns_and_empty_tables(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names = ("kept", "key0", "score", "__row0", "__key1", "__lines", "__score", "component", "size", "h")
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (7, None, "en", "s1", None), (7, "some words of a text that differs", None, "s1", -5), (900, "long " * 50_000, "en", "s1", 250_000)]
+    more = docs.union(spark.createDataFrame(odd, docs.schema)).union(docs.limit(5))
+    for c in names:
+        more = more.selectExpr("*", f"'x' AS {c}")
+    for name, stage in corpus_pipeline.STAGES:
+        before = more.count()
+        after = stage(spark, more, corpus).cache()
+        assert 0 < after.count() <= before, name
+        assert stage(spark, more.limit(0), corpus).count() == 0, name
+        if name != "mixing":
+            assert after.columns == more.columns and after.where("doc_id IS NULL AND text IS NULL").count() <= 1, name
+            more = after

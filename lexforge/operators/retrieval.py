@@ -18,8 +18,10 @@ BEST_OF_TWO = 2 / (RRF + 1)
 GRANULARITIES = {"line": 0, "poem": 1, "note": 2}
 NAMES = ("title", "author", "dynasty")
 #: Queries (and bytes of their vectors) that are broadcast; more are joined by grams of their keys, or by blocks.
-BROADCAST_QUERIES = 5000
+BROADCAST_QUERIES = 1000
 GRAM = 8
+#: Columns that don't travel with candidates; they are fetched for the hits.
+HEAVY = ("text", "title", "content_key", "title_key", "author_key", "dynasty_key")
 
 
 def candidate_limit(k: int) -> int:
@@ -44,27 +46,27 @@ def query_keys(queries: DataFrame, column: str = "question") -> DataFrame:
     return keyed.where("q_content <> '' OR q_lookup <> ''")
 
 
-def containing(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """Pairs of rows and queries that meet condition.
-
-    Few queries are broadcast and compared with every row; more meet the rows in grams.
-    """
-    if queries.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(queries), condition)
-    return by_grams(rows, queries, key, query_key, condition)
+def grams(key: str, size: int) -> Column:
+    """The different runs of size letters of a key."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - (size - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(key), i, F.lit(size))))
 
 
-def by_grams(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column) -> DataFrame:
+def by_grams(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column, most: int = BROADCAST_QUERIES) -> DataFrame:
     """Pairs that meet condition, which has to hold only where the row's key contains the query's.
 
     Rows and queries meet in the first gram of the query's key, which a row that contains the key holds as
-    well; queries shorter than a gram are still broadcast, and their number is bounded by the letters there are.
+    well. Queries shorter than a gram are broadcast if they are at most most, and else meet the rows in all
+    runs of their own length.
     """
     size = F.length(F.col(query_key))
-    short, long = queries.where(size < GRAM), queries.where(size >= GRAM).withColumn("__gram", F.substring(query_key, 1, GRAM))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - (GRAM - 1))), lambda i: F.substring(F.col(key), i, F.lit(GRAM))))
-    met = rows.withColumn("__gram", F.explode(grams)).join(long, "__gram").where(condition).drop("__gram")
-    return met.unionByName(rows.join(F.broadcast(short), condition))
+    met = lambda q, n: rows.withColumn("__gram", F.explode(grams(key, n))).join(q.withColumn("__gram", F.substring(query_key, 1, n)), "__gram").where(condition).drop("__gram")
+    found, short = met(queries.where(size >= GRAM), GRAM), queries.where(size < GRAM)
+    if short.limit(most + 1).count() <= most:
+        return found.unionByName(rows.join(F.broadcast(short), condition))
+    for n in range(1, GRAM):
+        found = found.unionByName(met(short.where(size == n), n))
+    return found
 
 
 def lexical_pairs(rows: DataFrame, queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -77,9 +79,9 @@ def lexical_pairs(rows: DataFrame, queries: DataFrame, most: int = BROADCAST_QUE
     if queries.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(queries), match)
     phrase = F.coalesce(phrase, F.lit(False))
-    by_content = by_grams(rows, queries.where("q_content <> ''"), "content_key", "q_content", phrase)
+    by_content = by_grams(rows, queries.where("q_content <> ''"), "content_key", "q_content", phrase, most)
     named = rows.select("*", F.posexplode(F.array(*(f"{n}_key" for n in NAMES))).alias("__place", "__name")).where("__name <> ''")
-    names = by_grams(named.select("__name").distinct(), queries.where("q_lookup <> ''"), "__name", "q_lookup", F.contains("__name", F.col("q_lookup")))
+    names = by_grams(named.select("__name").distinct(), queries.where("q_lookup <> ''"), "__name", "q_lookup", F.contains("__name", F.col("q_lookup")), most)
     first = F.when(part[0], 0).when(part[1], 1).when(part[2], 2)
     by_name = named.join(names, "__name").where(~phrase & (first == F.col("__place"))).drop("__place", "__name")
     return by_content.unionByName(by_name)
@@ -111,20 +113,28 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most: int = BROADCAST_QUERIES) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most: int = BROADCAST_QUERIES, fetch: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
-    query_id, q_content, q_lookup. Adds rank, score, match_types and candidate_count (scored candidates after
-    the cut). Keys are made once per row before the join; spread deals a small table out to so many tasks.
+    query_id, q_content, q_lookup and, where wanted, only_author and only_dynasty: lookup keys that a chunk's
+    have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
+    after the cut). Scores are made where rows and queries meet, so that texts and keys don't travel; those
+    named in fetch are joined to the hits by chunk_id. spread deals a table of few splits out to so many tasks.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     rows = rows.repartition(spread) if spread else rows
     priority, score, types = lexical_columns()
-    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup"), most)
-    cut = top(pairs.withColumn("priority", priority), candidate_limit(k), F.asc("priority"), F.asc("chunk_id"), name="cut")
-    scored = cut.withColumns({"score": score, "match_types": types}).where("score > 0").withColumn("candidate_count", F.count("*").over(Window.partitionBy("query_id")))
-    return top(scored, k, F.desc("score"), granularity_order("granularity"), F.asc("chunk_id")).drop("priority", "cut", "q_content", "q_lookup")
+    only = [c for c in ("only_author", "only_dynasty") if c in queries.columns]
+    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup", *only), most)
+    for c in only:
+        pairs = pairs.where(F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"{c.removeprefix('only_')}_key")))
+    light = [c for c in chunks.columns if c not in HEAVY]
+    slim = pairs.select("query_id", *light, priority.alias("priority"), score.alias("score"), types.alias("match_types"))
+    cut = top(slim, candidate_limit(k), F.asc("priority"), F.asc("chunk_id"), name="cut")
+    scored = cut.where("score > 0").withColumn("candidate_count", F.count("*").over(Window.partitionBy("query_id")))
+    found = top(scored, k, F.desc("score"), granularity_order("granularity"), F.asc("chunk_id")).drop("priority", "cut")
+    return found.join(chunks.select("chunk_id", *fetch), "chunk_id") if fetch else found
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", facets: list[str] | None = None, most_bytes: int = 64 << 20) -> DataFrame:

@@ -27,13 +27,15 @@ def asked(spark, d):
     return r.query_keys(questions(spark, d))
 
 
-def tasks(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tasks(spark, d):
+    """Tasks to deal the documents out to: none where their files already give every core a split."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores if load(spark, d, "documents").rdd.getNumPartitions() < cores else 0
 
 
 def lexical_top5_lines(spark, d):
     """Each benchmark item's first sentence, and the five best lines of all works."""
-    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark))
+    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark, d))
     return found.select("query_id", "rank", "chunk_id", "work_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
@@ -41,7 +43,7 @@ def lexical_scored(spark, d):
     """Lines and whole texts of the visible works."""
     rows = works(spark, d).where((F.col("status") == "published") & ~F.col("deleted"))
     both = lines_of(rows).unionByName(texts_of(rows))
-    found = r.lexical_search(both, asked(spark, d), 8, spread=tasks(spark))
+    found = r.lexical_search(both, asked(spark, d), 8, spread=tasks(spark, d))
     return found.select("query_id", "rank", "chunk_id", "granularity", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 
@@ -91,7 +93,7 @@ def dense_stale_dropped(spark, d):
 def branches(spark, d):
     """Lexical and dense branches of the benchmark: an item's vector is that of its number; dense hits are whole texts."""
     vectors = load(spark, d, "embeddings")
-    lexical = r.lexical_search(texts_of(works(spark, d)), asked(spark, d), 25, spread=tasks(spark)).select("query_id", "rank", "chunk_id", "score", "match_types")
+    lexical = r.lexical_search(texts_of(works(spark, d)), asked(spark, d), 25, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "score", "match_types")
     queries = questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
     dense = r.dense_search(vectors, queries, 25).select("query_id", "rank", (F.col("vec_id") * 1_000_000).alias("chunk_id"))
     return lexical, dense
@@ -123,7 +125,7 @@ def variants(spark, d):
 def variant_results(spark, d):
     """All variants run as one batch, under ids made of the query's and the variant's."""
     rows = variants(spark, d).withColumns({"origin": F.col("query_id"), "query_id": F.col("query_id") * 10 + F.col("ord")})
-    found = r.lexical_search(texts_of(works(spark, d)), r.query_keys(rows.select("query_id", "question")), 10, spread=tasks(spark))
+    found = r.lexical_search(texts_of(works(spark, d)), r.query_keys(rows.select("query_id", "question")), 10, spread=tasks(spark, d), fetch=("title", "text"))
     return found.join(F.broadcast(rows.select("query_id", "origin", "ord", "weight")), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "work_id", "title", "granularity", "text", "match_types", "weight")
 
 
@@ -140,7 +142,8 @@ def match_types_union(spark, d):
 def content_overlap_rank(spark, d):
     terms = F.array_distinct(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) >= 6))
     queries = questions(spark, d).select("query_id", terms.alias("terms")).where("size(terms) > 0")
-    rows = works(spark, d).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head")).repartition(tasks(spark))
+    rows = works(spark, d).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
+    rows = rows.repartition(tasks(spark, d)) if tasks(spark, d) else rows
     score = t.group_score(F.col("body"), F.col("head"), F.col("terms"), F.slice("terms", 1, 1))
     scored = rows.join(F.broadcast(queries)).withColumn("score", score).where("score > 0")
     return top(scored, 5, F.desc("score"), F.asc("work_id")).select("query_id", "rank", "work_id", "score")
@@ -162,26 +165,38 @@ def theme_primary_insert(spark, d):
     return r.theme_insert(rows, 6)
 
 
+def selected_rows(spark, d):
+    """The fused results of the variants with their chunks' columns; the batch runs once."""
+    results = variant_results(spark, d).persist()
+    details = results.select("query_id", "chunk_id", "work_id", "title", "granularity", "text").dropDuplicates(["query_id", "chunk_id"])
+    return r.expanded(results, 200).join(details, ["query_id", "chunk_id"]).withColumn("line_start", F.lit(None).cast("int"))
+
+
 def title_selector(spark, d):
-    found = r.expanded(variant_results(spark, d), 200)
-    details = variant_results(spark, d).select("query_id", "chunk_id", "work_id", "title", "granularity", "text").dropDuplicates(["query_id", "chunk_id"])
-    rows = found.join(details, ["query_id", "chunk_id"]).withColumn("line_start", F.lit(None).cast("int"))
+    rows = selected_rows(spark, d)
     wanted = rows.where("rank = 1").select("query_id", F.array("title").alias("titles"), F.array(F.lit("the")).alias("terms"))
     return selection.explicit_titles(rows, wanted, 5)
 
 
 def multi_evidence_selector(spark, d):
-    found = r.expanded(variant_results(spark, d), 200)
-    details = variant_results(spark, d).select("query_id", "chunk_id", "work_id", "title", "granularity", "text").dropDuplicates(["query_id", "chunk_id"])
-    rows = found.join(details, ["query_id", "chunk_id"]).withColumn("line_start", F.lit(None).cast("int"))
     groups = variants(spark, d).where("ord > 0").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "question"))), lambda x: F.array(x["question"])).alias("groups"))
     wanted = groups.select("query_id", F.array().cast("array<string>").alias("titles"), F.flatten("groups").alias("terms"), "groups", F.transform("groups", lambda g: F.array().cast("array<string>")).alias("anchors"))
-    return selection.multi_evidence(rows, wanted, 5)
+    return selection.multi_evidence(selected_rows(spark, d), wanted, 5)
 
 
 def parent_context(spark, d):
-    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark)).select("query_id", "rank", "chunk_id", "work_id", "score")
-    return r.context_rows(found, line_chunks(works(spark, d)).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
+    """Lines of the works that hits name; only these works are cut into lines again."""
+    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
+    hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
+    return r.context_rows(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
+
+
+def lexical_filtered(spark, d):
+    """Questions that ask for one author, for one language, for both or for none."""
+    n = F.col("query_id")
+    queries = asked(spark, d).withColumns({"only_author": F.when(n % 2 == 0, F.concat(F.lit("src"), (n % 7).cast("string"))), "only_dynasty": F.when(n % 3 == 0, "en")})
+    found = r.lexical_search(texts_of(works(spark, d)), queries, 5, spread=tasks(spark, d))
+    return found.select("query_id", "rank", "chunk_id", "score", "candidate_count")
 
 
 def context_prefix_budget(spark, d):
@@ -194,16 +209,16 @@ def evidence_clip_budget(spark, d):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max_by("text", "rank").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_scored, lexical_by_name, dense_topk_cosine, dense_topk_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
+QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
 
 
-def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "") -> str:
+def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "", only: str = "true") -> str:
     """CTEs cut{name} and lex{name} of a lexical search over chunks (chunk_id, granularity, ck, tk, ak, dk)."""
     n = name
     return f"""pairs{n} AS (SELECT c.*, q.query_id, q.qc, q.ql,
         CASE WHEN qc <> '' AND ck = qc THEN 0 WHEN ql <> '' AND tk = ql THEN 1 WHEN ql <> '' AND ak = ql THEN 2 WHEN ql <> '' AND dk = ql THEN 3
              WHEN ql <> '' AND contains(tk, ql) THEN 4 WHEN ql <> '' AND contains(ak, ql) THEN 5 WHEN ql <> '' AND contains(dk, ql) THEN 6 ELSE 7 END AS priority
-        FROM {chunks} c JOIN {queries} q ON (qc <> '' AND contains(ck, qc)) OR (ql <> '' AND (contains(tk, ql) OR contains(ak, ql) OR contains(dk, ql)))),
+        FROM {chunks} c JOIN {queries} q ON ((qc <> '' AND contains(ck, qc)) OR (ql <> '' AND (contains(tk, ql) OR contains(ak, ql) OR contains(dk, ql)))) AND {only}),
       cut{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, chunk_id) AS cut FROM pairs{n}) x WHERE cut <= {min(max(5 * k, k), 200)}),
       scored{n} AS (SELECT *, round(least(1.0::DOUBLE, greatest(
           CASE WHEN qc <> '' AND ck = qc THEN 1.0::DOUBLE WHEN qc <> '' AND contains(ck, qc) THEN 0.7::DOUBLE + 0.25::DOUBLE * length(qc) / greatest(length(ck), 1) ELSE 0.0::DOUBLE END,
@@ -250,7 +265,10 @@ EXPANDED = f"""WITH {WORKS}, {QUESTIONS}, {VARIANTS}, {TEXT_KEYS}, {lexical_sql(
 
 RANKED = f"ranked AS (SELECT CAST(regexp_extract(author, '\\d+') AS BIGINT) AS query_id, work_id, chunk_id, text, row_number() OVER (PARTITION BY author ORDER BY length(text) DESC, chunk_id) AS rank FROM lines)"
 
+FILTERED = "(query_id % 2 <> 0 OR ak = 'src' || (query_id % 7)) AND (query_id % 3 <> 0 OR dk = 'en')"
+
 ORACLES = {
+    "lexical_filtered": f"WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 5, only=FILTERED)} SELECT query_id, rank, chunk_id, score, candidate_count FROM lex",
     "lexical_top5_lines": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
     "lexical_scored": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {TEXT_KEYS}, vis AS (SELECT * FROM lc WHERE status = 'published' AND NOT deleted UNION ALL SELECT * FROM tc WHERE status = 'published' AND NOT deleted), {lexical_sql('vis', 8)} SELECT query_id, rank, chunk_id, granularity, score, match_types FROM lex",
     "lexical_by_name": f"WITH {WORKS}, questions(query_id, question) AS (VALUES (1::BIGINT, 'src1'), (2, 'SRC12 '), (3, 'en'), (4, 'e'), (5, '%'), (6, '_')), {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 7)} SELECT query_id, rank, chunk_id, score, match_types, candidate_count FROM lex",

@@ -65,7 +65,7 @@ def strategy_counts(spark, d):
     variants = queries.select("query_id", F.lit(0).alias("ord"), "question", F.lit(3.0).alias("weight"), "embedding")
     out = None
     for s in STRATEGIES:
-        rows = search(texts_of(works(spark, d)), queries, s, 4, vectors, variants, tasks(spark)).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+        rows = search(texts_of(works(spark, d)), queries, s, 4, vectors, variants, tasks(spark, d)).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -73,8 +73,9 @@ def strategy_counts(spark, d):
 def online_context(spark, d):
     """Lexical lines with the missing lines of their works."""
     lines = lines_of(works(spark, d))
-    found = r.lexical_search(lines, asked(spark, d), 5, spread=tasks(spark)).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types")
-    rows = with_context(found, line_chunks(works(spark, d)).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
+    found = r.lexical_search(lines, asked(spark, d), 5, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types").persist()
+    hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
+    rows = with_context(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
     return rows.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 

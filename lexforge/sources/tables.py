@@ -24,14 +24,14 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_chunks(rows: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """Non-blank trimmed lines with their number in the text and their place among the others, restarting for each row.
 
-    Adds chunk_id (key and line), line_no, chunk_index (long) and text; carriage returns count as line ends.
+    Adds chunk_id (key and line; beyond a million lines a negative hash of both, which meets no other), line_no, chunk_index (long) and text; carriage returns count as line ends.
     The place comes from the array of lines, so no shuffle is needed.
     """
     flat = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.filter(F.transform(F.split(flat, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("n"), F.trim(x).alias("t"))), lambda x: x["t"] != "")
     others = [c for c in rows.columns if c not in (text, "chunk_id", "line_no", "chunk_index", "text")]
     return rows.select(*others, F.posexplode(lines).alias("chunk_index", "line")).select(
-        *others, (F.col(key) * 1_000_000 + F.col("line.n")).alias("chunk_id"), F.col("line.n").alias("line_no"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("line.t").alias("text")
+        *others, F.when(F.col("line.n") < 1_000_000, F.col(key) * 1_000_000 + F.col("line.n")).otherwise(-F.shiftrightunsigned(F.xxhash64(key, "line.n"), 1)).alias("chunk_id"), F.col("line.n").alias("line_no"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("line.t").alias("text")
     )
 
 

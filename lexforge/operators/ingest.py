@@ -72,6 +72,37 @@ def classify(staged: DataFrame, current: DataFrame, key: str, compared: list[str
     return rows.drop("__key", *(f"__{c}" for c in [*compared, "status"]))
 
 
+def applied(staged: DataFrame, current: DataFrame, key: str, compared: list[str], error: Column | None = None) -> DataFrame:
+    """The table after an import: current (key, compared, status, version_no) merged with staged.
+
+    New rows start at version 1 as published, or draft where publish is false; updated rows take the compared
+    columns, rise a version and are published where publish says so; unchanged and failed rows stay as they
+    were, and so does what staged doesn't name. Adds result, null for the last. Running it again changes nothing.
+    """
+    results = classify(staged, current, key, compared, error)
+    wanted = F.coalesce("publish", F.lit(True)) if "publish" in staged.columns else F.lit(True)
+    new = results.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in compared), wanted.alias("__publish"), "result")
+    both = current.join(new, F.col(key) == F.col("__key"), "full_outer").where(F.col(key).isNotNull() | (F.col("result") == "created"))
+    change = F.coalesce(F.col("result").isin("created", "updated"), F.lit(False))
+    created = F.col("result").eqNullSafe("created")
+    status = F.when(change & F.col("__publish"), "published").when(created, "draft").otherwise(F.col("status"))
+    version = F.when(created, 1).otherwise(F.col("version_no") + change.cast("int")).cast("long")
+    return both.select(F.coalesce(key, "__key").alias(key), *(F.when(change, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in compared), status.alias("status"), version.alias("version_no"), "result")
+
+
+def rebuilt(chunks: DataFrame, made: DataFrame, version: str = "version_id") -> DataFrame:
+    """chunks with those of made's versions replaced by made; refused where any of these has a vector.
+
+    Both need the version column and chunks vector_id. Only the versions named are touched, so that a table
+    partitioned by version rewrites their folders alone.
+    """
+    versions = made.select(version).distinct()
+    held = chunks.join(versions, version, "left_semi").where("vector_id IS NOT NULL").select(version).first()
+    if held:
+        raise ValueError(f"version {held[0]} has vectors; its chunks can't be rebuilt")
+    return chunks.join(versions, version, "left_anti").unionByName(made, allowMissingColumns=True)
+
+
 def report(results: DataFrame) -> DataFrame:
     """Counts of the results of an import, all four in one row."""
     return results.agg(*(F.count_if(F.col("result") == s).alias(s) for s in ("created", "updated", "unchanged", "failed")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import catalog
@@ -100,9 +101,63 @@ def conversations_recent(spark, d):
     return found.orderBy(F.desc_nulls_last("last_turn"), F.desc("turns"), F.desc("conv_id")).limit(50)
 
 
-QUERIES = {f.__name__: f for f in (works_public_page, works_search_disjunctive, author_work_counts, category_counts_bridge, dynasty_counts_all, work_with_relations_nested, category_ancestors_recursive, author_like_unescaped, concat_search, pending_versions_distinct, batch_key_lookup_semi, bulk_facets, entity_resolution, all_keys_found, conversations_recent)}
+def works_admin_page(spark, d):
+    """All orders, the last changed first; ties by id downwards."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"), "o_orderstatus")
+    return catalog.page(rows, 3, 25, F.desc("updated_at"), F.desc("id"))
+
+
+def authors_by_name(spark, d):
+    """Suppliers by name, then id, with their place in this order; only the first page is sorted on the driver's side."""
+    rows = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return catalog.page(rows, 1, 50, F.asc("name"), F.asc("id"))
+
+
+def dimensions_in_order(spark, d):
+    """Nations by their region's place, then id."""
+    rows = load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("sort_order"), F.col("n_name").alias("name"))
+    return rows.orderBy("sort_order", "id")
+
+
+def chunks_in_order(spark, d):
+    """The first chunks to index: by granularity, place and id; whole texts are longer lines here."""
+    kind = F.when(F.length("text") > 400, "poem").otherwise("line")
+    rows = line_chunks(works(spark, d)).select("chunk_id", F.col("id").alias("version_id"), "chunk_index", kind.alias("granularity"))
+    return rows.orderBy("granularity", "chunk_index", "chunk_id").limit(200)
+
+
+def works_of_author(spark, d):
+    """The public works of one author, the newest first."""
+    rows = works(spark, d).where((F.col("author") == "src1") & (F.col("status") == "published") & ~F.col("deleted"))
+    return rows.select("id", "title", "dynasty").orderBy(F.desc("id")).limit(100)
+
+
+def conversation_of_owner(spark, d):
+    """One conversation by its id, only where its first turn is of the role that may see it; a point get by two keys."""
+    rows = load(spark, d, "conversations").where("conv_id = 7")
+    owner = rows.where("turn = 0 AND role = 'user'").select("conv_id")
+    return rows.join(owner, "conv_id", "left_semi").select("conv_id", "turn", "role")
+
+
+def observed_batch(spark, d):
+    """Figures of a batch as it is written: rows, slowest and mean latency by kind, without a second pass over it."""
+    seen = Observation("batch")
+    rows = load(spark, d, "events").select("event_type", "value").observe(seen, F.count("*").alias("n"), F.max("value").alias("most"), F.sum("value").alias("total"))
+    rows.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(got["n"], got["most"], round(got["total"], 3))], "n long, most double, total double")
+
+
+QUERIES = {f.__name__: f for f in (works_public_page, works_search_disjunctive, author_work_counts, category_counts_bridge, dynasty_counts_all, work_with_relations_nested, category_ancestors_recursive, author_like_unescaped, concat_search, pending_versions_distinct, batch_key_lookup_semi, bulk_facets, entity_resolution, all_keys_found, conversations_recent, works_admin_page, authors_by_name, dimensions_in_order, chunks_in_order, works_of_author, conversation_of_owner, observed_batch)}
 
 ORACLES = {
+    "works_admin_page": "SELECT o_orderkey AS id, o_orderdate AS updated_at, o_orderstatus, (SELECT count(*) FROM orders) AS total, (SELECT CAST(ceil(count(*) / 25.0) AS BIGINT) FROM orders) AS total_pages FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 50",
+    "authors_by_name": "SELECT s_suppkey AS id, s_name AS name, (SELECT count(*) FROM supplier) AS total, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM supplier) AS total_pages FROM supplier ORDER BY s_name, s_suppkey LIMIT 50",
+    "dimensions_in_order": "SELECT n_nationkey AS id, n_regionkey AS sort_order, n_name AS name FROM nation ORDER BY 2, 1",
+    "chunks_in_order": f"WITH {WORKS}, {LINES} SELECT chunk_id, work_id AS version_id, chunk_index, CASE WHEN length(text) > 400 THEN 'poem' ELSE 'line' END AS granularity FROM lines ORDER BY 4, 3, 1 LIMIT 200",
+    "works_of_author": f"WITH {WORKS} SELECT id, title, dynasty FROM works WHERE author = 'src1' AND status = 'published' AND NOT deleted ORDER BY id DESC LIMIT 100",
+    "conversation_of_owner": "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 7 AND EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = 7 AND c.turn = 0 AND c.role = 'user')",
+    "observed_batch": "SELECT count(*) AS n, max(value) AS most, round(sum(value), 3) AS total FROM events",
     "works_public_page": f"WITH {WORKS}, p AS (SELECT id, title, author, dynasty FROM works WHERE status = 'published' AND NOT deleted) SELECT p.*, (SELECT count(*) FROM p) AS total, (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM p) AS total_pages FROM p ORDER BY id DESC LIMIT 20 OFFSET 20",
     "works_search_disjunctive": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urgent') OR o_custkey IN (SELECT c_custkey FROM customer WHERE contains(lower(c_name), '0000001')) OR o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'an'))",
     "author_work_counts": "SELECT c_custkey AS author_id, c_name AS name, coalesce(n, 0) AS work_count FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) x ON x.o_custkey = c_custkey",

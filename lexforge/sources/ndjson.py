@@ -15,18 +15,27 @@ def parsed_lines(lines: DataFrame, column: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, paths: list[str], schema: str, strict: bool = True) -> DataFrame:
-    """Records of NDJSON shards with file, line (of the file), source_line (of the file's records) and error.
+    """Records of NDJSON shards with file, line (of the file), source_line (of the file's records), error and sha256.
 
     Base names have to differ. strict raises with the line of the first bad one; a shard without records
-    raises too. Each shard is numbered by itself, so the numbering window never spans files.
+    raises too. Only the hash of a file needs its bytes in one piece, of 2 GB at most.
     """
     names = [p.rstrip("/").rpartition("/")[2] for p in paths]
     if len(set(names)) < len(names):
         raise ValueError("shard names must differ")
-    whole = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_name").alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "utf-8").alias("body"))
-    lines = whole.select("file", "sha256", F.posexplode(F.split("body", "\r?\n")).alias("at", "text")).withColumn("line", F.col("at") + 1).drop("at")
+    # Lines are read in splits, so that a large shard is many tasks; a line's number is its place by split and within it.
+    read = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("text"))
+    blocks = read.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "block", before.alias("before"))
+    in_block = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    lines = read.join(offsets, ["file", "block"]).withColumn("line", (F.col("before") + in_block).cast("int"))
     rows = parsed_lines(lines, "text")
-    numbered = rows.withColumn("source_line", F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    held = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    earlier = held.select("file", "block", before.alias("filled"))
+    in_filled = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    sums = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_name").alias("file"), F.sha2("content", 256).alias("sha256"))
+    numbered = rows.join(earlier, ["file", "block"]).withColumn("source_line", (F.col("filled") + in_filled).cast("int")).join(sums, "file")
     if strict:
         bad = numbered.where("error IS NOT NULL").orderBy("file", "line").first()
         if bad:

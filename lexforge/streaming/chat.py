@@ -120,3 +120,19 @@ def split_frames(buffer: str, chunk: str) -> tuple[list[tuple[str, str]], str]:
         if data:
             frames.append((names[-1] if names else "message", "\n".join(data)))
     return frames, rest
+
+
+def frame_stream(chunks: DataFrame) -> DataFrame:
+    """Frames (stream_id, event, data) of a stream of chunks (stream_id, seq, chunk), which may be cut anywhere; what is left of a stream waits in its state."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest = state.get[0] if state.exists else ""
+        rows = pd.concat(list(batches)).sort_values("seq")
+        # A carriage return at the end may be half of a line end, so it waits as well.
+        held = rest + "".join(rows["chunk"])
+        text, back = (held[:-1], "\r") if held.endswith("\r") else (held, "")
+        frames, left = split_frames("", text)
+        state.update((left + back,))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(frames), "event": [f[0] for f in frames], "data": [f[1] for f in frames]})
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(fold, "stream_id long, event string, data string", "rest string", "append", GroupStateTimeout.NoTimeout)

@@ -39,7 +39,8 @@ def index_chunks(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], sto
     """Embed pending chunks, check the vectors, publish them, and give all chunks with their new status.
 
     embed adds an embedding column. Vectors are written under a path of their own and are only part of the
-    store once the check holds, so a failed run leaves no points behind; its chunks come back as failed.
+    store once the check holds, so a failed run leaves no points behind; its chunks come back as failed. A
+    run's points are one folder, batch=..., named by what it holds, so that a rerun writes the same one again.
     """
     spark = chunks.sparkSession
     pending = chunks.where(F.col("status") == "pending")
@@ -49,6 +50,7 @@ def index_chunks(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], sto
     sizes = written.agg(F.min(F.size("embedding")), F.max(F.size("embedding")), F.count("*"), F.count("embedding")).first()
     good = sizes[2] == sizes[3] and (not sizes[2] or sizes[0] == sizes[1] == dimension)
     if good:
-        written.write.mode("append").parquet(f"{store_path}/points")
+        name = written.agg(F.hex(F.bit_xor(F.xxhash64("chunk_id", "vector_id")))).first()[0] or "none"
+        written.write.mode("overwrite").parquet(f"{store_path}/points/batch={name}")
     change = pending.select("chunk_id", F.lit("ready" if good else "failed").alias("status"))
     return ingest.updated(chunks, change, "chunk_id", "status")

@@ -201,7 +201,7 @@ def test_chat_states(spark):
 def test_state_stream_ends(spark, tmp_path):
     rows = [(1, 1, "delta", "ab"), (1, 2, "done", None), (2, 1, "delta", "x"), (3, 1, "error", None)]
     frame = spark.createDataFrame(rows, "stream_id long, seq long, kind string, payload string")
-    frame.write.parquet(str(tmp_path / "events"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "events"))
     stream = chat.final_state_stream(chat.read_event_files(spark, str(tmp_path / "events"), frame.schema), wait_ms=None)
     query = stream.writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()

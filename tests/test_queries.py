@@ -48,4 +48,4 @@ def test_plan_shapes(spark):
     assert "WindowGroupLimit" in plan(q["lexical_top5_lines"](spark, FOLDER)) and "BroadcastNestedLoopJoin" in plan(q["lexical_top5_lines"](spark, FOLDER))
     assert "TakeOrderedAndProject" in plan(q["conversations_recent"](spark, FOLDER))
     assert "LeftSemi" in plan(q["batch_key_lookup_semi"](spark, FOLDER))
-    assert "ReadSchema: struct<lang:string>" in plan(q["dynasty_counts_all"](spark, FOLDER))
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan(q["dynasty_counts_all"](spark, FOLDER))

@@ -28,6 +28,11 @@ def candidate_limit(k: int) -> int:
     return min(max(5 * k, k), 200)
 
 
+def own_limit(column: str) -> Column:
+    """candidate_limit of a column."""
+    return F.least(F.greatest(5 * F.col(column), F.col(column)), F.lit(200))
+
+
 def granularity_order(column: str | Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for pair in GRANULARITIES.items() for x in pair))
     return F.coalesce(F.try_element_at(pairs, F.col(column) if isinstance(column, str) else column), F.lit(99))
@@ -119,29 +124,34 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
     query_id, q_content, q_lookup and, where wanted, only_author and only_dynasty: lookup keys that a chunk's
     have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
-    after the cut). Scores are made where rows and queries meet, so that texts and keys don't travel; those
-    named in fetch are joined to the hits by chunk_id. spread deals a table of few splits out to so many tasks.
+    after the cut). A column own_k of the queries gives each its own k, of at most k. Scores are made where
+    rows and queries meet, so that texts and keys don't travel; those named in fetch are joined to the hits
+    by chunk_id. spread deals a table of few splits out to so many tasks.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     rows = rows.repartition(spread) if spread else rows
     priority, score, types = lexical_columns()
     only = [c for c in ("only_author", "only_dynasty") if c in queries.columns]
-    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup", *only), most)
+    own = ["own_k"] if "own_k" in queries.columns else []
+    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup", *only, *own), most)
     for c in only:
         pairs = pairs.where(F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"{c.removeprefix('only_')}_key")))
     light = [c for c in chunks.columns if c not in HEAVY]
-    slim = pairs.select("query_id", *light, priority.alias("priority"), score.alias("score"), types.alias("match_types"))
+    slim = pairs.select("query_id", *own, *light, priority.alias("priority"), score.alias("score"), types.alias("match_types"))
     cut = top(slim, candidate_limit(k), F.asc("priority"), F.asc("chunk_id"), name="cut")
+    if own:
+        cut = cut.where(F.col("cut") <= own_limit("own_k"))
     scored = cut.where("score > 0").withColumn("candidate_count", F.count("*").over(Window.partitionBy("query_id")))
     found = top(scored, k, F.desc("score"), granularity_order("granularity"), F.asc("chunk_id")).drop("priority", "cut")
+    found = found.where("rank <= own_k").drop("own_k") if own else found
     return found.join(chunks.select("chunk_id", *fetch), "chunk_id") if fetch else found
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", facets: list[str] | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """The k nearest vectors of each query: (query_id, vec_id, score, rank).
 
-    vectors: vec_id, embedding; queries: query_id, embedding; facets: columns of both that have to be equal,
-    checked before the cut. cosine and dot are best large, euclid small. Vectors of one batch are compared
+    vectors: vec_id, embedding; queries: query_id, embedding; facets: columns of both, checked before the cut:
+    a query's value has to be equal, a list of values to hold the vector's, and null is no filter. cosine and dot are best large, euclid small. Vectors of one batch are compared
     with all queries by one product in double precision and leave their best k and ties; a window over what
     batches leave gives the result. Queries are taken in slices of a bounded size. Ties go by vec_id.
     """
@@ -177,9 +187,12 @@ def nearest(shared, k: int, metric: str, n_facets: int):
                 scores = scores / np.sqrt((q**2).sum(axis=1))[:, None] / np.sqrt((x**2).sum(axis=1))
             elif metric == "euclid":
                 scores = -np.sqrt(np.maximum(0, (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * scores))
-            if n_facets:
-                have = list(zip(*(batch.column(2 + f).to_pylist() for f in range(n_facets))))
-                scores = np.where(np.array([[h == w for h in have] for w in wanted]), scores, -np.inf)
+            for f in range(n_facets):
+                have = batch.column(2 + f).to_pylist()
+                for i, want in enumerate(w[f] for w in wanted):
+                    if want is not None:
+                        held = set(want) if isinstance(want, list) else {want}
+                        scores[i, [h not in held for h in have]] = -np.inf
             least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
             qi, xi = np.nonzero((scores >= least[:, None] - 2e-6) & np.isfinite(scores))
             value = scores[qi, xi] * (-1 if metric == "euclid" else 1)
@@ -241,9 +254,14 @@ def weighted_variants(variants: DataFrame, most: int) -> DataFrame:
     return top(variants, most, F.desc("weight"), F.asc("ord"), name="kept").drop("kept")
 
 
-def expanded(results: DataFrame, k: int) -> DataFrame:
-    """Weighted fusion of the results (query_id, ord, rank, chunk_id, match_types, weight) of all variants; later variants are expansions."""
-    used = results.select("query_id", "ord", "weight").distinct().groupBy("query_id").agg(F.sum("weight").alias("total"))
+def expanded(results: DataFrame, k: int, variants: DataFrame | None = None) -> DataFrame:
+    """Weighted fusion of the results (query_id, ord, rank, chunk_id, match_types, weight) of all variants; later variants are expansions.
+
+    The best score there can be is that of a chunk that is first for every one of variants (query_id, ord,
+    weight), also of those that found nothing; without variants for every one of the results'.
+    """
+    run = results if variants is None else variants
+    used = run.select("query_id", "ord", "weight").distinct().groupBy("query_id").agg(F.sum("weight").alias("total"))
     fused = fuse(results.withColumnRenamed("ord", "branch"), 1 << 30, first_only=False).join(used, "query_id")
     types = F.array_distinct(F.concat("match_types", F.when(F.col("last_branch") > 0, F.array(F.lit("query_expansion"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("rrf_fusion"))))
     score = F.round(F.least(F.lit(1.0), F.col("rrf") / (F.col("total") / (RRF + 1))), 6)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lookup_key
 
-#: Candidates of a query that a selector sees, and rows of one work before the others are filled up.
-MOST_CANDIDATES, EACH_WORK = 200, 2
+#: Candidates of a query that a selector sees (20 variants of 200 hits have no more), and rows of one work before the others are filled up.
+MOST_CANDIDATES, EACH_WORK = 4000, 2
 ORDER = {"line": 0, "poem": 1, "note": 2}
 RESULT = "query_id long, place long, chunk_id long, work_id long, hard_filtered boolean"
 
@@ -92,7 +92,7 @@ class Picker:
 
 
 def applied(ranked: DataFrame, wanted: DataFrame, run) -> DataFrame:
-    rows = ranked.where(F.col("rank") <= MOST_CANDIDATES).join(F.broadcast(wanted), "query_id")
+    rows = ranked.where(F.col("rank") <= MOST_CANDIDATES).join(wanted, "query_id")
     return rows.groupBy("query_id").applyInPandas(run, RESULT)
 
 
@@ -101,11 +101,14 @@ def explicit_titles(ranked: DataFrame, wanted: DataFrame, k: int, diversify: boo
 
     ranked: query_id, rank, chunk_id, work_id, title, granularity, text, line_start, rrf, best_rank; wanted:
     query_id, titles, terms. A title without a candidate empties the query's result, which then is one row
-    with hard_filtered. A single title also brings the whole text of its work.
+    with hard_filtered. A single title also brings the whole text of its work. diversify, tail and primary
+    may also be columns of wanted, for each query its own.
     """
+    flags = {"diversify": diversify, "tail": tail, "primary": primary}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
+        diversify, tail, primary = (bool(first.get(name, value)) for name, value in flags.items())
         picker = Picker(rows, first["terms"], k)
         for title in first["titles"]:
             row = picker.titled(title, tail, primary)

@@ -126,11 +126,11 @@ def variant_results(spark, d):
     """All variants run as one batch, under ids made of the query's and the variant's."""
     rows = variants(spark, d).withColumns({"origin": F.col("query_id"), "query_id": F.col("query_id") * 10 + F.col("ord")})
     found = r.lexical_search(texts_of(works(spark, d)), r.query_keys(rows.select("query_id", "question")), 10, spread=tasks(spark, d), fetch=("title", "text"))
-    return found.join(F.broadcast(rows.select("query_id", "origin", "ord", "weight")), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "work_id", "title", "granularity", "text", "match_types", "weight")
+    return found.join(rows.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "work_id", "title", "granularity", "text", "match_types", "weight")
 
 
 def expanded_weighted_rrf(spark, d):
-    found = r.expanded(variant_results(spark, d), 10)
+    found = r.expanded(variant_results(spark, d), 10, variants(spark, d))
     return found.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 
@@ -257,7 +257,7 @@ VARIANTS = f"""words AS (SELECT query_id, question, list_filter(regexp_split_to_
 
 EXPANDED = f"""WITH {WORKS}, {QUESTIONS}, {VARIANTS}, {TEXT_KEYS}, {lexical_sql('tc', 10, 'vkeys')},
   res AS (SELECT v.query_id, v.ord, v.weight, l.rank, l.chunk_id, l.match_types FROM lex l JOIN variants v ON v.query_id * 10 + v.ord = l.query_id),
-  used AS (SELECT query_id, sum(weight) AS total FROM (SELECT DISTINCT query_id, ord, weight FROM res) x GROUP BY 1),
+  used AS (SELECT query_id, sum(weight) AS total FROM variants GROUP BY 1),
   types AS (SELECT query_id, chunk_id, string_agg(m, SEP ORDER BY o, i) AS mt FROM (SELECT query_id, chunk_id, m, min(ord) AS o, min(ord * 10 + i) AS i FROM (SELECT query_id, chunk_id, ord, unnest(string_split(match_types, ',')) AS m, unnest(range(5)) AS i FROM res) x WHERE m IS NOT NULL GROUP BY 1, 2, 3) y GROUP BY 1, 2),
   packed AS (SELECT query_id, chunk_id, list_reduce(list(weight / (60 + rank) ORDER BY ord), lambda a, b: a + b) AS rrf, min(rank) AS best, max(ord) AS last FROM res GROUP BY 1, 2),
   final AS (SELECT p.query_id, p.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY round(rrf, 12) DESC, best, p.chunk_id) AS rank, round(least(1.0::DOUBLE, rrf / (total / 61)), 6) AS score,

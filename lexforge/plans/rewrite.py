@@ -1,11 +1,14 @@
-"""Query rewriting on the driver: queries are few, so rewriting gives rows that searches broadcast."""
+"""Query rewriting: one query at a time, in batches on the executors."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import LITERALS, content_key, lookup_key
 
@@ -198,7 +201,46 @@ def rewrite(query: str, lexicon: Lexicon) -> Rewrite:
 SCHEMA = ", ".join(f"{f.name} " + ("boolean" if f.type == "bool" else "string" if f.type == "str" else "array<array<string>>" if "list[list" in f.type else "array<string>") for f in fields(Rewrite))
 
 
+def selection_terms(r: Rewrite) -> list[str]:
+    """Terms that selectors look for: the content's, else the concepts', else the variants, without titles."""
+    titles = {lookup_key(x) for x in r.explicit_titles}
+    for terms in (r.content_terms, r.concept_terms, r.variants):
+        if found := [x for x in distinct(terms) if lookup_key(x) not in titles]:
+            return found
+    return []
+
+
+def weighted(r: Rewrite) -> list[tuple]:
+    """(ord, question, weight, title, author, dynasty) of the query and its variants: the weight by the first list that holds the variant, and whether it is one of these names."""
+    keys = lambda values: {lookup_key(x) for x in values}
+    titles, authors, dynasties = keys(r.explicit_titles), keys(r.matched_authors), keys(r.matched_dynasties)
+    quoted = keys(m.group(1) for p in LITERALS for m in re.finditer(p, r.original_query))
+    held = (({lookup_key(r.original_query)}, 3.0), (titles, 2.5), (quoted, 3.0), (authors | dynasties, 2.0), (keys(r.concept_terms), 1.5))
+    terms, out = keys(r.content_terms), []
+    for i, variant in enumerate(distinct([r.original_query, *r.variants])):
+        key = lookup_key(variant)
+        weight = next((w for found, w in held if key in found), (1.5 if len(key) >= 4 else 0.5) if key in terms else 1.0)
+        out.append((i, variant, weight, key in titles, key in authors, key in dynasties))
+    return out
+
+
+RUNS = "runs array<struct<ord:int,question:string,weight:double,title:boolean,author:boolean,dynasty:boolean>>, terms array<string>"
+
+
+def rewritten(queries: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """query_id and question of queries, with the rewrite's columns, the runs (weighted variants) and the selectors' terms; a null question is an empty one."""
+    names = [f.name for f in fields(Rewrite)]
+    places = ("ord", "question", "weight", "title", "author", "dynasty")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [rewrite(q or "", lexicon) for q in batch["question"]]
+            columns = {n: [getattr(r, n) for r in made] for n in names} | {"runs": [[dict(zip(places, v)) for v in weighted(r)] for r in made], "terms": [selection_terms(r) for r in made]}
+            yield batch.assign(**{n: pd.Series(v, index=batch.index, dtype=object) for n, v in columns.items()})
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), "question").mapInPandas(run, f"query_id long, question string, {SCHEMA}, {RUNS}")
+
+
 def rewrites(spark: SparkSession, queries: list[tuple[int, str]], lexicon: Lexicon) -> DataFrame:
-    """query_id and the rewrite's columns."""
-    rows = [(i, *(getattr(r, f.name) for f in fields(Rewrite))) for i, q in queries for r in [rewrite(q, lexicon)]]
-    return spark.createDataFrame(rows, f"query_id long, {SCHEMA}")
+    """The same of a list of queries."""
+    return rewritten(spark.createDataFrame(queries, "query_id long, question string"), lexicon)

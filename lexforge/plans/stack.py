@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..operators import catalog, selection
 from ..operators import retrieval as r
 from ..operators.evaluation import first_ranks
-from ..sources.tables import line_chunks, load, works
+from ..sources.ports import embedded, hashed_vectors
+from ..sources.tables import checkpointed, line_chunks, load, works
 from .evaluation import gold
-from .retrieval import HYBRID, asked, branches, lines_of, tasks, texts_of
+from .retrieval import HYBRID, TEXT_KEYS, asked, branches, lexical_sql, lines_of, tasks, texts_of
+from .rewrite import Lexicon, rewritten
+from .shared import LINES, QUESTIONS, WORKS, content_key
 
 STRATEGIES = ("lexical", "dense", "hybrid", "expanded_lexical", "expanded_hybrid")
+#: Hits of a variant that is a title in the query, and of one that asks for a work's end; variants of a query.
+TITLE_HITS, TAIL_HITS, MOST_VARIANTS = 50, 200, 8
 
 
 def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors: DataFrame | None = None, variants: DataFrame | None = None, spread: int = 0) -> DataFrame:
@@ -26,8 +35,8 @@ def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors
     if strategy.startswith("expanded"):
         ids = variants.withColumns({"origin": F.col("query_id"), "query_id": F.xxhash64("query_id", "ord")})
         inner = search(chunks, ids, strategy.removeprefix("expanded_"), r.candidate_limit(k), vectors, None, spread)
-        results = inner.join(F.broadcast(ids.select("query_id", "origin", "ord", "weight")), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "match_types", "weight")
-        return r.expanded(results, k).select("query_id", "rank", "chunk_id", "score", "match_types", F.lit(strategy).alias("strategy"))
+        results = inner.join(ids.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "match_types", "weight")
+        return r.expanded(results, k, variants).select("query_id", "rank", "chunk_id", "score", "match_types", F.lit(strategy).alias("strategy"))
     if strategy == "dense":
         return r.dense_search(vectors, queries.select("query_id", "embedding"), k).select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "score", F.array(F.lit("dense")).alias("match_types"), F.lit(strategy).alias("strategy"))
     wide = k if strategy == "lexical" else r.candidate_limit(k)
@@ -38,6 +47,86 @@ def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors
     return r.hybrid(lexical, dense, k, dense_failed=dense is None).select("query_id", "rank", "chunk_id", "score", "match_types", "strategy")
 
 
+def resolved(rewrites: DataFrame, authors: DataFrame, dynasties: DataFrame) -> DataFrame:
+    """rewrites with only_author and only_dynasty: the one author (dynasty) that a query names and that exists.
+
+    A query that asks for several works is not bound to an author. What rewrites brings in caller_author and
+    caller_dynasty, lookup keys or null, comes first. authors (author) and dynasties (dynasty) are the names
+    there are; one that several rows share counts as none.
+    """
+    one = lambda names: F.when(F.size(names) == 1, F.element_at(names, 1))
+    named = rewrites.withColumns({"author_name": F.when(~F.col("multi_evidence"), one("matched_authors")), "dynasty_name": one("matched_dynasties")})
+    for kind, names in (("author", authors), ("dynasty", dynasties)):
+        keys = names.select(F.col(kind).alias("name"), t.normalize_lookup(F.col(kind)).alias(f"{kind}_found")).where(f"{kind}_found <> ''")
+        named = catalog.resolve_names(named, keys, f"{kind}_name", "name", f"{kind}_found")
+        caller = [F.col(f"caller_{kind}")] if f"caller_{kind}" in rewrites.columns else []
+        named = named.withColumn(f"only_{kind}", F.coalesce(*caller, F.col(f"{kind}_found")))
+    return named
+
+
+def weighted(rewrites: DataFrame, k: int, most: int = MOST_VARIANTS) -> DataFrame:
+    """The variants to run of resolved rewrites: query_id, ord, question, weight, own_k and the filters.
+
+    The most of the greatest weight stay. Then names go that a filter stands for, where a query has terms of
+    its own and asks neither for a title nor for several works.
+    """
+    kept = r.weighted_variants(rewrites.select(*(c for c in rewrites.columns if c != "question"), F.inline("runs")), most)
+    free = (F.size("content_terms") > 0) & (F.size("explicit_titles") == 0) & ~F.col("multi_evidence")
+    stands = free & ((F.col("author_found").isNotNull() & F.col("author")) | (F.col("dynasty_found").isNotNull() & F.col("dynasty")))
+    wide = r.candidate_limit(k)
+    own = F.when(F.col("title"), F.when(F.col("prefer_tail"), max(wide, TAIL_HITS)).otherwise(max(wide, TITLE_HITS))).otherwise(wide)
+    return kept.where(~stands).select("query_id", "ord", "question", "weight", own.alias("own_k"), "only_author", "only_dynasty")
+
+
+def expanded_search(
+    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon, authors: DataFrame, dynasties: DataFrame, k: int, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, floor: float | None = None, most: int = MOST_VARIANTS, spread: int = 0
+) -> DataFrame:
+    """Rewrite, filter, run all variants as one batch, fuse and select: (query_id, place, chunk_id, work_id, score, match_types, hard_filtered).
+
+    chunks: as lexical_search takes them, with line_start; queries: query_id, question and, where a caller
+    filters, caller_author and caller_dynasty. embed adds an embedding to rows with a question; with vectors
+    (vec_id, a chunk_id; embedding, author_key, dynasty_key) every variant runs lexically and densely, with
+    hits above floor only. A query for facts that no corpus holds, or for a title that it lacks, gives one row
+    with hard_filtered and no chunk; a blank query gives none. A query of one variant keeps that one's result.
+    """
+    asked = queries.where(F.trim(F.coalesce("question", F.lit(""))) != "")
+    callers = [c for c in ("caller_author", "caller_dynasty") if c in queries.columns]
+    made = rewritten(asked, lexicon)
+    made = made.join(asked.select("query_id", *callers), "query_id") if callers else made
+    rewrites = checkpointed(resolved(made, authors, dynasties))
+    runs = checkpointed(weighted(rewrites.where(~F.col("unavailable")), k, most).withColumns({"origin": F.col("query_id"), "query_id": F.xxhash64("query_id", "ord")}))
+    widest = max(r.candidate_limit(k), TAIL_HITS)
+    limits = runs.select("query_id", "own_k")
+    if vectors is None:
+        found = r.lexical_search(chunks, r.query_keys(runs), widest, spread=spread)
+    else:
+        inner = r.query_keys(runs.withColumn("own_k", r.own_limit("own_k")))
+        lexical = r.lexical_search(chunks, inner, widest, spread=spread)
+        asking = embed(runs).select("query_id", "embedding", F.col("only_author").alias("author_key"), F.col("only_dynasty").alias("dynasty_key"))
+        dense = r.dense_search(vectors, checkpointed(asking), widest, facets=["author_key", "dynasty_key"])
+        dense = dense.where(F.col("score") >= floor) if floor is not None else dense
+        dense = dense.join(inner.select("query_id", "own_k"), "query_id").where("rank <= own_k").withColumnRenamed("vec_id", "chunk_id")
+        found = r.hybrid(lexical, dense, widest).join(limits, "query_id").where("rank <= own_k")
+    results = checkpointed(found.join(runs.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "score", "match_types", "weight"))
+    each = runs.select(F.col("origin").alias("query_id"), "ord", "weight")
+    alone = each.groupBy("query_id").agg(F.count("*").alias("n")).where("n = 1").select("query_id")
+    single = results.where(F.col("rank") <= k).join(alone, "query_id", "left_semi").select("query_id", F.col("rank").alias("place"), "chunk_id", "score", "match_types")
+    fused = r.expanded(results.join(alone, "query_id", "left_anti").drop("score"), 1 << 30, each)
+    details = chunks.select("chunk_id", "work_id", "title", "granularity", "text", *(["line_start"] if "line_start" in chunks.columns else [F.lit(None).cast("int").alias("line_start")]))
+    ranked = checkpointed(fused.join(details, "chunk_id"))
+    several = rewrites.join(alone, "query_id", "left_anti").where(~F.col("unavailable"))
+    titled = several.where("size(explicit_titles) > 0").select("query_id", F.col("explicit_titles").alias("titles"), "terms", F.col("multi_evidence").alias("diversify"), F.col("prefer_tail").alias("tail"), F.col("multi_evidence").alias("primary"))
+    plural = several.where("size(explicit_titles) = 0 AND multi_evidence").select("query_id", F.array().cast("array<string>").alias("titles"), "terms", F.col("content_term_groups").alias("groups"), F.col("content_term_group_anchors").alias("anchors"))
+    themed = several.where("size(explicit_titles) = 0 AND NOT multi_evidence").select("query_id", "terms", ((F.size("content_terms") > 0) & F.coalesce("only_author", "only_dynasty").isNotNull()).alias("primary"))
+    theme = ranked.join(themed, "query_id").withColumns({"text": t.normalize_lookup(F.col("text")), "terms": F.when(F.col("primary"), F.transform("terms", t.normalize_lookup)).otherwise(F.array().cast("array<string>"))})
+    picked = selection.explicit_titles(ranked, titled, k).unionByName(selection.multi_evidence(ranked, plural, k)).select("query_id", "place", "chunk_id", "hard_filtered")
+    picked = picked.unionByName(r.theme_insert(theme, k).select("query_id", "place", "chunk_id", F.lit(False).alias("hard_filtered")))
+    lost = titled.select("query_id").join(ranked.select("query_id"), "query_id", "left_anti").unionByName(rewrites.where("unavailable").select("query_id"))
+    ends = picked.join(ranked.select("query_id", "chunk_id", "work_id", "score", "match_types"), ["query_id", "chunk_id"], "left")
+    ends = ends.unionByName(single.join(details.select("chunk_id", "work_id"), "chunk_id").withColumn("hard_filtered", F.lit(False)))
+    return ends.unionByName(lost.withColumn("hard_filtered", F.lit(True)), allowMissingColumns=True).select("query_id", "place", "chunk_id", "work_id", "score", "match_types", "hard_filtered")
+
+
 def with_context(results: DataFrame, chunks: DataFrame, max_chunks: int = 40, max_chars: int = 4800) -> DataFrame:
     """results (query_id, rank, chunk_id, work_id, score, match_types) and, ranked after them, their works' missing chunks."""
     added = r.context_rows(results, chunks, max_chunks, max_chars)
@@ -79,6 +168,40 @@ def online_context(spark, d):
     return rows.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 
+#: Names and words that the registered questions are rewritten with.
+LEXICON = Lexicon(concepts=(("ending", ("eronth",), ("theth", "ention")),), authors=("src3", "src5"), dynasties=("en", "de"), intents=("find",))
+
+
+def composed_questions(spark, d):
+    """Benchmark items as questions of four kinds: for a fact no corpus holds, as they are, with a quoted word, and for a word of one author."""
+    n, word = F.col("query_id") % 4, F.regexp_extract(F.lower("question"), "[a-z]{4,}", 0)
+    made = F.when(n == 0, F.concat("question", F.lit(" 出生地"))).when(n == 1, F.col("question")).when(n == 2, F.concat(F.lit("q “"), word, F.lit("”"))).otherwise(F.concat(F.lit("src5 "), word))
+    return asked(spark, d).withColumn("question", made).select("query_id", "question")
+
+
+def composed(spark, d, **dense):
+    rows = works(spark, d)
+    return expanded_search(texts_of(rows), composed_questions(spark, d), LEXICON, rows.select("author").distinct(), rows.select("dynasty").distinct(), 5, spread=tasks(spark, d), **dense)
+
+
+def expanded_search_lexical(spark, d):
+    """The whole expanded search: rewriting, filters, weights, fusion and selection."""
+    return composed(spark, d).select("query_id", "place", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "hard_filtered")
+
+
+def online_stack(spark, d):
+    """The stack behind an answer: context over expanded over hybrid search, with vectors of works by number and a stand-in model."""
+    keys = texts_of(works(spark, d)).select("chunk_id", "author_key", "dynasty_key")
+    vectors = load(spark, d, "embeddings").select((F.col("vec_id") * 1_000_000).alias("vec_id"), "embedding").join(keys, F.col("vec_id") == F.col("chunk_id")).drop("chunk_id")
+    width = vectors.select(F.max(F.size("embedding"))).first()[0]
+    found = composed(spark, d, vectors=vectors, embed=lambda rows: embedded(rows, "question", lambda texts: hashed_vectors(texts, width)), floor=0.0)
+    found = found.where("chunk_id IS NOT NULL").withColumnRenamed("place", "rank")
+    found = checkpointed(found)
+    hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
+    rows = with_context(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
+    return rows.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))
+
+
 def stream_metrics(spark, d):
     """One row of figures for each stream: events, kinds, first and last time, and the greatest value."""
     e = load(spark, d, "events")
@@ -92,7 +215,7 @@ def message_order(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("after"), "role")
 
 
-QUERIES = {f.__name__: f for f in (gold_rank_by_branch, strategy_counts, online_context, stream_metrics, message_order)}
+QUERIES = {f.__name__: f for f in (gold_rank_by_branch, strategy_counts, online_context, expanded_search_lexical, online_stack, stream_metrics, message_order)}
 
 ORACLES = {
     "gold_rank_by_branch": f"""{HYBRID}, items AS (SELECT item_id AS case_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM benchmark),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import load
+from ..sources.tables import load, shared_folder
 from ..streaming import chat, index_runs
 
 KIND = {"click": "delta", "view": "delta", "purchase": "done", "error": "error"}
@@ -69,17 +68,9 @@ def events_state_stream(spark, d):
     return spark.read.schema(states.schema).parquet(f"{folder}/states")
 
 
-def shared_folder(spark):
-    """The folder that all machines share; only a local master may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="lexforge-stream-")
-
-
 def sse_stream(spark, d):
     """Frames of a stream of chunks cut anywhere, as they come: every event's frame is cut in two and the halves arrive in order."""
-    frames = load(spark, d, "events").where("event_id < 3000").select(F.col("user_id").cast("long").alias("stream_id"), "event_id", F.concat(F.lit("event: "), "event_type", F.lit("\r\ndata: "), F.col("event_id").cast("string"), F.lit("\r\n\r\n")).alias("f"))
+    frames = load(spark, d, "events").select(F.col("user_id").cast("long").alias("stream_id"), "event_id", F.concat(F.lit("event: "), "event_type", F.lit("\r\ndata: "), F.col("event_id").cast("string"), F.lit("\r\n\r\n")).alias("f"))
     at = (F.col("event_id") % 20 + 1).cast("int")
     halves = frames.select("stream_id", F.posexplode(F.array(F.substring(F.col("f"), F.lit(1), at), F.substring(F.col("f"), at + 1, F.lit(1000)))).alias("half", "chunk"), "event_id").select("stream_id", (F.col("event_id") * 2 + F.col("half")).alias("seq"), "chunk")
     folder = f"{shared_folder(spark)}/lexforge-frames-{uuid.uuid4().hex}"
@@ -111,7 +102,7 @@ ORACLES = {
     "events_state_stream": f"""WITH {EVENTS}, p AS (SELECT ev.*, props AS payload FROM ev JOIN events ON event_id = seq), t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM p WHERE kind IN ('done', 'error', 'cancelled') GROUP BY 1)
       SELECT t.stream_id, CASE k WHEN 'done' THEN 'completed' WHEN 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, count(p.seq) FILTER (p.kind = 'delta') AS n_deltas, CAST(coalesce(sum(length(p.payload)) FILTER (p.kind = 'delta'), 0) AS BIGINT) AS content_length, end_seq AS last_seq
       FROM t LEFT JOIN p ON p.stream_id = t.stream_id AND p.seq < t.end_seq GROUP BY ALL""",
-    "sse_stream": "SELECT user_id AS stream_id, event_type AS event, CAST(event_id AS VARCHAR) AS data FROM events WHERE event_id < 3000",
+    "sse_stream": "SELECT user_id AS stream_id, event_type AS event, CAST(event_id AS VARCHAR) AS data FROM events",
     "chat_history_last_n": f"SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM ({HISTORY}) x WHERE back <= 8",
     "stream_final_state": f"WITH {EVENTS}, t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM ev WHERE kind IN ('done', 'error', 'cancelled') GROUP BY 1) SELECT e.stream_id, CASE WHEN any_value(k) = 'done' THEN 'completed' WHEN any_value(k) = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, count(*) FILTER (kind = 'delta') AS n_deltas, any_value(end_seq) AS end_seq, max(seq) AS last_seq FROM ev e LEFT JOIN t USING (stream_id) GROUP BY 1",
     "ttft_by_stream": f"WITH {EVENTS} SELECT stream_id, round((epoch_us(min(ts) FILTER (kind = 'delta')) - epoch_us(min(ts))) / 1000.0::DOUBLE, 3) AS ttft_ms, round(greatest(0.0::DOUBLE, arg_max(value, seq) FILTER (kind = 'timing')), 3) AS duration_ms FROM ev GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share; only a local master may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="lexforge-shared-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there, so that later plans start from it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as works: id, title (first line), content, author, dynasty, status and deleted (from labels)."""
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality", "toxic")

@@ -255,14 +255,15 @@ VARIANTS = f"""words AS (SELECT query_id, question, list_filter(regexp_split_to_
   variants AS (SELECT query_id, ord, question, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, ord) AS kept FROM allv) x WHERE kept <= 3),
   vkeys AS (SELECT query_id * 10 + ord AS query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM variants)"""
 
-EXPANDED = f"""WITH {WORKS}, {QUESTIONS}, {VARIANTS}, {TEXT_KEYS}, {lexical_sql('tc', 10, 'vkeys')},
-  res AS (SELECT v.query_id, v.ord, v.weight, l.rank, l.chunk_id, l.match_types FROM lex l JOIN variants v ON v.query_id * 10 + v.ord = l.query_id),
+FUSED = f"""res AS (SELECT v.query_id, v.ord, v.weight, l.rank, l.chunk_id, l.match_types FROM lex l JOIN variants v ON v.query_id * 10 + v.ord = l.query_id),
   used AS (SELECT query_id, sum(weight) AS total FROM variants GROUP BY 1),
   types AS (SELECT query_id, chunk_id, string_agg(m, SEP ORDER BY o, i) AS mt FROM (SELECT query_id, chunk_id, m, min(ord) AS o, min(ord * 10 + i) AS i FROM (SELECT query_id, chunk_id, ord, unnest(string_split(match_types, ',')) AS m, unnest(range(5)) AS i FROM res) x WHERE m IS NOT NULL GROUP BY 1, 2, 3) y GROUP BY 1, 2),
   packed AS (SELECT query_id, chunk_id, list_reduce(list(weight / (60 + rank) ORDER BY ord), lambda a, b: a + b) AS rrf, min(rank) AS best, max(ord) AS last FROM res GROUP BY 1, 2),
   final AS (SELECT p.query_id, p.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY round(rrf, 12) DESC, best, p.chunk_id) AS rank, round(least(1.0::DOUBLE, rrf / (total / 61)), 6) AS score,
     mt || CASE WHEN last > 0 THEN SEP || 'query_expansion' ELSE '' END || SEP || 'rrf_fusion' AS match_types FROM packed p JOIN used USING (query_id) JOIN types t ON t.query_id = p.query_id AND t.chunk_id = p.chunk_id)"""
 
+EXPANDED = f"WITH {WORKS}, {QUESTIONS}, {VARIANTS}, {TEXT_KEYS}, {lexical_sql('tc', 10, 'vkeys')}, {FUSED}"
+
 RANKED = f"ranked AS (SELECT CAST(regexp_extract(author, '\\d+') AS BIGINT) AS query_id, work_id, chunk_id, text, row_number() OVER (PARTITION BY author ORDER BY length(text) DESC, chunk_id) AS rank FROM lines)"
 
 FILTERED = "(query_id % 2 <> 0 OR ak = 'src' || (query_id % 7)) AND (query_id % 3 <> 0 OR dk = 'en')"

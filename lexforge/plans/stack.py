@@ -13,10 +13,11 @@ from ..operators import retrieval as r
 from ..operators.evaluation import first_ranks
 from ..sources.ports import embedded, hashed_vectors
 from ..sources.tables import checkpointed, line_chunks, load, works
+from ..streaming import chat
 from .evaluation import gold
-from .retrieval import HYBRID, TEXT_KEYS, asked, branches, lexical_sql, lines_of, tasks, texts_of
+from .retrieval import FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, tasks, texts_of
 from .rewrite import Lexicon, rewritten
-from .shared import LINES, QUESTIONS, WORKS, content_key
+from .shared import QUESTIONS, WORKS, content_key
 
 STRATEGIES = ("lexical", "dense", "hybrid", "expanded_lexical", "expanded_hybrid")
 #: Hits of a variant that is a title in the query, and of one that asks for a work's end; variants of a query.
@@ -203,10 +204,12 @@ def online_stack(spark, d):
 
 
 def stream_metrics(spark, d):
-    """One row of figures for each stream: events, kinds, first and last time, and the greatest value."""
-    e = load(spark, d, "events")
-    ms = lambda c: F.unix_micros(c.cast("timestamp")) / 1000
-    return e.groupBy("user_id").agg(F.count("*").alias("events"), F.countDistinct("event_type").alias("kinds"), F.round(ms(F.max("ts")) - ms(F.min("ts")), 3).alias("length_ms"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.max("value"), 6).alias("most"))
+    """One row of figures for each stream, with the eighteen fields of a request's log."""
+    n = F.col("event_id")
+    steps = F.element_at(F.array(*map(F.lit, ("rewrite", "retrieval", "assess", "generation", "validate"))), (n % 5 + 1).cast("int"))
+    rows = load(spark, d, "events").select(F.col("user_id").alias("request_id"), n.alias("seq"), "ts", "event_type", steps.alias("step"), (n % 40).alias("duration_ms"), (n % 200).alias("candidates"), (n % 6).alias("selected"))
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type").isin("click", "view"), "delta").otherwise("timing")
+    return chat.request_metrics(rows.withColumn("kind", kind), "expanded_hybrid", MOST_VARIANTS)
 
 
 def message_order(spark, d):
@@ -217,10 +220,37 @@ def message_order(spark, d):
 
 QUERIES = {f.__name__: f for f in (gold_rank_by_branch, strategy_counts, online_context, expanded_search_lexical, online_stack, stream_metrics, message_order)}
 
+COMPOSED = f"""WITH {WORKS}, {QUESTIONS}, {TEXT_KEYS}, words AS (SELECT query_id, question, regexp_extract(lower(question), '[a-z]{{4,}}') AS word FROM questions),
+  variants AS (SELECT query_id, 0 AS ord, CASE query_id % 4 WHEN 1 THEN question WHEN 2 THEN 'q “' || word || '”' ELSE 'src5 ' || word END AS question, 3.0::DOUBLE AS weight FROM words WHERE query_id % 4 > 0
+    UNION ALL SELECT query_id, 1, CASE query_id % 4 WHEN 2 THEN word ELSE 'src5' END, CASE query_id % 4 WHEN 2 THEN 3.0 ELSE 2.0 END FROM words WHERE query_id % 4 > 1 AND word <> ''),
+  several AS (SELECT query_id FROM variants WHERE ord = 1),
+  vkeys AS (SELECT query_id * 10 + ord AS query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM variants),
+  {lexical_sql('tc', 25, 'vkeys', only="(query_id // 10 % 4 <> 3 OR ak = 'src5')")}, {FUSED}
+  SELECT query_id, rank AS place, chunk_id, score, match_types, false AS hard_filtered FROM final WHERE rank <= 5 AND query_id IN (SELECT query_id FROM several)
+  UNION ALL SELECT query_id // 10, rank, chunk_id, score, match_types, false FROM lex WHERE rank <= 5 AND query_id // 10 NOT IN (SELECT query_id FROM several)
+  UNION ALL SELECT query_id, NULL, NULL, NULL, '', true FROM words WHERE query_id % 4 = 0""".replace("SEP", "','")
+
+WITH_VECTORS = "(SELECT query_id, qc, ql FROM keys WHERE query_id IN (SELECT vec_id FROM embeddings))"
+DENSE_QUERIES = "(SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"
+
 ORACLES = {
+    "expanded_search_lexical": COMPOSED,
+    "strategy_counts": f"""WITH {WORKS}, {QUESTIONS}, keys AS (SELECT query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM questions), {TEXT_KEYS}, {lexical_sql('tc', 4, WITH_VECTORS, 'a')}, {lexical_sql('tc', 20, WITH_VECTORS, 'b')}, {lexical_sql('tc', 100, WITH_VECTORS, 'c')},
+      d AS ({dense_sql(100, queries=DENSE_QUERIES)}), hits AS (SELECT 'lexical' AS strategy, query_id, chunk_id FROM lexa UNION ALL SELECT 'expanded_lexical', query_id, chunk_id FROM lexb UNION ALL SELECT 'dense', query_id, vec_id FROM d WHERE rank <= 4
+        UNION SELECT 'hybrid', query_id, chunk_id FROM lexb UNION SELECT 'hybrid', query_id, vec_id * 1000000 FROM d WHERE rank <= 20 UNION SELECT 'expanded_hybrid', query_id, chunk_id FROM lexc UNION SELECT 'expanded_hybrid', query_id, vec_id * 1000000 FROM d),
+      per AS (SELECT strategy, query_id, least(4, count(DISTINCT chunk_id)) AS n FROM hits GROUP BY 1, 2) SELECT strategy, CAST(sum(n) AS BIGINT) AS n, count(*) AS queries FROM per GROUP BY 1""",
     "gold_rank_by_branch": f"""{HYBRID}, items AS (SELECT item_id AS case_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM benchmark),
       hits AS (SELECT query_id, 'lexical' AS branch, rank, chunk_id FROM lex UNION ALL SELECT query_id, 'dense', rank, vec_id * 1000000 FROM dense), ev AS (SELECT h.*, t.ck FROM hits h JOIN tc t USING (chunk_id))
       SELECT i.case_id, b.branch, min(e.rank) AS first_rank FROM items i CROSS JOIN (VALUES ('lexical'), ('dense')) b(branch) LEFT JOIN ev e ON e.query_id = i.case_id AND e.branch = b.branch AND contains(e.ck, i.k) GROUP BY 1, 2""",
-    "stream_metrics": "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS kinds, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0::DOUBLE, 3) AS length_ms, count(*) FILTER (event_type = 'error') AS errors, round(max(value), 6) AS most FROM events GROUP BY 1",
+    "stream_metrics": """WITH e AS (SELECT user_id AS request_id, event_id AS seq, ts, ['rewrite', 'retrieval', 'assess', 'generation', 'validate'][CAST(event_id % 5 + 1 AS INT)] AS step, event_id % 40 AS ms, event_id % 200 AS candidates, event_id % 6 AS selected,
+        CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'delta' WHEN 'view' THEN 'delta' ELSE 'timing' END AS kind FROM events),
+      m AS (SELECT request_id, min(seq) FILTER (kind IN ('done', 'error', 'cancelled')) AS end_seq, min(ts) AS t0 FROM e GROUP BY 1),
+      u AS (SELECT e.*, m.t0, m.end_seq FROM e JOIN m USING (request_id) WHERE end_seq IS NULL OR seq <= end_seq)
+      SELECT request_id, request_id AS conversation_id, CAST(coalesce(any_value(end_seq), max(seq)) AS BIGINT) AS assistant_message_id,
+        CASE arg_max(kind, seq) WHEN 'done' THEN 'completed' WHEN 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, CASE WHEN any_value(end_seq) IS NULL THEN 'stream_interrupted' WHEN arg_max(kind, seq) = 'error' THEN 'generation_error' END AS error_code,
+        CASE arg_max(kind, seq) WHEN 'done' THEN 'stop' WHEN 'cancelled' THEN 'cancelled' ELSE 'error' END AS finish_reason, max(candidates) AS candidate_count, max(selected) AS selected_count, 'expanded_hybrid' AS strategy,
+        CASE WHEN max(selected) = 0 THEN 'skipped' ELSE 'passed' END AS assessment_status, CASE WHEN max(selected) = 0 THEN 'no_evidence' ELSE 'supported' END AS assessment_reason_code, 8 AS query_variant_limit,
+        CAST(sum(ms) FILTER (step = 'rewrite') AS BIGINT) AS rewrite_ms, CAST(sum(ms) FILTER (step = 'retrieval') AS BIGINT) AS retrieval_ms, CAST(sum(ms) FILTER (step = 'assess') AS BIGINT) AS assess_ms, CAST(sum(ms) FILTER (step = 'generation') AS BIGINT) AS generation_ms, CAST(sum(ms) FILTER (step = 'validate') AS BIGINT) AS validate_ms,
+        (epoch_us(min(ts) FILTER (kind = 'delta')) - epoch_us(any_value(t0))) // 1000 AS ttft_ms, (epoch_us(max(ts)) - epoch_us(any_value(t0))) // 1000 AS total_ms FROM u GROUP BY 1""",
     "message_order": "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after, role FROM conversations",
 }

@@ -142,6 +142,8 @@ GRAMS = """list_distinct(list_concat(CASE WHEN len(r) BETWEEN 2 AND 4 THEN [r] E
   list_transform(range(1, greatest(len(r), 1)), lambda i: substr(r, CAST(i AS BIGINT), 2)), list_transform(range(1, greatest(len(r) - 1, 1)), lambda i: substr(r, CAST(i AS BIGINT), 3))))"""
 
 ORACLES = {
+    "vector_ids": f"""WITH {WORKS}, {LINES}, h AS (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(work_id || ':line:structural_v1:' || chunk_index || ':' || sha256(text))) AS h FROM lines)
+      SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS vector_id FROM h""",
     "normalize_content_native": f"SELECT doc_id, {content_key('text')} AS key FROM documents",
     "content_sha256": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "length_buckets": "WITH b AS (SELECT lang AS dynasty, CASE WHEN length(text) < 600 THEN 'short' WHEN length(text) <= 2000 THEN 'medium' ELSE 'long' END AS bucket FROM documents) SELECT y.dynasty, x.bucket, count(b.bucket) AS n FROM (SELECT DISTINCT dynasty FROM b) y CROSS JOIN (VALUES ('short'), ('medium'), ('long'), ('huge')) x(bucket) LEFT JOIN b ON b.dynasty = y.dynasty AND b.bucket = x.bucket GROUP BY 1, 2",

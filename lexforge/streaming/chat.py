@@ -41,6 +41,27 @@ def timings(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_id").agg(F.round(ms(first) - ms(start), 3).alias("ttft_ms"), F.round(F.greatest(F.lit(0.0), last), 3).alias("duration_ms"))
 
 
+def request_metrics(events: DataFrame, strategy: str, variant_limit: int) -> DataFrame:
+    """One row of figures for each request, over its events up to the one that ends it.
+
+    events: request_id, seq, ts, kind, step and duration_ms (of the part that took the time), candidates and
+    selected. A request without an end failed; times are from its first event, in whole milliseconds. Sums by
+    step and the least and last events are partial aggregates, so that a long request is not gathered.
+    """
+    ends = events.groupBy("request_id").agg(F.min(F.when(F.col("kind").isin("done", "error", "cancelled"), F.col("seq"))).alias("end_seq"), F.min("ts").alias("t0"))
+    used = events.join(ends, "request_id").where("end_seq IS NULL OR seq <= end_seq")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    whole = lambda c: F.floor((us(c) - us(F.min("t0"))) / 1000).cast("long")
+    took = [F.sum(F.when(F.col("step") == s, F.col("duration_ms"))).alias(f"{s}_ms") for s in ("rewrite", "retrieval", "assess", "generation", "validate")]
+    last, held = F.max_by("kind", "seq"), F.max("selected") > 0
+    return used.groupBy("request_id").agg(
+        F.first("request_id").alias("conversation_id"), F.coalesce(F.min("end_seq"), F.max("seq")).cast("long").alias("assistant_message_id"), F.when(last == "done", "completed").when(last == "cancelled", "cancelled").otherwise("failed").alias("status"),
+        F.when(F.min("end_seq").isNull(), "stream_interrupted").when(last == "error", "generation_error").alias("error_code"), F.when(last == "done", "stop").when(last == "cancelled", "cancelled").otherwise("error").alias("finish_reason"),
+        F.max("candidates").alias("candidate_count"), F.max("selected").alias("selected_count"), F.lit(strategy).alias("strategy"), F.when(held, "passed").otherwise("skipped").alias("assessment_status"), F.when(held, "supported").otherwise("no_evidence").alias("assessment_reason_code"),
+        F.lit(variant_limit).alias("query_variant_limit"), *took, whole(F.min(F.when(F.col("kind") == "delta", F.col("ts")))).alias("ttft_ms"), whole(F.max("ts")).alias("total_ms"),
+    )
+
+
 def routed(questions: DataFrame) -> DataFrame:
     """Route questions (query_id, n_evidence, reply): without evidence they are refused without a model; a reply that is no assessment lets them pass."""
     reply = F.from_json("reply", "answerable boolean, reason_code string, missing array<string>", {"mode": "PERMISSIVE"})

@@ -275,6 +275,56 @@ def test_stack(spark):
     assert [(r.chunk_id, list(r.match_types)) for r in rows] == [(2, ["chunk_exact"]), (1, ["parent_context"])]
 
 
+def test_expanded_search(spark):
+    from lexforge.plans import stack
+    from lexforge.plans.rewrite import Lexicon
+
+    lexicon = Lexicon((("moon", ("月亮", "明月"), ("明月", "月光")),), ("李白", "杜甫"), ("唐",), ("诗", "描写"))
+    authors, dynasties = spark.createDataFrame([("李白",), ("杜甫",), (None,)], "author string"), spark.createDataFrame([("唐",)], "dynasty string")
+    asked = [(1, "杜甫的出生地", None), (2, "李白的诗", None), (3, "《登高》", None), (4, "《无名》", None), (5, "  ", None), (6, "明月", "杜甫"), (7, "比较《静夜思》和《登高》", None), (8, None, None), (9, "明月", None)]
+    queries = spark.createDataFrame(asked, "query_id long, question string, caller_author string")
+    got = {}
+    for row in stack.expanded_search(chunks(spark), queries, lexicon, authors, dynasties, 3).orderBy("query_id", "place").collect():
+        got.setdefault(row.query_id, []).append(row)
+    picks = {q: [(r.chunk_id, r.hard_filtered) for r in rows] for q, rows in got.items()}
+    assert picks[1] == picks[4] == [(None, True)] and not {5, 6, 8} & set(picks)
+    assert [c for c, _ in picks[2]] == [2, 3, 1] and got[2][0].score == 0.4 and "query_expansion" in got[2][0].match_types
+    assert [c for c, _ in picks[3]] == [6, 5] and [c for c, _ in picks[7]][:2] == [1, 6]
+    assert [(r.chunk_id, r.score, list(r.match_types)) for r in got[9]][:1] == [(2, 1.0, ["chunk_exact"])]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "李白", "唐"), (6, [1.0, 0.0], "杜甫", "唐")], "vec_id long, embedding array<float>, author_key string, dynasty_key string")
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    both = stack.expanded_search(chunks(spark), queries.where("query_id IN (2, 9)"), lexicon, authors, dynasties, 5, vectors, embed, 0.5).collect()
+    assert {r.chunk_id for r in both if r.query_id == 2} == {1, 2, 3} and 6 in {r.chunk_id for r in both if r.query_id == 9}
+
+
+def test_variants_are_capped_and_names_go_behind_filters(spark):
+    from lexforge.plans import stack
+    from lexforge.plans.rewrite import Lexicon, rewrites
+
+    lexicon = Lexicon((), ("李白",), ("唐",), ("诗",))
+    made = stack.resolved(rewrites(spark, [(1, "李白怎样描写黄河的诗句")], lexicon), spark.createDataFrame([("李白",)], "author string"), spark.createDataFrame([("唐",)], "dynasty string"))
+    rows = stack.weighted(made, 5, 3).collect()
+    assert all(r.only_author == "李白" and r.own_k == 25 for r in rows) and "李白" not in {r.question for r in rows} and len(rows) == 2
+    twice = stack.resolved(made.drop("only_author", "only_dynasty", "author_name", "dynasty_name", "author_found", "dynasty_found"), spark.createDataFrame([("李白",), (" 李白",)], "author string"), spark.createDataFrame([], "dynasty string"))
+    assert {r.only_author for r in twice.collect()} == {None}
+
+
+def test_facets_of_queries(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.1], "b"), (3, [1.0, 0.2], None)], "vec_id long, embedding array<float>, f string")
+    ids = lambda df: [r.vec_id for r in df.orderBy("rank").collect()]
+    ask = lambda value, kind: retrieval.dense_search(vectors, spark.createDataFrame([(9, [1.0, 0.0], value)], f"query_id long, embedding array<float>, f {kind}"), 3, facets=["f"])
+    assert ids(ask(None, "string")) == [1, 2, 3] and ids(ask("b", "string")) == [2] and ids(ask(["a", "b"], "array<string>")) == [1, 2]
+
+
+def test_request_metrics(spark):
+    ts = lambda s: f"2024-01-01 00:00:0{s}"
+    rows = [(1, 1, ts(0), "timing", "rewrite", 5, 9, 2), (1, 2, ts(1), "delta", "generation", 7, 9, 2), (1, 3, ts(2), "done", "validate", 1, 9, 2), (1, 4, ts(3), "delta", "generation", 100, 99, 5), (2, 1, ts(0), "delta", "retrieval", 3, 0, 0)]
+    frame = spark.createDataFrame(rows, "request_id long, seq long, ts string, kind string, step string, duration_ms long, candidates long, selected long").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.request_id: r for r in chat.request_metrics(frame, "hybrid", 8).collect()}
+    assert (got[1].status, got[1].finish_reason, got[1].generation_ms, got[1].candidate_count, got[1].ttft_ms, got[1].total_ms, got[1].assess_ms) == ("completed", "stop", 7, 9, 1000, 2000, None)
+    assert (got[2].status, got[2].error_code, got[2].assessment_reason_code) == ("failed", "stream_interrupted", "no_evidence")
+
+
 def test_vector_store(spark, tmp_path):
     from lexforge.sources import vector_store as vs
 

@@ -268,7 +268,18 @@ RANKED = f"ranked AS (SELECT CAST(regexp_extract(author, '\\d+') AS BIGINT) AS q
 
 FILTERED = "(query_id % 2 <> 0 OR ak = 'src' || (query_id % 7)) AND (query_id % 3 <> 0 OR dk = 'en')"
 
+CONTEXT = f"""WITH RECURSIVE {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)},
+  hits AS (SELECT query_id, work_id, min(rank) AS first, max(score) AS score FROM lex GROUP BY 1, 2), turns AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS turn FROM hits),
+  missing AS (SELECT t.query_id, t.turn, t.score, l.chunk_id, length(l.text) AS size, row_number() OVER (PARTITION BY t.query_id, t.work_id ORDER BY l.chunk_index) AS round
+    FROM turns t JOIN lines l USING (work_id) WHERE NOT EXISTS (SELECT 1 FROM lex x WHERE x.query_id = t.query_id AND x.chunk_id = l.chunk_id)),
+  deal AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round, turn) AS i FROM missing),
+  fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS place, CAST(1 AS BIGINT) AS round, true AS added, false AS ended, false AS take, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS DOUBLE) AS score FROM deal
+    UNION ALL SELECT query_id, i, used + CASE WHEN take THEN size ELSE 0 END, place + CASE WHEN take THEN 1 ELSE 0 END, round, CASE WHEN fresh THEN take ELSE added OR take END, ended, take, chunk_id, score
+      FROM (SELECT *, NOT ended AND used + size <= 4800 AS take FROM (SELECT d.query_id, d.i, d.size, d.round, d.chunk_id, d.score, f.used, f.place, f.added, d.round <> f.round AS fresh, (d.round <> f.round AND NOT f.added) OR f.place >= 40 OR f.used >= 4800 AS ended FROM fold f JOIN deal d ON d.query_id = f.query_id AND d.i = f.i + 1 WHERE NOT f.ended) a) b),
+  context AS (SELECT query_id, place, chunk_id, score FROM fold WHERE take)"""
+
 ORACLES = {
+    "parent_context": f"{CONTEXT} SELECT query_id, place, chunk_id, score FROM context",
     "lexical_filtered": f"WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 5, only=FILTERED)} SELECT query_id, rank, chunk_id, score, candidate_count FROM lex",
     "lexical_top5_lines": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
     "lexical_scored": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {TEXT_KEYS}, vis AS (SELECT * FROM lc WHERE status = 'published' AND NOT deleted UNION ALL SELECT * FROM tc WHERE status = 'published' AND NOT deleted), {lexical_sql('vis', 8)} SELECT query_id, rank, chunk_id, granularity, score, match_types FROM lex",

@@ -15,7 +15,7 @@ from ..sources.ports import embedded, hashed_vectors
 from ..sources.tables import checkpointed, line_chunks, load, works
 from ..streaming import chat
 from .evaluation import gold
-from .retrieval import FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, tasks, texts_of
+from .retrieval import CONTEXT, FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, tasks, texts_of
 from .rewrite import Lexicon, rewritten
 from .shared import QUESTIONS, WORKS, content_key
 
@@ -234,6 +234,8 @@ WITH_VECTORS = "(SELECT query_id, qc, ql FROM keys WHERE query_id IN (SELECT vec
 DENSE_QUERIES = "(SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"
 
 ORACLES = {
+    "online_context": f"""{CONTEXT}, last AS (SELECT query_id, max(rank) AS last FROM lex GROUP BY 1) SELECT query_id, rank, chunk_id, score, match_types FROM lex
+      UNION ALL SELECT c.query_id, last + place, chunk_id, score, 'parent_context' FROM context c JOIN last l ON l.query_id = c.query_id""",
     "expanded_search_lexical": COMPOSED,
     "strategy_counts": f"""WITH {WORKS}, {QUESTIONS}, keys AS (SELECT query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM questions), {TEXT_KEYS}, {lexical_sql('tc', 4, WITH_VECTORS, 'a')}, {lexical_sql('tc', 20, WITH_VECTORS, 'b')}, {lexical_sql('tc', 100, WITH_VECTORS, 'c')},
       d AS ({dense_sql(100, queries=DENSE_QUERIES)}), hits AS (SELECT 'lexical' AS strategy, query_id, chunk_id FROM lexa UNION ALL SELECT 'expanded_lexical', query_id, chunk_id FROM lexb UNION ALL SELECT 'dense', query_id, vec_id FROM d WHERE rank <= 4

@@ -96,7 +96,75 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id"""
 
 
+#: The table of crc32 as a list, and the crc32 of a column of lists of bytes by it.
+CRC_TABLE = "crc(t) AS (SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i)) x)"
+
+
+def crc32(octets: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+def digits(column: str) -> str:
+    """The bytes of a number's decimal text."""
+    return f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+
+def octets(text: str) -> str:
+    """The UTF-8 bytes of a text."""
+    return f"list_transform(range(CAST(strlen({text}) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+
+
+def leaf(text: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def climbed(start: str, runs: str, name: str) -> str:
+    """Rows (r, g, idx, lvl, acc, proof) of start led up the runs of a tree; the last level of each r is kept."""
+    own = "CAST(f.idx % 8 AS BIGINT)"
+    return f"""{name}_all AS ({start} UNION ALL SELECT f.r, f.g, f.idx // 8, f.lvl + 1, sha256(array_to_string(u.run[1:{own}] || [f.acc] || u.run[{own} + 2:], '')), f.proof || array_to_string(u.run[1:{own}] || u.run[{own} + 2:], '')
+    FROM {name}_all f JOIN {runs} u ON u.g = f.g AND u.lvl = f.lvl AND u.parent = f.idx // 8),
+  {name} AS (SELECT r, g, arg_max(acc, lvl) AS acc, arg_max(proof, lvl) AS proof FROM {name}_all GROUP BY r, g)"""
+
+
+def raised(leaves: str, name: str) -> str:
+    """Nodes and runs of the trees over leaves (g, idx, hash)."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, idx, hash, count(*) OVER (PARTITION BY g) AS size FROM {leaves}
+    UNION ALL SELECT g, lvl + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), (any_value(size) + 7) // 8 FROM {name} WHERE size > 1 GROUP BY g, lvl, idx // 8),
+  {name}_runs AS (SELECT g, lvl, idx // 8 AS parent, list(hash ORDER BY idx) AS run FROM {name} WHERE size > 1 GROUP BY ALL)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+  d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, CASE WHEN coalesce({crc32(digits('doc_id'))} % 3 = 0, false) THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf('text')} END AS claimed FROM documents, crc),
+  leaves AS (SELECT *, leaf AS hash, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+  {raised('leaves', 'nodes')},
+  subs AS (SELECT g AS own, hash, '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx FROM nodes WHERE size = 1),
+  {raised('subs', 'upper_nodes')},
+  {climbed("SELECT r, g, idx, 0 AS lvl, claimed AS acc, '' AS proof FROM leaves", 'nodes_runs', 'low')},
+  {climbed("SELECT r, '' AS g, idx, 0 AS lvl, acc, proof FROM low JOIN subs ON subs.own = low.g", 'upper_nodes_runs', 'high')},
+  top AS (SELECT hash AS root FROM upper_nodes WHERE size = 1)
+SELECT doc_id, leaf, subs.hash AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM leaves JOIN high USING (r) JOIN subs ON subs.own = leaves.g, top"""
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+  runs AS (SELECT doc_id, translate(w, '{UPPER}', '{LOWER}') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents) x GROUP BY 1, 2),
+  hashed AS (SELECT w, n, {crc32(octets("(CAST(doc_id AS VARCHAR) || ':' || w)"))} AS h FROM runs, crc),
+  slips AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+  cut AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+  holes AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM cut),
+  pairs AS (SELECT a.word, b.word AS near FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT word, rest FROM holes SEMI JOIN v ON v.word = holes.rest UNION SELECT rest, word FROM holes SEMI JOIN v ON v.word = holes.rest),
+  ranked AS (SELECT p.word, near, n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY n DESC, near) AS i FROM pairs p JOIN v ON v.word = p.near),
+  formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * v.n THEN near END AS form, CASE WHEN r.n >= 10 * v.n THEN r.n END AS form_n FROM v LEFT JOIN ranked r ON r.word = v.word AND r.i = 1),
+  follow AS (SELECT word, word AS root, 0 AS hop FROM v UNION ALL SELECT f.word, g.form, hop + 1 FROM follow f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, (SELECT arg_max(root, hop) FROM follow w WHERE w.word = formed.word) AS root FROM formed"""
+
 ORACLES = {
+    "op12_merkle": MERKLE,
+    "op13_spelling": SPELLING,
     "op5_license_scan": license_scan(),
     "op2_line_dedup": LINE_DEDUP,
     "op3_url_filter": URL_FILTER,

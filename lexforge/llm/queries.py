@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, license_scan, line_dedup, mixing, pii, quality_fm, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_kernel, license_scan, line_dedup, merkle, mixing, pii, quality_fm, simhash, spelling, substring_dedup, url_filter
 from ._plan import table
 
 
@@ -58,6 +58,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, decontaminate.contaminated().alias("contaminated"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_kernel.add_languages(docs, language_kernel.train(docs))
+    return found.select("doc_id", language_kernel.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.manifest(docs, claimed=merkle.tampered(docs))
+    folded = rows.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,5 +92,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_language_id": op11_language_id,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }

@@ -193,7 +193,7 @@ def add_languages(docs: DataFrame, model: Kernel, lang: str = "lang_pred", score
     """docs with the predicted language and a score from 0 to 1, which replace columns of these names.
 
     Only text is read. A null text, one without a letter, and any text where no language was learned, is "und" with the score 0.
-    The score is the best regression's part of all those above 0; a text of unknown letters only gets the first language
+    The score is the best regression's part of all those above 0, to six decimals; a text of unknown letters only gets the first language
     and an equal part.
     """
     small_batches(docs.sparkSession)
@@ -214,7 +214,7 @@ def add_languages(docs: DataFrame, model: Kernel, lang: str = "lang_pred", score
             part[start : start + len(rows)] = np.where(total > 0, out[np.arange(len(rows)), at] / np.where(total > 0, total, 1), 1 / len(languages))
         none = np.array(text.is_null())
         names = [UNKNOWN if n else languages[b] for n, b in zip(none, best)]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(none, 0.0, np.clip(part, 0, 1)))], ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(none, 0.0, np.round(np.clip(part, 0, 1), 6)))], ["lang", "score"])
 
     made = "__language"
     while any(c.lower() == made for c in docs.columns):

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamped, content_overlap, normalize_content, normalize_lookup
 from ..sources.tables import top
+from .dense import dense_search
+from .vector_index import VectorIndex
 
 #: Rank constant of the fusion, best score of two branches, order of granularities.
 RRF = 60
@@ -147,58 +145,9 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     return found.join(chunks.select("chunk_id", *fetch), "chunk_id") if fetch else found
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", facets: list[str] | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """The k nearest vectors of each query: (query_id, vec_id, score, rank).
-
-    vectors: vec_id, embedding; queries: query_id, embedding; facets: columns of both, checked before the cut:
-    a query's value has to be equal, a list of values to hold the vector's, and null is no filter. cosine and dot are best large, euclid small. Vectors of one batch are compared
-    with all queries by one product in double precision and leave their best k and ties; a window over what
-    batches leave gives the result. Queries are taken in slices of a bounded size. Ties go by vec_id.
-    """
-    spark, facets = vectors.sparkSession, facets or []
-    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    slices = max(1, -(-queries.count() * width * 8 // most_bytes))
-    sign = -1 if metric == "euclid" else 1
-    parts = []
-    for i in range(slices):
-        chosen = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        rows = chosen.select("query_id", F.col("embedding").cast("array<double>").alias("e"), *facets).collect()
-        if rows:
-            shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.e for r in rows]), [tuple(r[f] for f in facets) for r in rows]))
-            parts.append(vectors.select("vec_id", "embedding", *facets).mapInArrow(nearest(shared, k, metric, len(facets)), "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    found = found.withColumn("score", F.round("score", 6))
-    return top(found, k, (F.col("score") * sign).desc(), F.asc("vec_id"))
-
-
-def nearest(shared, k: int, metric: str, n_facets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, wanted = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            scores = q @ x.T
-            if metric == "cosine":
-                scores = scores / np.sqrt((q**2).sum(axis=1))[:, None] / np.sqrt((x**2).sum(axis=1))
-            elif metric == "euclid":
-                scores = -np.sqrt(np.maximum(0, (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * scores))
-            for f in range(n_facets):
-                have = batch.column(2 + f).to_pylist()
-                for i, want in enumerate(w[f] for w in wanted):
-                    if want is not None:
-                        held = set(want) if isinstance(want, list) else {want}
-                        scores[i, [h not in held for h in have]] = -np.inf
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
-            qi, xi = np.nonzero((scores >= least[:, None] - 2e-6) & np.isfinite(scores))
-            value = scores[qi, xi] * (-1 if metric == "euclid" else 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[qi]), batch.column(0).take(pa.array(xi)), pa.array(value)], ["query_id", "vec_id", "score"])
-
-    return run
+def dense_hits(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int, facets: list[str] | None = None) -> DataFrame:
+    """The k nearest vectors of each query by cosine: of a table by a scan, of an index by its lists, with the same result."""
+    return vectors.search(queries, k, exact=True, facets=facets) if isinstance(vectors, VectorIndex) else dense_search(vectors, queries, k, facets=facets)
 
 
 def above_floor(hits: DataFrame, floor: float, tolerance: float = 0.02) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
-from ..operators import selection
-from ..sources.tables import line_chunks, load, questions, ranked, top, works
+from ..operators import selection, vector_index
+from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, top, works
 from .shared import LINES, QUESTIONS, WORKS, content_key
 
 
@@ -74,6 +74,21 @@ def vector_distance_euclid(spark, d):
     return r.dense_search(load(spark, d, "embeddings"), query_vectors(spark, d), 5, "euclid")
 
 
+def indexed(spark, d):
+    """An index of all vectors with their labels, in a folder of its own."""
+    return vector_index.build_index(load(spark, d, "embeddings"), fresh_folder(spark, "vectors"), ("label",))
+
+
+def dense_index_topk(spark, d):
+    """The nearest vectors by an index of inverted lists, searched until no other list can hold a better one."""
+    return indexed(spark, d).search(query_vectors(spark, d), 10, probes=4, exact=True)
+
+
+def dense_index_filtered(spark, d):
+    """The same with the label as a facet, checked before the cut."""
+    return indexed(spark, d).search(query_vectors(spark, d), 5, probes=4, exact=True, facets=["label"])
+
+
 def granular(hits):
     return hits.withColumn("granularity", F.element_at(F.array(F.lit("poem"), F.lit("line"), F.lit("note")), (F.col("vec_id") % 3 + 1).cast("int")))
 
@@ -209,7 +224,7 @@ def evidence_clip_budget(spark, d):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max_by("text", "rank").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
+QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, dense_index_topk, dense_index_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
 
 
 def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "", only: str = "true") -> str:
@@ -286,6 +301,8 @@ ORACLES = {
     "lexical_by_name": f"WITH {WORKS}, questions(query_id, question) AS (VALUES (1::BIGINT, 'src1'), (2, 'SRC12 '), (3, 'en'), (4, 'e'), (5, '%'), (6, '_')), {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 7)} SELECT query_id, rank, chunk_id, score, match_types, candidate_count FROM lex",
     "dense_topk_cosine": f"SELECT query_id, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)), 6) AS score, rank FROM ({dense_sql(10)}) z",
     "dense_topk_filtered": dense_sql(5, on="q.label = v.label"),
+    "dense_index_topk": dense_sql(10),
+    "dense_index_filtered": dense_sql(5, on="q.label = v.label"),
     "vector_distance_dot": dense_sql(5, "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"),
     "vector_distance_euclid": dense_sql(5, "round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)", "ASC"),
     "dense_floor_by_granularity": f"WITH h AS ({dense_sql(50)}) SELECT query_id, vec_id, granularity, score FROM (SELECT query_id, vec_id, ['poem', 'line', 'note'][CAST(vec_id % 3 + 1 AS INT)] AS granularity, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)), 6) AS score FROM h) x WHERE score >= CASE WHEN granularity = 'note' THEN 0.3::DOUBLE ELSE 0.28::DOUBLE END",

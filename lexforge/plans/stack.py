@@ -24,10 +24,10 @@ STRATEGIES = ("lexical", "dense", "hybrid", "expanded_lexical", "expanded_hybrid
 TITLE_HITS, TAIL_HITS, MOST_VARIANTS = 50, 200, 8
 
 
-def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors: DataFrame | None = None, variants: DataFrame | None = None, spread: int = 0) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors: DataFrame | r.VectorIndex | None = None, variants: DataFrame | None = None, spread: int = 0) -> DataFrame:
     """(query_id, rank, chunk_id, score, match_types, strategy) of a batch of queries.
 
-    queries: query_id, question and, for dense parts, embedding; vectors: vec_id (a chunk_id), embedding.
+    queries: query_id, question and, for dense parts, embedding; vectors: vec_id (a chunk_id), embedding, or an index of them.
     variants (query_id, ord, question, weight, and embedding for dense parts) are needed by the expanded
     strategies. Without vectors the hybrid strategies fall back to the lexical branch.
     """
@@ -39,12 +39,12 @@ def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors
         results = inner.join(ids.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "match_types", "weight")
         return r.expanded(results, k, variants).select("query_id", "rank", "chunk_id", "score", "match_types", F.lit(strategy).alias("strategy"))
     if strategy == "dense":
-        return r.dense_search(vectors, queries.select("query_id", "embedding"), k).select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "score", F.array(F.lit("dense")).alias("match_types"), F.lit(strategy).alias("strategy"))
+        return r.dense_hits(vectors, queries.select("query_id", "embedding"), k).select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "score", F.array(F.lit("dense")).alias("match_types"), F.lit(strategy).alias("strategy"))
     wide = k if strategy == "lexical" else r.candidate_limit(k)
     lexical = r.lexical_search(chunks, r.query_keys(queries), wide, spread=spread).select("query_id", "rank", "chunk_id", "score", "match_types")
     if strategy == "lexical":
         return lexical.withColumn("strategy", F.lit(strategy))
-    dense = None if vectors is None else r.dense_search(vectors, queries.select("query_id", "embedding"), wide).select("query_id", "rank", F.col("vec_id").alias("chunk_id"))
+    dense = None if vectors is None else r.dense_hits(vectors, queries.select("query_id", "embedding"), wide).select("query_id", "rank", F.col("vec_id").alias("chunk_id"))
     return r.hybrid(lexical, dense, k, dense_failed=dense is None).select("query_id", "rank", "chunk_id", "score", "match_types", "strategy")
 
 
@@ -80,13 +80,13 @@ def weighted(rewrites: DataFrame, k: int, most: int = MOST_VARIANTS) -> DataFram
 
 
 def expanded_search(
-    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon, authors: DataFrame, dynasties: DataFrame, k: int, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, floor: float | None = None, most: int = MOST_VARIANTS, spread: int = 0
+    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon, authors: DataFrame, dynasties: DataFrame, k: int, vectors: DataFrame | r.VectorIndex | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, floor: float | None = None, most: int = MOST_VARIANTS, spread: int = 0
 ) -> DataFrame:
     """Rewrite, filter, run all variants as one batch, fuse and select: (query_id, place, chunk_id, work_id, score, match_types, hard_filtered).
 
     chunks: as lexical_search takes them, with line_start; queries: query_id, question and, where a caller
     filters, caller_author and caller_dynasty. embed adds an embedding to rows with a question; with vectors
-    (vec_id, a chunk_id; embedding, author_key, dynasty_key) every variant runs lexically and densely, with
+    (vec_id, a chunk_id; embedding, author_key, dynasty_key; or an index with these as payload) every variant runs lexically and densely, with
     hits above floor only. A query for facts that no corpus holds, or for a title that it lacks, gives one row
     with hard_filtered and no chunk; a blank query gives none. A query of one variant keeps that one's result.
     """
@@ -104,7 +104,7 @@ def expanded_search(
         inner = r.query_keys(runs.withColumn("own_k", r.own_limit("own_k")))
         lexical = r.lexical_search(chunks, inner, widest, spread=spread)
         asking = embed(runs).select("query_id", "embedding", F.col("only_author").alias("author_key"), F.col("only_dynasty").alias("dynasty_key"))
-        dense = r.dense_search(vectors, checkpointed(asking), widest, facets=["author_key", "dynasty_key"])
+        dense = r.dense_hits(vectors, checkpointed(asking), widest, ["author_key", "dynasty_key"])
         dense = dense.where(F.col("score") >= floor) if floor is not None else dense
         dense = dense.join(inner.select("query_id", "own_k"), "query_id").where("rank <= own_k").withColumnRenamed("vec_id", "chunk_id")
         found = r.hybrid(lexical, dense, widest).join(limits, "query_id").where("rank <= own_k")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="lexforge-shared-")
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder under the shared one."""
+    return f"{shared_folder(spark)}/lexforge-{kind}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that later plans start from it."""
     context = df.sparkSession.sparkContext

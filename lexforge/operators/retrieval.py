@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamped, content_overlap, normalize_content, normalize_lookup
 from ..sources.tables import top
 from .dense import dense_search
+from .literal import KEY_BYTES, matched
 from .vector_index import VectorIndex
 
 #: Rank constant of the fusion, best score of two branches, order of granularities.
@@ -15,9 +16,6 @@ RRF = 60
 BEST_OF_TWO = 2 / (RRF + 1)
 GRANULARITIES = {"line": 0, "poem": 1, "note": 2}
 NAMES = ("title", "author", "dynasty")
-#: Queries (and bytes of their vectors) that are broadcast; more are joined by grams of their keys, or by blocks.
-BROADCAST_QUERIES = 1000
-GRAM = 8
 #: Columns that don't travel with candidates; they are fetched for the hits.
 HEAVY = ("text", "title", "content_key", "title_key", "author_key", "dynasty_key")
 
@@ -49,45 +47,10 @@ def query_keys(queries: DataFrame, column: str = "question") -> DataFrame:
     return keyed.where("q_content <> '' OR q_lookup <> ''")
 
 
-def grams(key: str, size: int) -> Column:
-    """The different runs of size letters of a key."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - (size - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(key), i, F.lit(size))))
-
-
-def by_grams(rows: DataFrame, queries: DataFrame, key: str, query_key: str, condition: Column, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """Pairs that meet condition, which has to hold only where the row's key contains the query's.
-
-    Rows and queries meet in the first gram of the query's key, which a row that contains the key holds as
-    well. Queries shorter than a gram are broadcast if they are at most most, and else meet the rows in all
-    runs of their own length.
-    """
-    size = F.length(F.col(query_key))
-    met = lambda q, n: rows.withColumn("__gram", F.explode(grams(key, n))).join(q.withColumn("__gram", F.substring(query_key, 1, n)), "__gram").where(condition).drop("__gram")
-    found, short = met(queries.where(size >= GRAM), GRAM), queries.where(size < GRAM)
-    if short.limit(most + 1).count() <= most:
-        return found.unionByName(rows.join(F.broadcast(short), condition))
-    for n in range(1, GRAM):
-        found = found.unionByName(met(short.where(size == n), n))
-    return found
-
-
-def lexical_pairs(rows: DataFrame, queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """Pairs of rows and queries that match by content, title, author or dynasty, each once.
-
-    Beyond most queries, content keys meet in grams, and so do lookup keys with the distinct names, which
-    are then joined with their rows. A pair comes by its content or else by the first name that matches.
-    """
-    match, phrase, part = lexical_match()
-    if queries.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(queries), match)
-    phrase = F.coalesce(phrase, F.lit(False))
-    by_content = by_grams(rows, queries.where("q_content <> ''"), "content_key", "q_content", phrase, most)
-    named = rows.select("*", F.posexplode(F.array(*(f"{n}_key" for n in NAMES))).alias("__place", "__name")).where("__name <> ''")
-    names = by_grams(named.select("__name").distinct(), queries.where("q_lookup <> ''"), "__name", "q_lookup", F.contains("__name", F.col("q_lookup")), most)
-    first = F.when(part[0], 0).when(part[1], 1).when(part[2], 2)
-    by_name = named.join(names, "__name").where(~phrase & (first == F.col("__place"))).drop("__place", "__name")
-    return by_content.unionByName(by_name)
+def lexical_pairs(rows: DataFrame, queries: DataFrame, most_bytes: int = KEY_BYTES) -> DataFrame:
+    """Pairs of rows and queries that match by content, title, author or dynasty, each once."""
+    pairs = matched(rows, queries, [("content_key", "q_content"), *((f"{n}_key", "q_lookup") for n in NAMES)], most_bytes)
+    return pairs.where(lexical_match()[0])
 
 
 def lexical_match() -> tuple[Column, Column, list[Column]]:
@@ -116,22 +79,24 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most: int = BROADCAST_QUERIES, fetch: tuple[str, ...] = ()) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
     query_id, q_content, q_lookup and, where wanted, only_author and only_dynasty: lookup keys that a chunk's
     have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
-    after the cut). A column own_k of the queries gives each its own k, of at most k. Scores are made where
-    rows and queries meet, so that texts and keys don't travel; those named in fetch are joined to the hits
-    by chunk_id. spread deals a table of few splits out to so many tasks.
+    after the cut). A column own_k of the queries gives each its own k, of at most k. Rows and queries meet in
+    one pass over the rows for each slice of the queries (most_bytes of keys), however many these are. Scores are made there,
+    so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id. spread deals a table of few splits out to so many tasks.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     rows = rows.repartition(spread) if spread else rows
     priority, score, types = lexical_columns()
     only = [c for c in ("only_author", "only_dynasty") if c in queries.columns]
     own = ["own_k"] if "own_k" in queries.columns else []
-    pairs = lexical_pairs(rows, queries.select("query_id", "q_content", "q_lookup", *only, *own), most)
+    # Keys of the rows meet those of the queries; texts stay behind.
+    keys = [c for c in rows.columns if c not in ("text", "title")]
+    pairs = lexical_pairs(rows.select(*keys), queries.select("query_id", "q_content", "q_lookup", *only, *own), most_bytes)
     for c in only:
         pairs = pairs.where(F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"{c.removeprefix('only_')}_key")))
     light = [c for c in chunks.columns if c not in HEAVY]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamped, content_overlap, normalize_content, normalize_lookup
+from ..functions.text import clamped, content_form, content_overlap, lookup_form, normalize_lookup
 from ..sources.tables import top
 from .dense import dense_search
 from .literal import KEY_BYTES, matched
@@ -43,7 +43,7 @@ def visible(statuses: tuple[str, ...] = ("pending", "ready"), drafts: bool = Fal
 
 def query_keys(queries: DataFrame, column: str = "question") -> DataFrame:
     """queries with content and lookup keys; those with neither go."""
-    keyed = queries.withColumns({"q_content": normalize_content(F.col(column)), "q_lookup": normalize_lookup(F.col(column))})
+    keyed = queries.withColumns({"q_content": content_form(F.col(column)), "q_lookup": lookup_form(F.col(column))})
     return keyed.where("q_content <> '' OR q_lookup <> ''")
 
 
@@ -79,7 +79,7 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, spread: int = 0, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = ()) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
@@ -87,10 +87,9 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
     after the cut). A column own_k of the queries gives each its own k, of at most k. Rows and queries meet in
     one pass over the rows for each slice of the queries (most_bytes of keys), however many these are. Scores are made there,
-    so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id. spread deals a table of few splits out to so many tasks.
+    so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
-    rows = rows.repartition(spread) if spread else rows
     priority, score, types = lexical_columns()
     only = [c for c in ("only_author", "only_dynasty") if c in queries.columns]
     own = ["own_k"] if "own_k" in queries.columns else []

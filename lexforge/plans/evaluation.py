@@ -8,20 +8,20 @@ from ..functions import text as t
 from ..operators import evaluation as e
 from ..operators import retrieval as r
 from ..sources.tables import load
-from .retrieval import KEYS, TEXT_KEYS, asked, lexical_sql, tasks, texts_of
-from .shared import QUESTIONS, WORKS, content_key
+from .retrieval import KEYS, TEXT_KEYS, asked, lexical_sql, texts_of
+from .shared import QUESTIONS, WORKS, content_key, folded_content
 
 
 def evidence(spark, d):
     from ..sources.tables import works
 
-    found = r.lexical_search(texts_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark, d), fetch=("content_key", "title_key", "author_key"))
+    found = r.lexical_search(texts_of(works(spark, d, deal=True)), asked(spark, d), 5, fetch=("content_key", "title_key", "author_key"))
     return found.select(F.col("query_id").alias("case_id"), "rank", "content_key", "title_key", "author_key").persist()
 
 
 def gold(spark, d):
     """Two selectors for each item: its whole text, and its first forty letters in any text of a named author."""
-    items = load(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), t.normalize_content(F.col("text")).alias("k"))
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), t.content_form(F.col("text")).alias("k"))
     return items.select("case_id", F.explode(F.array(F.struct(F.lit(1).alias("gold_id"), F.col("k").alias("contains"), F.lit(None).cast("string").alias("author")), F.struct(F.lit(2).alias("gold_id"), F.substring("k", 1, 40).alias("contains"), F.lit("src1").alias("author")))).alias("g")).select("case_id", "g.*")
 
 
@@ -130,7 +130,7 @@ def judge_failures(spark, d):
 QUERIES = {f.__name__: f for f in (gold_first_rank, retrieval_case_results, retrieval_summary, retrieval_summary_grouping_sets, latency_p95_nearest_rank, generation_case_verdict, generation_summary_micro, judge_routing, judge_summary, rank_subset_check, calibration_summary, unknown_reviews_anti, judge_failures)}
 
 GOLD = f"""WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 5)},
-  items AS (SELECT item_id AS case_id, text, {content_key('text')} AS k FROM benchmark),
+  items AS (SELECT item_id AS case_id, text, {folded_content('text')} AS k FROM benchmark),
   gold AS (SELECT case_id, 1::BIGINT AS gold_id, k AS c, NULL AS author FROM items UNION ALL SELECT case_id, 2, substr(k, 1, 40), 'src1' FROM items),
   firsts AS (SELECT g.case_id, g.gold_id, min(l.rank) AS first_rank FROM gold g LEFT JOIN lex l ON l.query_id = g.case_id AND contains(l.ck, g.c) AND (g.author IS NULL OR l.ak = g.author) GROUP BY 1, 2)"""
 RESULTS = f"""{GOLD}, results AS (SELECT i.case_id, ['exact_quote', 'phrase', 'long_form'][CAST(i.case_id % 3 + 1 AS INT)] AS category, CASE WHEN length(i.text) % 4 = 0 THEN 'no_evidence' ELSE 'evidence' END AS expected, length(i.text) * 1.5::DOUBLE AS latency_ms,

@@ -8,11 +8,11 @@ from ..functions import text as t
 from ..operators import retrieval as r
 from ..operators import selection, vector_index
 from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, top, works
-from .shared import LINES, QUESTIONS, WORKS, content_key
+from .shared import LINES, QUESTIONS, WORKS, folded_content, folded_lookup
 
 
 def keyed(rows):
-    return rows.select("chunk_id", F.col("id").alias("work_id"), "granularity", "text", "title", t.normalize_content(F.col("text")).alias("content_key"), *(t.normalize_lookup(F.col(c)).alias(f"{c}_key") for c in ("title", "author", "dynasty")))
+    return rows.select("chunk_id", F.col("id").alias("work_id"), "granularity", "text", "title", t.content_form(F.col("text")).alias("content_key"), *(t.lookup_form(F.col(c)).alias(f"{c}_key") for c in ("title", "author", "dynasty")))
 
 
 def lines_of(rows):
@@ -27,30 +27,24 @@ def asked(spark, d):
     return r.query_keys(questions(spark, d))
 
 
-def tasks(spark, d):
-    """Tasks to deal the documents out to: none where their files already give every core a split."""
-    cores = spark.sparkContext.defaultParallelism
-    return cores if load(spark, d, "documents").rdd.getNumPartitions() < cores else 0
-
-
 def lexical_top5_lines(spark, d):
     """Each benchmark item's first sentence, and the five best lines of all works."""
-    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark, d))
+    found = r.lexical_search(lines_of(works(spark, d, deal=True)), asked(spark, d), 5)
     return found.select("query_id", "rank", "chunk_id", "work_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
 def lexical_scored(spark, d):
     """Lines and whole texts of the visible works."""
-    rows = works(spark, d).where((F.col("status") == "published") & ~F.col("deleted"))
+    rows = works(spark, d, deal=True).where((F.col("status") == "published") & ~F.col("deleted"))
     both = lines_of(rows).unionByName(texts_of(rows))
-    found = r.lexical_search(both, asked(spark, d), 8, spread=tasks(spark, d))
+    found = r.lexical_search(both, asked(spark, d), 8)
     return found.select("query_id", "rank", "chunk_id", "granularity", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 
 def lexical_by_name(spark, d):
     """Queries that name a source, a language or a part of one: priorities keep exact names before others."""
     queries = spark.createDataFrame([(1, "src1"), (2, "SRC12 "), (3, "en"), (4, "e"), (5, "%"), (6, "_")], "query_id long, question string")
-    found = r.lexical_search(texts_of(works(spark, d)), r.query_keys(queries), 7)
+    found = r.lexical_search(texts_of(works(spark, d, deal=True)), r.query_keys(queries), 7)
     return found.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
@@ -108,7 +102,7 @@ def dense_stale_dropped(spark, d):
 def branches(spark, d):
     """Lexical and dense branches of the benchmark: an item's vector is that of its number; dense hits are whole texts."""
     vectors = load(spark, d, "embeddings")
-    lexical = r.lexical_search(texts_of(works(spark, d)), asked(spark, d), 25, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "score", "match_types")
+    lexical = r.lexical_search(texts_of(works(spark, d, deal=True)), asked(spark, d), 25).select("query_id", "rank", "chunk_id", "score", "match_types")
     queries = questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
     dense = r.dense_search(vectors, queries, 25).select("query_id", "rank", (F.col("vec_id") * 1_000_000).alias("chunk_id"))
     return lexical, dense
@@ -140,7 +134,7 @@ def variants(spark, d):
 def variant_results(spark, d):
     """All variants run as one batch, under ids made of the query's and the variant's."""
     rows = variants(spark, d).withColumns({"origin": F.col("query_id"), "query_id": F.col("query_id") * 10 + F.col("ord")})
-    found = r.lexical_search(texts_of(works(spark, d)), r.query_keys(rows.select("query_id", "question")), 10, spread=tasks(spark, d), fetch=("title", "text"))
+    found = r.lexical_search(texts_of(works(spark, d, deal=True)), r.query_keys(rows.select("query_id", "question")), 10, fetch=("title", "text"))
     return found.join(rows.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "work_id", "title", "granularity", "text", "match_types", "weight")
 
 
@@ -157,8 +151,7 @@ def match_types_union(spark, d):
 def content_overlap_rank(spark, d):
     terms = F.array_distinct(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) >= 6))
     queries = questions(spark, d).select("query_id", terms.alias("terms")).where("size(terms) > 0")
-    rows = works(spark, d).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
-    rows = rows.repartition(tasks(spark, d)) if tasks(spark, d) else rows
+    rows = works(spark, d, deal=True).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
     score = t.group_score(F.col("body"), F.col("head"), F.col("terms"), F.slice("terms", 1, 1))
     scored = rows.join(F.broadcast(queries)).withColumn("score", score).where("score > 0")
     return top(scored, 5, F.desc("score"), F.asc("work_id")).select("query_id", "rank", "work_id", "score")
@@ -201,7 +194,7 @@ def multi_evidence_selector(spark, d):
 
 def parent_context(spark, d):
     """Lines of the works that hits name; only these works are cut into lines again."""
-    found = r.lexical_search(lines_of(works(spark, d)), asked(spark, d), 5, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
+    found = r.lexical_search(lines_of(works(spark, d, deal=True)), asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     return r.context_rows(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
 
@@ -210,7 +203,7 @@ def lexical_filtered(spark, d):
     """Questions that ask for one author, for one language, for both or for none."""
     n = F.col("query_id")
     queries = asked(spark, d).withColumns({"only_author": F.when(n % 2 == 0, F.concat(F.lit("src"), (n % 7).cast("string"))), "only_dynasty": F.when(n % 3 == 0, "en")})
-    found = r.lexical_search(texts_of(works(spark, d)), queries, 5, spread=tasks(spark, d))
+    found = r.lexical_search(texts_of(works(spark, d, deal=True)), queries, 5)
     return found.select("query_id", "rank", "chunk_id", "score", "candidate_count")
 
 
@@ -246,9 +239,9 @@ def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "", only
           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE granularity WHEN 'line' THEN 0 WHEN 'poem' THEN 1 ELSE 2 END, chunk_id) AS rank FROM scored{n} WHERE score > 0) x WHERE rank <= {k})"""
 
 
-KEYS = f"keys AS (SELECT query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM questions)"
-LINE_KEYS = f"lc AS (SELECT chunk_id, work_id, status, deleted, 'line' AS granularity, {content_key('text')} AS ck, lower(trim(title)) AS tk, lower(trim(author)) AS ak, lower(trim(dynasty)) AS dk FROM lines)"
-TEXT_KEYS = f"tc AS (SELECT id * 1000000 AS chunk_id, id AS work_id, status, deleted, 'poem' AS granularity, {content_key('content')} AS ck, lower(trim(title)) AS tk, lower(trim(author)) AS ak, lower(trim(dynasty)) AS dk FROM works)"
+KEYS = f"keys AS (SELECT query_id, {folded_content('question')} AS qc, {folded_lookup('question')} AS ql FROM questions)"
+LINE_KEYS = f"lc AS (SELECT chunk_id, work_id, status, deleted, 'line' AS granularity, {folded_content('text')} AS ck, {folded_lookup('title')} AS tk, {folded_lookup('author')} AS ak, {folded_lookup('dynasty')} AS dk FROM lines)"
+TEXT_KEYS = f"tc AS (SELECT id * 1000000 AS chunk_id, id AS work_id, status, deleted, 'poem' AS granularity, {folded_content('content')} AS ck, {folded_lookup('title')} AS tk, {folded_lookup('author')} AS ak, {folded_lookup('dynasty')} AS dk FROM works)"
 COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
 
 
@@ -266,9 +259,9 @@ HYBRID = f"""WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc',
 VARIANTS = f"""words AS (SELECT query_id, question, list_filter(regexp_split_to_array(lower(question), '[^a-zà-ÿ]+'), lambda w: length(w) >= 5) AS w FROM questions),
   firsts AS (SELECT query_id, word, min(i) AS i FROM (SELECT query_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words) x GROUP BY 1, 2),
   terms AS (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY i) AS ord FROM firsts),
-  allv AS (SELECT query_id, 0 AS ord, question, 3.0::DOUBLE AS weight FROM questions UNION ALL SELECT t.query_id, t.ord, t.word, CASE WHEN t.word = lower(trim(q.question)) THEN 3.0 ELSE 1.5 END FROM terms t JOIN questions q USING (query_id) WHERE ord <= 3),
+  allv AS (SELECT query_id, 0 AS ord, question, 3.0::DOUBLE AS weight FROM questions UNION ALL SELECT t.query_id, t.ord, t.word, CASE WHEN t.word = {folded_lookup('q.question')} THEN 3.0 ELSE 1.5 END FROM terms t JOIN questions q USING (query_id) WHERE ord <= 3),
   variants AS (SELECT query_id, ord, question, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, ord) AS kept FROM allv) x WHERE kept <= 3),
-  vkeys AS (SELECT query_id * 10 + ord AS query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM variants)"""
+  vkeys AS (SELECT query_id * 10 + ord AS query_id, {folded_content('question')} AS qc, {folded_lookup('question')} AS ql FROM variants)"""
 
 FUSED = f"""res AS (SELECT v.query_id, v.ord, v.weight, l.rank, l.chunk_id, l.match_types FROM lex l JOIN variants v ON v.query_id * 10 + v.ord = l.query_id),
   used AS (SELECT query_id, sum(weight) AS total FROM variants GROUP BY 1),

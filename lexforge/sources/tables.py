@@ -34,12 +34,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as works: id, title (first line), content, author, dynasty, status and deleted (from labels)."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores where their files have fewer splits, as small tables of few files have."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def works(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """Documents as works: id, title (first line), content, author, dynasty, status and deleted (from labels); deal is for searches, which work long on each text."""
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality", "toxic")
     status = F.when(F.col("label_id").isNull(), "draft").when(F.col("quality") == 1, "published").otherwise("archived")
+    documents = load(spark, sf_dir, "documents")
     return (
-        load(spark, sf_dir, "documents")
+        (dealt(documents) if deal else documents)
         .join(labels, F.col("doc_id") == F.col("label_id"), "left")
         .select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("content"), F.col("source").alias("author"), F.col("lang").alias("dynasty"), status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"))
     )

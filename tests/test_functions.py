@@ -1,6 +1,7 @@
 import random
 import uuid
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,3 +114,22 @@ def test_rewrite(spark):
     assert rw.rewrite("", LEXICON).variants == [] and rw.rewrite("“明月”的诗", LEXICON).content_terms == []
     assert rw.rewrite("杜甫的出生地", LEXICON).unavailable and rw.rewrite("这首诗的结尾", LEXICON).prefer_tail
     assert rw.rewrites(spark, [(1, "李白的诗"), (2, "x")], LEXICON).where("size(variants) > 0").count() == 1
+
+
+def test_search_forms_equal_the_full_forms_for_every_code_point(spark):
+    """The native part of the forms against unicodedata, for each code point (all planes that hold any letters) at both ends of a text, and in random texts."""
+    import random
+
+    random.seed(9)
+    points = [c for c in [*range(1, 0x33480), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    texts = [f"{chr(c)}aB{chr(c)}" for c in points]
+    low = [c for c in points if c < 0x3100]
+    texts += ["".join(chr(random.choice(low)) for _ in range(random.randint(1, 6))) for _ in range(30_000)]
+    texts += ["STRASSE straße", "ＦＵＬＬ　ｗｉｄｔｈ", "ﬁne", "é", "한", "ΟΔΟΣ", " \t x \n", "", "İ"]
+    frame = spark.createDataFrame(pd.DataFrame({"t": texts}))
+    rows = frame.select("t", t.lookup_form(F.col("t")).alias("l"), t.content_form(F.col("t")).alias("c"), t.is_plain(F.col("t")).alias("p")).toPandas()
+    wrong = [(s, x, y) for s, x, y in zip(rows["t"], rows["l"], rows["c"]) if x != t.lookup_key(s) or y != t.content_key(s)]
+    assert not wrong, wrong[:5]
+    assert rows["p"].sum() > 30_000
+    nothing = spark.createDataFrame([(None,)], "t string").select(t.lookup_form(F.col("t")), t.content_form(F.col("t"))).first()
+    assert tuple(nothing) == (None, None)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,41 +43,17 @@ def lookup_forms(texts: pd.Series) -> pd.Series:
     return texts.map(lambda values: [lookup_key(v) for v in values], na_action="ignore")
 
 
-@cache
-def plain_letters() -> str:
-    """The inside of a pattern's class of characters that NFKC leaves alone wherever they stand and whose case folding is their lower case.
-
-    Derived from the character data: characters of long standing, neither combining nor the second of a pair that
-    composes, in runs of 16 or more, so that the class stays short. Texts of these only have a native form.
-    """
-    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
-    seconds = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
-
-    def plain(c: int) -> bool:
-        x = chr(c)
-        known = unicodedata.ucd_3_2_0.category(x) not in ("Cn", "Cs")
-        alone = not unicodedata.combining(x) and not (c >= 0xA0 and x.isspace()) and c not in seconds and not 0x1100 <= c < 0x1200 and x != "\u03a3"
-        return known and alone and unicodedata.normalize("NFKC", x) == x and x.casefold() == x.lower() and len(x.lower()) == 1
-
-    runs: list[list[int]] = []
-    for c in filter(plain, range(0x10000)):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs if b - a >= 15)
-
-
 def is_plain(text: Column) -> Column:
-    return ~text.rlike(f"[^{plain_letters()}]")
+    """Whether a text is ASCII, of as many bytes as letters: NFKC leaves it alone and folding is the lower case."""
+    return F.octet_length(text) == F.length(text)
 
 
-#: White space below U+00A0 that strip() takes off; the rest is not plain.
-STRIPPED = "".join(chr(c) for c in range(0xA0) if chr(c).isspace())
+#: ASCII white space that strip() takes off.
+STRIPPED = "".join(chr(c) for c in range(0x80) if chr(c).isspace())
 
 
 def lookup_form(text: Column) -> Column:
-    """NFKC, stripped, case-folded: natively for texts of plain letters, in Arrow batches for the others, which alone are sent."""
+    """NFKC, stripped, case-folded: natively for ASCII, in Arrow batches for other texts, which alone are sent."""
     plain = is_plain(text)
     return F.when(plain, F.lower(F.trim(text, F.lit(STRIPPED)))).otherwise(normalize_lookup_full(F.when(~plain, text)))
 

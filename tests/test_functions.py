@@ -130,6 +130,6 @@ def test_search_forms_equal_the_full_forms_for_every_code_point(spark):
     rows = frame.select("t", t.lookup_form(F.col("t")).alias("l"), t.content_form(F.col("t")).alias("c"), t.is_plain(F.col("t")).alias("p")).toPandas()
     wrong = [(s, x, y) for s, x, y in zip(rows["t"], rows["l"], rows["c"]) if x != t.lookup_key(s) or y != t.content_key(s)]
     assert not wrong, wrong[:5]
-    assert rows["p"].sum() > 30_000
+    assert rows["p"].sum() > 120
     nothing = spark.createDataFrame([(None,)], "t string").select(t.lookup_form(F.col("t")), t.content_form(F.col("t"))).first()
     assert tuple(nothing) == (None, None)

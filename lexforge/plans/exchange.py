@@ -63,11 +63,25 @@ def chunks_indexed(spark, d):
     path = folder(spark)
     lines = line_chunks(works(spark, d)).select("chunk_id", F.col("chunk_id").cast("string").alias("vector_id"), "text", F.when(F.col("chunk_index") % 2 == 0, "pending").otherwise("ready").alias("status"))
     after = index_runs.index_chunks(lines, lambda rows: ports.embedded(rows, "text"), path, 32)
-    stored = spark.read.parquet(f"{path}/points").select("chunk_id", F.lit(True).alias("stored"))
+    stored = index_runs.live_points(spark, path).select("chunk_id", F.lit(True).alias("stored"))
     return after.join(stored, "chunk_id", "left").select("chunk_id", "status", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
-QUERIES = {f.__name__: f for f in (shards_read, report_read, reviews_read, store_points, chunks_indexed)}
+def chunks_indexed_again(spark, d):
+    """Two index runs that overlap, points withdrawn, and a compaction: each chunk's status and the points it has in the store."""
+    path = folder(spark)
+    lines = line_chunks(works(spark, d)).select("chunk_id", F.col("chunk_id").cast("string").alias("vector_id"), "text", "chunk_index", "line_no")
+    embed = lambda rows: ports.embedded(rows, "text")
+    run = lambda wanted: index_runs.index_chunks(lines.withColumn("status", F.when(wanted, "pending").otherwise("ready")), embed, path, 32)
+    run(F.col("chunk_index") % 2 == 0)
+    after = run(F.col("chunk_index") % 3 == 0)
+    index_runs.withdrawn(lines.where("line_no % 5 = 0").select("vector_id"), path)
+    index_runs.compacted(spark, path)
+    stored = index_runs.live_points(spark, path).groupBy("chunk_id").agg(F.count("*").alias("points"))
+    return after.join(stored, "chunk_id", "left").select("chunk_id", "status", F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+
+
+QUERIES = {f.__name__: f for f in (shards_read, report_read, reviews_read, store_points, chunks_indexed, chunks_indexed_again)}
 
 ORACLES = {
     "shards_read": "SELECT doc_id, lang, sha256(text) AS text_sha256, true AS same_line FROM documents",
@@ -75,4 +89,5 @@ ORACLES = {
     "reviews_read": "SELECT 'case-' || event_id AS case_id, event_type AS category, CAST(event_id % 3 AS INT) AS relevance_0_2, CAST(event_id % 2 + 1 AS INT) AS faithfulness_0_2 FROM events WHERE event_type <> 'error'",
     "store_points": "SELECT CAST(vec_id AS VARCHAR) AS id, round(CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::FLOAT::DOUBLE, 5) AS first, CAST(label AS VARCHAR) AS label FROM embeddings WHERE vec_id % 5 <> 0",
     "chunks_indexed": f"WITH {WORKS}, {LINES} SELECT chunk_id, 'ready' AS status, chunk_index % 2 = 0 AS stored FROM lines",
+    "chunks_indexed_again": f"WITH {WORKS}, {LINES} SELECT chunk_id, 'ready' AS status, CASE WHEN (chunk_index % 2 = 0 OR chunk_index % 3 = 0) AND line_no % 5 <> 0 THEN 1::BIGINT ELSE 0 END AS points FROM lines",
 }

@@ -55,6 +55,15 @@ def index_run_states(spark, d):
     return index_runs.run_states(load(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), commands.alias("command")))
 
 
+def until_read(stream, folder):
+    """The rows of a stateful stream over what there is now, written to a folder and read from there."""
+    spark = stream.sparkSession
+    with chat.stateful(spark, until_read=True):
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def events_state_stream(spark, d):
     """The stateful stream over all event files until they are read; streams without an end are still open."""
     schema = load(spark, d, "events").schema
@@ -62,10 +71,7 @@ def events_state_stream(spark, d):
     raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     events = raw.select(F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").alias("seq"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("timing")).alias("kind"), F.col("props").alias("payload"))
     folder = f"{shared_folder(spark)}/lexforge-states-{uuid.uuid4().hex}"
-    states = chat.final_state_stream(events, wait_ms=None)
-    query = states.writeStream.format("parquet").option("path", f"{folder}/states").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(states.schema).parquet(f"{folder}/states")
+    return until_read(chat.final_state_stream(events, wait_ms=None), folder)
 
 
 def sse_stream(spark, d):
@@ -76,9 +82,7 @@ def sse_stream(spark, d):
     folder = f"{shared_folder(spark)}/lexforge-frames-{uuid.uuid4().hex}"
     halves.write.parquet(f"{folder}/in")
     read = chat.frame_stream(spark.readStream.schema(halves.schema).parquet(f"{folder}/in"))
-    query = read.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(read.schema).parquet(f"{folder}/out")
+    return until_read(read, folder)
 
 
 def events_windows(spark, d):
@@ -104,7 +108,9 @@ ORACLES = {
       FROM t LEFT JOIN p ON p.stream_id = t.stream_id AND p.seq < t.end_seq GROUP BY ALL""",
     "sse_stream": "SELECT user_id AS stream_id, event_type AS event, CAST(event_id AS VARCHAR) AS data FROM events",
     "chat_history_last_n": f"SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM ({HISTORY}) x WHERE back <= 8",
-    "stream_final_state": f"WITH {EVENTS}, t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM ev WHERE kind IN ('done', 'error', 'cancelled') GROUP BY 1) SELECT e.stream_id, CASE WHEN any_value(k) = 'done' THEN 'completed' WHEN any_value(k) = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, count(*) FILTER (kind = 'delta') AS n_deltas, any_value(end_seq) AS end_seq, max(seq) AS last_seq FROM ev e LEFT JOIN t USING (stream_id) GROUP BY 1",
+    "stream_final_state": f"""WITH {EVENTS}, p AS (SELECT ev.*, props AS payload FROM ev JOIN events ON event_id = seq), t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM ev WHERE kind IN ('done', 'error', 'cancelled') GROUP BY 1)
+      SELECT e.stream_id, CASE any_value(k) WHEN 'done' THEN 'completed' WHEN 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, count(*) FILTER (kind = 'delta') AS n_deltas, CAST(coalesce(sum(length(payload)) FILTER (kind = 'delta'), 0) AS BIGINT) AS content_length, any_value(end_seq) AS end_seq, max(seq) AS last_seq
+      FROM p e LEFT JOIN t USING (stream_id) WHERE end_seq IS NULL OR seq <= end_seq GROUP BY 1""",
     "ttft_by_stream": f"WITH {EVENTS} SELECT stream_id, round((epoch_us(min(ts) FILTER (kind = 'delta')) - epoch_us(min(ts))) / 1000.0::DOUBLE, 3) AS ttft_ms, round(greatest(0.0::DOUBLE, arg_max(value, seq) FILTER (kind = 'timing')), 3) AS duration_ms FROM ev GROUP BY 1",
     "assess_route": "SELECT event_id AS query_id, CASE WHEN event_id % 4 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'passed' WHEN event_id % 3 = 1 THEN 'refused' ELSE 'failed_open' END AS status, CASE WHEN event_id % 4 = 0 THEN 'no_evidence' WHEN event_id % 3 = 0 THEN 'supported' WHEN event_id % 3 = 1 THEN 'missing_fact' ELSE 'assessment_error' END AS reason_code, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 1 THEN 'refuse' ELSE 'generate' END AS route FROM events",
     "answer_validation": "WITH a AS (SELECT event_id AS n FROM events) SELECT n AS event_id, CASE WHEN n % 13 = 0 THEN 'empty_response' WHEN n % 3 <> 0 AND (n % 5 < 1 OR greatest(n % 5, n % 7 + 1) > n % 6) THEN 'citation_invalid' WHEN n % 6 > 0 AND n % 3 = 0 AND n % 9 <> 0 THEN 'citation_missing' END AS error FROM a",

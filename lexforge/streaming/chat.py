@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TERMINAL = ("done", "error", "cancelled")
+STATUS = {"done": "completed", "cancelled": "cancelled"}
 FINAL = "stream_id long, status string, n_deltas long, content_length long, last_seq long"
+FRAME = "stream_id long, event string, data string"
+#: How long a stream that ended is remembered, so that late events don't open it again, and how long the rest of a frame waits.
+REMEMBERED_MS = 24 * 3600 * 1000
 
 
 def last_messages(messages: DataFrame, most: int = 8, by: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -23,14 +28,16 @@ def last_messages(messages: DataFrame, most: int = 8, by: str = "conv_id", order
 def final_states(events: DataFrame) -> DataFrame:
     """The state of each finished stream (stream_id, seq, kind, payload), from its first terminal event.
 
-    done completes, error fails, cancelled cancels; text before it is kept. A stream without a terminal
-    event failed as well. One aggregate with partial sums, no window.
+    done completes, error fails, cancelled cancels; only what comes before it in order of seq counts. A stream
+    without a terminal event failed as well. final_state_stream goes by the same rule. Partial aggregates, no window.
     """
     terminal = F.col("kind").isin(*TERMINAL)
-    first = F.min_by("kind", F.when(terminal, F.col("seq")))
-    end = F.min(F.when(terminal, F.col("seq")))
-    status = F.when(first == "done", "completed").when(first == "cancelled", "cancelled").otherwise("failed")
-    return events.groupBy("stream_id").agg(status.alias("status"), F.count_if(F.col("kind") == "delta").alias("n_deltas"), end.alias("end_seq"), F.max("seq").alias("last_seq"))
+    ends = events.where(terminal).groupBy("stream_id").agg(F.min("seq").alias("end_seq"), F.min_by("kind", "seq").alias("end_kind"))
+    used = events.join(ends, "stream_id", "left").where("end_seq IS NULL OR seq <= end_seq")
+    status = F.when(F.col("end_kind") == "done", "completed").when(F.col("end_kind") == "cancelled", "cancelled").otherwise("failed")
+    delta = F.col("kind") == "delta"
+    counted = used.groupBy("stream_id", "end_seq", "end_kind").agg(F.count_if(delta).alias("n_deltas"), F.coalesce(F.sum(F.when(delta, F.length("payload"))), F.lit(0)).cast("long").alias("content_length"), F.max("seq").alias("last_seq"))
+    return counted.select("stream_id", status.alias("status"), "n_deltas", "content_length", "end_seq", "last_seq")
 
 
 def timings(events: DataFrame) -> DataFrame:
@@ -87,41 +94,70 @@ def prompt(system: str, history: Column, evidence: Column, question: Column) ->
     return F.concat(F.array(message("system", F.lit(system))), F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), F.array(message("user", ask)))
 
 
-def folding(wait_ms: int | None):
-    """A function that holds the counts of a stream until its terminal event, or wait_ms without events, and gives its final row once."""
+@contextmanager
+def stateful(spark: SparkSession, until_read: bool = False):
+    """Settings that stateful streams need while they are started: a state store that holds timers and lifetimes.
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(status: str, deltas: int, size: int, last: int) -> pd.DataFrame:
-            return pd.DataFrame({"stream_id": [key[0]], "status": [status], "n_deltas": [deltas], "content_length": [size], "last_seq": [last]})
-
-        deltas, size, last = state.get if state.exists else (0, 0, -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield row("failed", deltas, size, last)
+    until_read is for streams that end when all is read: batches without data, which timers ask for for ever, are off.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    wanted |= {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if until_read else {}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class FinalStates(StatefulProcessor):
+    """Counts of a stream until its terminal event, or wait_ms without events; then a tombstone, which late events meet, for remembered_ms."""
+
+    def __init__(self, wait_ms: int | None, remembered_ms: int):
+        self.wait_ms, self.remembered_ms = wait_ms, remembered_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "deltas long, size long, last long")
+        self.ended = handle.getValueState("ended", "last long", self.remembered_ms)
+
+    def close_stream(self, key: tuple, status: str, deltas: int, size: int, last: int) -> pd.DataFrame:
+        self.counts.clear()
+        self.ended.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        return pd.DataFrame({"stream_id": [key[0]], "status": [status], "n_deltas": [deltas], "content_length": [size], "last_seq": [last]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq")
+        if self.ended.exists():
             return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, kind, payload in zip(rows["seq"], rows["kind"], rows["payload"]):
+        deltas, size, last = self.counts.get() if self.counts.exists() else (0, 0, -1)
+        for seq, kind, payload in zip(batch["seq"], batch["kind"], batch["payload"]):
             if kind in TERMINAL:
-                if state.exists:
-                    state.remove()
-                yield row({"done": "completed", "cancelled": "cancelled"}.get(kind, "failed"), deltas, size, int(seq))
+                yield self.close_stream(key, STATUS.get(kind, "failed"), deltas, size, int(seq))
                 return
-            deltas, size, last = deltas + (kind == "delta"), size + len(payload or "") * (kind == "delta"), int(seq)
-        state.update((deltas, size, last))
-        if wait_ms is not None:
-            state.setTimeoutDuration(wait_ms)
+            deltas, size, last = deltas + (kind == "delta"), size + len(payload or "") * (kind == "delta"), max(last, int(seq))
+        self.counts.update((int(deltas), int(size), last))
+        if self.wait_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    return fold
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.counts.exists() and not self.ended.exists():
+            yield self.close_stream(key, "failed", *self.counts.get())
 
 
-def final_state_stream(events: DataFrame, wait_ms: int | None = 60_000) -> DataFrame:
-    """The streaming form of final_states: a row for each stream when its terminal event comes, or fails after wait_ms without events.
+def final_state_stream(events: DataFrame, wait_ms: int | None = 60_000, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
+    """The streaming form of final_states: one row for each stream, when its terminal event comes or after wait_ms without events.
 
-    Without a wait, streams stay open until they end; use this with availableNow, which a processing-time
-    timeout would keep running.
+    Events that come in a later batch than the end are late: for remembered_ms they are ignored, whatever their
+    seq. Without a wait, streams stay open until they end. Start it under stateful().
     """
-    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return events.groupBy("stream_id").applyInPandasWithState(folding(wait_ms), FINAL, "deltas long, size long, last long", "append", timeout)
+    return events.groupBy("stream_id").transformWithStateInPandas(FinalStates(wait_ms, remembered_ms), FINAL, "Append", "ProcessingTime")
 
 
 def read_event_files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -143,17 +179,34 @@ def split_frames(buffer: str, chunk: str) -> tuple[list[tuple[str, str]], str]:
     return frames, rest
 
 
-def frame_stream(chunks: DataFrame) -> DataFrame:
-    """Frames (stream_id, event, data) of a stream of chunks (stream_id, seq, chunk), which may be cut anywhere; what is left of a stream waits in its state."""
+class Frames(StatefulProcessor):
+    """What is left of a stream's last frame, and the last chunk's seq, for remembered_ms after it."""
+
+    def __init__(self, remembered_ms: int):
+        self.remembered_ms = remembered_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rest = handle.getValueState("rest", "rest string, last long", self.remembered_ms)
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).drop_duplicates("seq").sort_values("seq")
+        rest, last = self.rest.get() if self.rest.exists() else ("", -1)
+        batch = batch[batch["seq"] > last]
+        if batch.empty:
+            return
         # A carriage return at the end may be half of a line end, so it waits as well.
-        held = rest + "".join(rows["chunk"])
+        held = rest + "".join(batch["chunk"].fillna(""))
         text, back = (held[:-1], "\r") if held.endswith("\r") else (held, "")
         frames, left = split_frames("", text)
-        state.update((left + back,))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(frames), "event": [f[0] for f in frames], "data": [f[1] for f in frames]})
+        self.rest.update((left + back, int(batch["seq"].iloc[-1])))
+        if frames:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(frames), "event": [f[0] for f in frames], "data": [f[1] for f in frames]})
+
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(fold, "stream_id long, event string, data string", "rest string", "append", GroupStateTimeout.NoTimeout)
+def frame_stream(chunks: DataFrame, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
+    """Frames (stream_id, event, data) of a stream of chunks (stream_id, seq, chunk), which may be cut anywhere.
+
+    Chunks come in order of seq from batch to batch; one that is not beyond the last seen came before and is ignored. What is left of a
+    stream waits for remembered_ms after its last chunk and is dropped then. Start it under stateful().
+    """
+    return chunks.groupBy("stream_id").transformWithStateInPandas(Frames(remembered_ms), FRAME, "Append", "ProcessingTime")

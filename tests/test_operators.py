@@ -183,29 +183,72 @@ def test_evaluation_summaries(spark):
 
 
 def test_chat_states(spark):
-    rows = [(1, 1, "delta", "ab"), (1, 2, "done", None), (1, 3, "error", None), (2, 1, "delta", "x"), (3, 1, "cancelled", None)]
+    rows = [(1, 1, "delta", "ab"), (1, 2, "done", None), (1, 3, "error", None), (1, 4, "delta", "late"), (2, 1, "delta", "x"), (3, 1, "cancelled", None)]
     found = {r.stream_id: (r.status, r.n_deltas) for r in chat.final_states(spark.createDataFrame(rows, "stream_id long, seq long, kind string, payload string")).collect()}
     assert found == {1: ("completed", 1), 2: ("failed", 1), 3: ("cancelled", 0)}
     runs = spark.createDataFrame([(1, 1, "start"), (1, 2, "succeed"), (1, 3, "start"), (2, 1, "fail")], "run_id long, seq long, command string")
     assert {r.run_id: (r.status, r.refused) for r in index_runs.run_states(runs).collect()} == {1: ("succeeded", 1), 2: ("pending", 1)}
 
 
-def test_state_stream_ends(spark, tmp_path):
-    rows = [(1, 1, "delta", "ab"), (1, 2, "done", None), (2, 1, "delta", "x"), (3, 1, "error", None)]
-    frame = spark.createDataFrame(rows, "stream_id long, seq long, kind string, payload string")
-    frame.coalesce(1).write.parquet(str(tmp_path / "events"))
-    stream = chat.final_state_stream(chat.read_event_files(spark, str(tmp_path / "events"), frame.schema), wait_ms=None)
-    query = stream.writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r.stream_id, r.status, r.content_length) for r in spark.table("ended").collect()} == {(1, "completed", 2), (3, "failed", 0)}
-
-
 def test_index_pipeline_publishes_all_or_nothing(spark, tmp_path):
     table = spark.createDataFrame([(1, "v1", "moon", "pending"), (2, "v2", "sun", "ready")], "chunk_id long, vector_id string, text string, status string")
-    good = index_runs.index_chunks(table, lambda df: ports.embedded(df, "text"), str(tmp_path / "a"), 32)
-    assert {r.status for r in good.collect()} == {"ready"} and spark.read.parquet(str(tmp_path / "a/points")).count() == 1
-    bad = index_runs.index_chunks(table, lambda df: ports.embedded(df, "text"), str(tmp_path / "b"), 99)
-    assert {r.chunk_id: r.status for r in bad.collect()} == {1: "failed", 2: "ready"} and not (tmp_path / "b/points").exists()
+    embed = lambda df: ports.embedded(df, "text")
+    good = index_runs.index_chunks(table, embed, str(tmp_path / "a"), 32)
+    assert {r.status for r in good.collect()} == {"ready"} and index_runs.live_points(spark, str(tmp_path / "a")).count() == 1
+    bad = index_runs.index_chunks(table, embed, str(tmp_path / "b"), 99)
+    assert {r.chunk_id: r.status for r in bad.collect()} == {1: "failed", 2: "ready"} and index_runs.live_points(spark, str(tmp_path / "b")).count() == 0
+    assert index_runs.swept(spark, str(tmp_path / "b")) == [] and index_runs.index_chunks(good, embed, str(tmp_path / "a"), 32).count() == 2
+
+    def broken(df):
+        def fail(texts):
+            raise ports.ProviderError("down")
+
+        return ports.embedded(df, "text", fail)
+
+    assert {r.chunk_id: r.status for r in index_runs.index_chunks(table, broken, str(tmp_path / "a"), 32).collect()} == {1: "failed", 2: "ready"}
+    assert index_runs.live_points(spark, str(tmp_path / "a")).count() == 1 and index_runs.swept(spark, str(tmp_path / "a")) == []
+
+
+def test_index_runs_that_overlap_and_crash(spark, tmp_path):
+    path = str(tmp_path / "s")
+
+    def run(ids, text):
+        rows = spark.createDataFrame([(i, f"v{i}", text, "pending") for i in ids], "chunk_id long, vector_id string, text string, status string")
+        return index_runs.index_chunks(rows, lambda df: ports.embedded(df, "text", dimension_of(text)), path, 3)
+
+    def dimension_of(text):
+        return lambda texts: [[float(len(text)), 0.0, 1.0]] * len(texts)
+
+    live = lambda: {r.vector_id: (r.embedding[0], r.generation) for r in index_runs.live_points(spark, path).collect()}
+    run([1, 2], "a")
+    run([2, 3], "bb")
+    assert live() == {"v1": (1.0, 1), "v2": (2.0, 2), "v3": (2.0, 2)}
+    # A crash between the phases: points are there, but no manifest names them.
+    rows = spark.createDataFrame([("v1", 1, [9.0, 9.0, 9.0], False)], "vector_id string, chunk_id long, embedding array<float>, deleted boolean")
+    index_runs.write_run(rows, path, "run-crashed")
+    assert live()["v1"] == (1.0, 1)
+    run([1], "ccc")
+    index_runs.withdrawn(spark.createDataFrame([("v3",)], "vector_id string"), path)
+    assert live() == {"v1": (3.0, 3), "v2": (2.0, 2)}
+    index_runs.compacted(spark, path)
+    assert {v: e for v, (e, _) in live().items()} == {"v1": 3.0, "v2": 2.0}
+    assert "run-crashed" in index_runs.swept(spark, path) and len(live()) == 2
+
+
+def test_manifest_is_changed_by_compare_and_swap(spark, tmp_path):
+    from lexforge.sources import manifest
+
+    folder, calls = str(tmp_path / "m"), []
+
+    def change(names):
+        calls.append(list(names))
+        if len(calls) == 1:
+            manifest.published(spark, folder, lambda now: [*now, "other"])
+        return [*names, "mine"]
+
+    assert manifest.current(spark, folder) == (0, [])
+    assert manifest.published(spark, folder, change) == 2
+    assert calls == [[], ["other"]] and manifest.current(spark, folder) == (2, ["other", "mine"])
 
 
 def test_ports(spark):

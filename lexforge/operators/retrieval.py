@@ -79,7 +79,7 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = ()) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = (), among: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
@@ -87,7 +87,8 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
     after the cut). A column own_k of the queries gives each its own k, of at most k. Rows and queries meet in
     one pass over the rows for each slice of the queries (most_bytes of keys), however many these are. Scores are made there,
-    so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id.
+    so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id. among
+    (work_id) names the works that may be found; it is joined with the matches before the cut, not with the texts.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     priority, score, types = lexical_columns()
@@ -100,6 +101,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
         pairs = pairs.where(F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"{c.removeprefix('only_')}_key")))
     light = [c for c in chunks.columns if c not in HEAVY]
     slim = pairs.select("query_id", *own, *light, priority.alias("priority"), score.alias("score"), types.alias("match_types"))
+    slim = slim.join(among, "work_id", "left_semi") if among is not None else slim
     cut = top(slim, candidate_limit(k), F.asc("priority"), F.asc("chunk_id"), name="cut")
     if own:
         cut = cut.where(F.col("cut") <= own_limit("own_k"))

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import evaluation as e
 from ..operators import retrieval as r
-from ..sources.tables import load
+from ..sources.tables import load, texts
 from .retrieval import KEYS, TEXT_KEYS, asked, lexical_sql, texts_of
 from .shared import QUESTIONS, WORKS, content_key, folded_content
 
 
 def evidence(spark, d):
-    from ..sources.tables import works
-
-    found = r.lexical_search(texts_of(works(spark, d, deal=True)), asked(spark, d), 5, fetch=("content_key", "title_key", "author_key"))
+    found = r.lexical_search(texts_of(texts(spark, d)), asked(spark, d), 5, fetch=("content_key", "title_key", "author_key"))
     return found.select(F.col("query_id").alias("case_id"), "rank", "content_key", "title_key", "author_key").persist()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import retrieval as r
 from ..operators import selection, vector_index
-from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, top, works
+from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, statuses, texts, top, works
 from .shared import LINES, QUESTIONS, WORKS, folded_content, folded_lookup
 
 
@@ -29,22 +29,22 @@ def asked(spark, d):
 
 def lexical_top5_lines(spark, d):
     """Each benchmark item's first sentence, and the five best lines of all works."""
-    found = r.lexical_search(lines_of(works(spark, d, deal=True)), asked(spark, d), 5)
+    found = r.lexical_search(lines_of(texts(spark, d)), asked(spark, d), 5)
     return found.select("query_id", "rank", "chunk_id", "work_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
 def lexical_scored(spark, d):
     """Lines and whole texts of the visible works."""
-    rows = works(spark, d, deal=True).where((F.col("status") == "published") & ~F.col("deleted"))
-    both = lines_of(rows).unionByName(texts_of(rows))
-    found = r.lexical_search(both, asked(spark, d), 8)
+    rows = texts(spark, d)
+    seen = statuses(spark, d).where((F.col("status") == "published") & ~F.col("deleted")).select(F.col("id").alias("work_id"))
+    found = r.lexical_search(lines_of(rows).unionByName(texts_of(rows)), asked(spark, d), 8, among=seen)
     return found.select("query_id", "rank", "chunk_id", "granularity", "score", F.concat_ws(",", "match_types").alias("match_types"))
 
 
 def lexical_by_name(spark, d):
     """Queries that name a source, a language or a part of one: priorities keep exact names before others."""
     queries = spark.createDataFrame([(1, "src1"), (2, "SRC12 "), (3, "en"), (4, "e"), (5, "%"), (6, "_")], "query_id long, question string")
-    found = r.lexical_search(texts_of(works(spark, d, deal=True)), r.query_keys(queries), 7)
+    found = r.lexical_search(texts_of(texts(spark, d)), r.query_keys(queries), 7)
     return found.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
@@ -102,7 +102,7 @@ def dense_stale_dropped(spark, d):
 def branches(spark, d):
     """Lexical and dense branches of the benchmark: an item's vector is that of its number; dense hits are whole texts."""
     vectors = load(spark, d, "embeddings")
-    lexical = r.lexical_search(texts_of(works(spark, d, deal=True)), asked(spark, d), 25).select("query_id", "rank", "chunk_id", "score", "match_types")
+    lexical = r.lexical_search(texts_of(texts(spark, d)), asked(spark, d), 25).select("query_id", "rank", "chunk_id", "score", "match_types")
     queries = questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
     dense = r.dense_search(vectors, queries, 25).select("query_id", "rank", (F.col("vec_id") * 1_000_000).alias("chunk_id"))
     return lexical, dense
@@ -134,7 +134,7 @@ def variants(spark, d):
 def variant_results(spark, d):
     """All variants run as one batch, under ids made of the query's and the variant's."""
     rows = variants(spark, d).withColumns({"origin": F.col("query_id"), "query_id": F.col("query_id") * 10 + F.col("ord")})
-    found = r.lexical_search(texts_of(works(spark, d, deal=True)), r.query_keys(rows.select("query_id", "question")), 10, fetch=("title", "text"))
+    found = r.lexical_search(texts_of(texts(spark, d)), r.query_keys(rows.select("query_id", "question")), 10, fetch=("title", "text"))
     return found.join(rows.select("query_id", "origin", "ord", "weight"), "query_id").select(F.col("origin").alias("query_id"), "ord", "rank", "chunk_id", "work_id", "title", "granularity", "text", "match_types", "weight")
 
 
@@ -151,7 +151,7 @@ def match_types_union(spark, d):
 def content_overlap_rank(spark, d):
     terms = F.array_distinct(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) >= 6))
     queries = questions(spark, d).select("query_id", terms.alias("terms")).where("size(terms) > 0")
-    rows = works(spark, d, deal=True).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
+    rows = texts(spark, d).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
     score = t.group_score(F.col("body"), F.col("head"), F.col("terms"), F.slice("terms", 1, 1))
     scored = rows.join(F.broadcast(queries)).withColumn("score", score).where("score > 0")
     return top(scored, 5, F.desc("score"), F.asc("work_id")).select("query_id", "rank", "work_id", "score")
@@ -194,7 +194,7 @@ def multi_evidence_selector(spark, d):
 
 def parent_context(spark, d):
     """Lines of the works that hits name; only these works are cut into lines again."""
-    found = r.lexical_search(lines_of(works(spark, d, deal=True)), asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
+    found = r.lexical_search(lines_of(texts(spark, d)), asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     return r.context_rows(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
 
@@ -203,7 +203,7 @@ def lexical_filtered(spark, d):
     """Questions that ask for one author, for one language, for both or for none."""
     n = F.col("query_id")
     queries = asked(spark, d).withColumns({"only_author": F.when(n % 2 == 0, F.concat(F.lit("src"), (n % 7).cast("string"))), "only_dynasty": F.when(n % 3 == 0, "en")})
-    found = r.lexical_search(texts_of(works(spark, d, deal=True)), queries, 5)
+    found = r.lexical_search(texts_of(texts(spark, d)), queries, 5)
     return found.select("query_id", "rank", "chunk_id", "score", "candidate_count")
 
 

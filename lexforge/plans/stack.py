@@ -12,7 +12,7 @@ from ..operators import catalog, selection
 from ..operators import retrieval as r
 from ..operators.evaluation import first_ranks
 from ..sources.ports import embedded, hashed_vectors
-from ..sources.tables import checkpointed, line_chunks, load, works
+from ..sources.tables import checkpointed, line_chunks, load, texts, works
 from ..streaming import chat
 from .evaluation import gold
 from .retrieval import CONTEXT, FUSED, HYBRID, TEXT_KEYS, asked, branches, dense_sql, lexical_sql, lines_of, texts_of
@@ -141,8 +141,8 @@ def gold_rank_by_branch(spark, d):
     """The first rank of each item's whole text in the lexical and in the dense branch."""
     lexical, dense = branches(spark, d)
     both = lexical.select("query_id", F.lit("lexical").alias("branch"), "rank", "chunk_id").unionByName(dense.select("query_id", F.lit("dense").alias("branch"), "rank", "chunk_id"))
-    texts = texts_of(works(spark, d, deal=True)).select(F.col("chunk_id").alias("c"), "content_key")
-    evidence = both.join(texts, F.col("chunk_id") == F.col("c")).select(F.col("query_id").alias("case_id"), "branch", "rank", "content_key")
+    bodies = texts_of(texts(spark, d)).select(F.col("chunk_id").alias("c"), "content_key")
+    evidence = both.join(bodies, F.col("chunk_id") == F.col("c")).select(F.col("query_id").alias("case_id"), "branch", "rank", "content_key")
     wanted = gold(spark, d).where("gold_id = 1").crossJoin(F.broadcast(spark.createDataFrame([("lexical",), ("dense",)], "want string")))
     found = first_ranks(wanted.withColumn("gold_id", F.col("want")), evidence, (F.col("branch") == F.col("want")) & F.contains("content_key", F.col("contains")))
     return found.select("case_id", F.col("gold_id").alias("branch"), "first_rank")
@@ -155,14 +155,14 @@ def strategy_counts(spark, d):
     variants = queries.select("query_id", F.lit(0).alias("ord"), "question", F.lit(3.0).alias("weight"), "embedding")
     out = None
     for s in STRATEGIES:
-        rows = search(texts_of(works(spark, d, deal=True)), queries, s, 4, vectors, variants).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+        rows = search(texts_of(texts(spark, d)), queries, s, 4, vectors, variants).groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def online_context(spark, d):
     """Lexical lines with the missing lines of their works."""
-    lines = lines_of(works(spark, d, deal=True))
+    lines = lines_of(texts(spark, d))
     found = r.lexical_search(lines, asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types").persist()
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     rows = with_context(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
@@ -181,7 +181,7 @@ def composed_questions(spark, d):
 
 
 def composed(spark, d, **dense):
-    rows = works(spark, d, deal=True)
+    rows = texts(spark, d)
     return expanded_search(texts_of(rows), composed_questions(spark, d), LEXICON, rows.select("author").distinct(), rows.select("dynasty").distinct(), 5, **dense)
 
 
@@ -192,7 +192,7 @@ def expanded_search_lexical(spark, d):
 
 def online_stack(spark, d):
     """The stack behind an answer: context over expanded over hybrid search, with vectors of works by number and a stand-in model."""
-    keys = texts_of(works(spark, d, deal=True)).select("chunk_id", "author_key", "dynasty_key")
+    keys = texts_of(texts(spark, d)).select("chunk_id", "author_key", "dynasty_key")
     vectors = load(spark, d, "embeddings").select((F.col("vec_id") * 1_000_000).alias("vec_id"), "embedding").join(keys, F.col("vec_id") == F.col("chunk_id")).drop("chunk_id")
     width = vectors.select(F.max(F.size("embedding"))).first()[0]
     found = composed(spark, d, vectors=vectors, embed=lambda rows: embedded(rows, "question", lambda texts: hashed_vectors(texts, width)), floor=0.0)

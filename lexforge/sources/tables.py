@@ -40,13 +40,24 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def works(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
-    """Documents as works: id, title (first line), content, author, dynasty, status and deleted (from labels); deal is for searches, which work long on each text."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as works without their status: id, title (first line), content, author and dynasty; dealt out for searches, which work long on each text."""
+    documents = dealt(load(spark, sf_dir, "documents"))
+    return documents.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("content"), F.col("source").alias("author"), F.col("lang").alias("dynasty"))
+
+
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status and deletion of works that have labels: id, status and deleted."""
+    status = F.when(F.col("quality") == 1, "published").otherwise("archived")
+    return load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"))
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as works: id, title (first line), content, author, dynasty, status and deleted (from labels)."""
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality", "toxic")
     status = F.when(F.col("label_id").isNull(), "draft").when(F.col("quality") == 1, "published").otherwise("archived")
-    documents = load(spark, sf_dir, "documents")
     return (
-        (dealt(documents) if deal else documents)
+        load(spark, sf_dir, "documents")
         .join(labels, F.col("doc_id") == F.col("label_id"), "left")
         .select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("content"), F.col("source").alias("author"), F.col("lang").alias("dynasty"), status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted"))
     )

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamped, content_form, content_overlap, lookup_form, normalize_lookup
-from ..sources.tables import top
+from ..sources.tables import checkpointed, top
 from .dense import dense_search
 from .literal import KEY_BYTES, matched
+from .postings import SHORTEST, PostingsIndex
 from .vector_index import VectorIndex
 
 #: Rank constant of the fusion, best score of two branches, order of granularities.
@@ -47,10 +48,22 @@ def query_keys(queries: DataFrame, column: str = "question") -> DataFrame:
     return keyed.where("q_content <> '' OR q_lookup <> ''")
 
 
-def lexical_pairs(rows: DataFrame, queries: DataFrame, most_bytes: int = KEY_BYTES) -> DataFrame:
-    """Pairs of rows and queries that match by content, title, author or dynasty, each once."""
-    pairs = matched(rows, queries, [("content_key", "q_content"), *((f"{n}_key", "q_lookup") for n in NAMES)], most_bytes)
-    return pairs.where(lexical_match()[0])
+def lexical_pairs(rows: DataFrame, queries: DataFrame, most_bytes: int = KEY_BYTES, index: PostingsIndex | None = None) -> DataFrame:
+    """Pairs of rows and queries that match by content, title, author or dynasty, each once.
+
+    With an index of the rows' content, texts are fetched only for those that may hold a long key; short keys are looked for in
+    all, and names in a pass that reads no content, so that rows found there have no content_key unless they
+    match by it.
+    """
+    names = [(f"{n}_key", "q_lookup") for n in NAMES]
+    if index is None:
+        return matched(rows, queries, [("content_key", "q_content"), *names], most_bytes).where(lexical_match()[0])
+    columns = [*rows.columns, *queries.columns]
+    long = F.length("q_content") >= SHORTEST
+    by_content = index.pairs(rows, queries.where(long)).select(*columns).unionByName(matched(rows, queries.where(~long), [("content_key", "q_content")], most_bytes))
+    by_content = checkpointed(by_content.where(lexical_match()[1]))
+    lighter = matched(rows.drop("content_key"), queries, names, most_bytes).join(by_content.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    return by_content.unionByName(lighter.withColumn("content_key", F.lit(None).cast("string")).select(*columns))
 
 
 def lexical_match() -> tuple[Column, Column, list[Column]]:
@@ -79,7 +92,7 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = (), among: DataFrame | None = None) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = (), among: DataFrame | None = None, index: PostingsIndex | None = None) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
@@ -89,6 +102,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     one pass over the rows for each slice of the queries (most_bytes of keys), however many these are. Scores are made there,
     so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id. among
     (work_id) names the works that may be found; it is joined with the matches before the cut, not with the texts.
+    index is one of the chunks' content keys; the result is the same without it.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
     priority, score, types = lexical_columns()
@@ -96,7 +110,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     own = ["own_k"] if "own_k" in queries.columns else []
     # Keys of the rows meet those of the queries; texts stay behind.
     keys = [c for c in rows.columns if c not in ("text", "title")]
-    pairs = lexical_pairs(rows.select(*keys), queries.select("query_id", "q_content", "q_lookup", *only, *own), most_bytes)
+    pairs = lexical_pairs(rows.select(*keys), queries.select("query_id", "q_content", "q_lookup", *only, *own), most_bytes, index)
     for c in only:
         pairs = pairs.where(F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"{c.removeprefix('only_')}_key")))
     light = [c for c in chunks.columns if c not in HEAVY]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
-from ..operators import selection, vector_index
+from ..operators import postings, selection, vector_index
 from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, statuses, texts, top, works
 from .shared import LINES, QUESTIONS, WORKS, folded_content, folded_lookup
 
@@ -33,6 +33,14 @@ def lexical_top5_lines(spark, d):
     return found.select("query_id", "rank", "chunk_id", "work_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
+def lexical_indexed(spark, d):
+    """The same by an index of the lines' content, which is written first and would serve many batches."""
+    rows = lines_of(texts(spark, d))
+    index = postings.build_postings(rows, fresh_folder(spark, "postings"))
+    found = r.lexical_search(rows, asked(spark, d), 5, index=index)
+    return found.select("query_id", "rank", "chunk_id", "work_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
+
+
 def lexical_scored(spark, d):
     """Lines and whole texts of the visible works."""
     rows = texts(spark, d)
@@ -217,7 +225,7 @@ def evidence_clip_budget(spark, d):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max_by("text", "rank").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, dense_index_topk, dense_index_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
+QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_indexed, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, dense_index_topk, dense_index_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
 
 
 def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "", only: str = "true") -> str:
@@ -290,6 +298,7 @@ ORACLES = {
     "parent_context": f"{CONTEXT} SELECT query_id, place, chunk_id, score FROM context",
     "lexical_filtered": f"WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 5, only=FILTERED)} SELECT query_id, rank, chunk_id, score, candidate_count FROM lex",
     "lexical_top5_lines": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
+    "lexical_indexed": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
     "lexical_scored": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {TEXT_KEYS}, vis AS (SELECT * FROM lc WHERE status = 'published' AND NOT deleted UNION ALL SELECT * FROM tc WHERE status = 'published' AND NOT deleted), {lexical_sql('vis', 8)} SELECT query_id, rank, chunk_id, granularity, score, match_types FROM lex",
     "lexical_by_name": f"WITH {WORKS}, questions(query_id, question) AS (VALUES (1::BIGINT, 'src1'), (2, 'SRC12 '), (3, 'en'), (4, 'e'), (5, '%'), (6, '_')), {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 7)} SELECT query_id, rank, chunk_id, score, match_types, candidate_count FROM lex",
     "dense_topk_cosine": f"SELECT query_id, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)), 6) AS score, rank FROM ({dense_sql(10)}) z",

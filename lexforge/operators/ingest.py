@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 BUCKETS = ("short", "medium", "long")
 
 
@@ -90,6 +92,62 @@ def applied(staged: DataFrame, current: DataFrame, key: str, compared: list[str]
     return both.select(F.coalesce(key, "__key").alias(key), *(F.when(change, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in compared), status.alias("status"), version.alias("version_no"), "result")
 
 
+#: Folders of a stored table that an import may rewrite one by one.
+PARTS = 256
+
+
+def part_of(key: str, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def rewritten(rows: DataFrame, path: str, *by: str) -> None:
+    """Write rows over those folders of a table partitioned by these columns that rows have; other folders keep their files."""
+    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def create_stored(rows: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
+    """Write a table that apply_stored can change: partitioned by part, made of the key's hash."""
+    rewritten(rows.withColumn("part", part_of(key, parts)), path, "part")
+
+
+def apply_stored(staged: DataFrame, path: str, key: str, compared: list[str], error: Column | None = None, parts: int = PARTS) -> DataFrame:
+    """Import staged into the stored table at path, as applied() merges it, and give each staged row's result.
+
+    Only parts that hold a created or updated row are read whole and rewritten; one that is settled keeps its files. The new
+    rows are written to the checkpoint folder before their part is overwritten, so that a failure while merging leaves
+    the table as it was; one while overwriting is mended by importing again, which changes nothing that is done.
+    """
+    spark = staged.sparkSession
+    staged = staged.withColumn("part", part_of(key, parts))
+    current = stored(spark, path)
+    results = checkpointed(classify(staged, current.drop("part"), key, compared, error))
+    touched = [r.part for r in results.where(F.col("result").isin("created", "updated")).select("part").distinct().collect()]
+    if touched:
+        here = F.col("part").isin(touched)
+        merged = applied(staged.where(here).drop("part"), current.where(here).drop("part"), key, compared, error).drop("result")
+        rewritten(checkpointed(merged.withColumn("part", part_of(key, parts))), path, "part")
+    return results.drop("part")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table, listed anew."""
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
+def rebuild_stored(made: DataFrame, path: str, version: str = "version_id") -> None:
+    """rebuilt() of a stored table partitioned by version: only the folders of made's versions are read and rewritten.
+
+    The versions named are rebuilt whole by made, which is written aside first, as it may be made of the table itself.
+    """
+    made = checkpointed(made)
+    versions = made.select(version).distinct()
+    held = stored(made.sparkSession, path).join(versions, version, "left_semi").where("vector_id IS NOT NULL").select(version).first()
+    if held:
+        raise ValueError(f"version {held[0]} has vectors; its chunks can't be rebuilt")
+    rewritten(made, path, version)
+
+
 def rebuilt(chunks: DataFrame, made: DataFrame, version: str = "version_id") -> DataFrame:
     """chunks with those of made's versions replaced by made; refused where any of these has a vector.
 

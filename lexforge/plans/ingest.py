@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import ingest, retrieval
-from ..sources.tables import line_chunks, load, works
+from ..sources.tables import fresh_folder, line_chunks, load, works
 from .shared import LINES, WORKS, content_key
 
 
@@ -70,6 +70,25 @@ def import_applied(spark, d):
     return again.select("id", F.sha2("content", 256).alias("content_hash"), "author", "status", "version_no", "result")
 
 
+def import_stored(spark, d):
+    """The same into a table that is stored, twice; what is in it then, and the second import's results."""
+    staged, current = staged_and_current(spark, d)
+    path, compared, error = fresh_folder(spark, "import"), ["title", "content", "author"], F.when(F.length("content") > 15000, "too long")
+    ingest.create_stored(current.withColumn("version_no", (F.col("id") % 3 + 1).cast("long")), path, "id", 16)
+    ingest.apply_stored(staged, path, "id", compared, error, 16)
+    again = ingest.apply_stored(staged, path, "id", compared, error, 16).select("id", "result")
+    return ingest.stored(spark, path).join(again, "id", "left").select("id", F.sha2("content", 256).alias("content_hash"), "author", "status", "version_no", "result")
+
+
+def chunks_rebuilt_stored(spark, d):
+    """Lines stored as chunks in sixteen folders, and some of these rebuilt, each line with a mark."""
+    path, group = fresh_folder(spark, "chunks"), F.col("id") % 16
+    lines = line_chunks(works(spark, d)).select(group.cast("int").alias("version_id"), "chunk_id", "text", F.lit(None).cast("string").alias("vector_id"))
+    ingest.rewritten(lines, path, "version_id")
+    ingest.rebuild_stored(ingest.stored(spark, path).where("version_id % 5 = 0").withColumn("text", F.concat(F.lit("* "), "text")), path)
+    return ingest.stored(spark, path).groupBy("version_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("text").startswith("* ")).alias("marked"), F.sum(F.length("text")).alias("letters"))
+
+
 def chunks_rebuilt(spark, d):
     """Lines as chunks, those of the shorter works rebuilt as one chunk each."""
     lines = line_chunks(works(spark, d)).select(F.col("id").alias("version_id"), "chunk_index", "text", F.lit(None).cast("string").alias("vector_id"))
@@ -129,7 +148,7 @@ def annotation_completeness(spark, d):
     return load(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), filled(F.col("text")).alias("with_text"), filled(F.when(F.length("text") > 100, F.col("text"))).alias("with_long_text"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_first_wins, stratified_quotas, stratified_sample, conversion_pipeline, candidate_reasons, import_classify, import_report, import_applied, chunks_rebuilt, unchanged_multiset_compare, current_version, lifecycle_transitions, get_or_create_dim, bulk_case_update, vector_upsert, visibility_current_version, annotation_completeness)}
+QUERIES = {f.__name__: f for f in (dedupe_first_wins, stratified_quotas, stratified_sample, conversion_pipeline, candidate_reasons, import_classify, import_report, import_applied, import_stored, chunks_rebuilt, chunks_rebuilt_stored, unchanged_multiset_compare, current_version, lifecycle_transitions, get_or_create_dim, bulk_case_update, vector_upsert, visibility_current_version, annotation_completeness)}
 
 BUCKETED = "bucketed AS (SELECT id, dynasty, title, content, CASE WHEN length(content) < 600 THEN 'short' WHEN length(content) <= 2000 THEN 'medium' ELSE 'long' END AS bucket FROM works)"
 
@@ -149,11 +168,15 @@ VERSE = r"""verse AS (SELECT * FROM (SELECT *, regexp_replace(content, '^\s+|\s+
 
 CLASSIFIED = f"WITH {WORKS}, cur AS (SELECT id, title, CASE WHEN deleted THEN upper(content) ELSE content END AS content, CASE WHEN author <> 'src3' THEN author END AS author, status FROM works WHERE status <> 'draft'), res AS (SELECT w.id, w.content, CASE WHEN c.id IS NULL THEN 'created' WHEN w.title IS NOT DISTINCT FROM c.title AND w.content IS NOT DISTINCT FROM c.content AND w.author IS NOT DISTINCT FROM c.author AND c.status = 'published' THEN 'unchanged' ELSE 'updated' END AS result FROM works w LEFT JOIN cur c ON c.id = w.id)"
 
-ORACLES = {
-    "import_applied": f"""{CLASSIFIED}, now AS (SELECT id, CASE WHEN length(content) > 15000 THEN 'failed' ELSE result END AS result FROM res)
+IMPORTED = f"""{CLASSIFIED}, now AS (SELECT id, CASE WHEN length(content) > 15000 THEN 'failed' ELSE result END AS result FROM res)
         SELECT w.id, sha256(CASE WHEN n.result IN ('created', 'updated') THEN w.content ELSE c.content END) AS content_hash, CASE WHEN n.result IN ('created', 'updated') THEN w.author ELSE c.author END AS author,
           CASE WHEN n.result IN ('created', 'updated') THEN 'published' ELSE c.status END AS status, CAST(CASE WHEN n.result = 'created' THEN 1 WHEN n.result = 'updated' THEN w.id % 3 + 2 ELSE w.id % 3 + 1 END AS BIGINT) AS version_no,
-          CASE WHEN n.result = 'failed' THEN 'failed' ELSE 'unchanged' END AS result FROM works w JOIN now n ON n.id = w.id LEFT JOIN cur c ON c.id = w.id WHERE NOT (n.result = 'failed' AND c.id IS NULL)""",
+          CASE WHEN n.result = 'failed' THEN 'failed' ELSE 'unchanged' END AS result FROM works w JOIN now n ON n.id = w.id LEFT JOIN cur c ON c.id = w.id WHERE NOT (n.result = 'failed' AND c.id IS NULL)"""
+
+ORACLES = {
+    "import_applied": IMPORTED,
+    "import_stored": IMPORTED,
+    "chunks_rebuilt_stored": f"WITH {WORKS}, {LINES}, c AS (SELECT CAST(work_id % 16 AS INT) AS version_id, CASE WHEN work_id % 16 % 5 = 0 THEN '* ' || text ELSE text END AS text FROM lines) SELECT version_id, count(*) AS chunks, count(*) FILTER (starts_with(text, '* ')) AS marked, CAST(sum(length(text)) AS BIGINT) AS letters FROM c GROUP BY 1",
     "chunks_rebuilt": f"WITH {WORKS}, {LINES}, short AS (SELECT id FROM works WHERE length(content) < 600), a AS (SELECT work_id AS version_id, text FROM lines WHERE work_id NOT IN (SELECT id FROM short) UNION ALL SELECT id, content FROM works WHERE length(content) < 600) SELECT version_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS letters FROM a GROUP BY 1",
     "dedupe_first_wins": f"WITH {WORKS} SELECT id, author FROM (SELECT id, author, row_number() OVER (PARTITION BY lower(trim(title)), {content_key('content')} ORDER BY id) AS n FROM works) x WHERE n = 1",
     "stratified_quotas": f"WITH {WORKS}, {BUCKETED}, {stratified_sql('bucketed', 150)} SELECT dynasty, size, quota FROM quota",

@@ -159,6 +159,42 @@ def test_ingest_results(spark):
     assert [list(r.l) for r in labels] == [["a", "b"], ["x"], []]
 
 
+def files_of(path):
+    found = {}
+    for f in path.rglob("*.parquet"):
+        found.setdefault(f.parent.name, set()).add(f.name)
+    return found
+
+
+def test_imports_rewrite_touched_parts_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, f"t{i}", "published", 1) for i in range(60)], "id long, title string, status string, version_no long")
+    ingest.create_stored(rows, path, "id", 8)
+    before = files_of(tmp_path / "t")
+    staged = rows.select("id", F.when(F.col("id") == 7, "new").otherwise(F.col("title")).alias("title"))
+    results = ingest.apply_stored(staged, path, "id", ["title"], parts=8)
+    assert {r.result: r.n for r in results.groupBy("result").count().withColumnRenamed("count", "n").collect()} == {"updated": 1, "unchanged": 59}
+    after = files_of(tmp_path / "t")
+    [changed] = [p for p in before if before[p] != after[p]]
+    assert ingest.stored(spark, path).where("id = 7").select("part", "title", "version_no").collect() == [(int(changed.split("=")[1]), "new", 2)]
+    assert ingest.stored(spark, path).count() == 60
+    again = ingest.apply_stored(staged, path, "id", ["title"], parts=8)
+    assert {r.result for r in again.collect()} == {"unchanged"} and files_of(tmp_path / "t") == after
+
+
+def test_rebuilding_rewrites_the_named_versions_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([(v, i, f"{v}-{i}", "x" if v == 3 else None) for v in range(1, 4) for i in range(4)], "version_id int, chunk_id long, text string, vector_id string")
+    ingest.rewritten(rows, path, "version_id")
+    before = files_of(tmp_path / "c")
+    ingest.rebuild_stored(ingest.stored(spark, path).where("version_id = 2 AND chunk_id < 2").withColumn("text", F.upper("text")), path)
+    after = files_of(tmp_path / "c")
+    assert [v for v in before if before[v] != after[v]] == ["version_id=2"]
+    assert {r.version_id: r["count"] for r in ingest.stored(spark, path).groupBy("version_id").count().collect()} == {1: 4, 2: 2, 3: 4}
+    with pytest.raises(ValueError, match="version 3"):
+        ingest.rebuild_stored(rows.where("version_id = 3"), path)
+
+
 def test_catalogue(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (8, 9), (9, 8)], "id long, parent_id long")
     chains = spark.range(1_100_000).select("id", F.when(F.col("id") % 11 > 0, F.col("id") - 1).alias("parent_id"))

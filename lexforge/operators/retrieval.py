@@ -92,12 +92,13 @@ def lexical_columns() -> tuple[Column, Column, Column]:
     return priority.otherwise(99), score, types
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = (), among: DataFrame | None = None, index: PostingsIndex | None = None) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities: list[str] | None = None, strategies: list[str] | None = None, most_bytes: int = KEY_BYTES, fetch: tuple[str, ...] = (), among: DataFrame | None = None, index: PostingsIndex | None = None) -> DataFrame:
     """The k best chunks of each query: a cut of candidates by priority, then scores.
 
     chunks: chunk_id, work_id, granularity, text, content_key, title_key, author_key, dynasty_key. queries:
     query_id, q_content, q_lookup and, where wanted, only_author and only_dynasty: lookup keys that a chunk's
-    have to equal, null for no filter. Adds rank, score, match_types and candidate_count (scored candidates
+    have to equal, null for no filter. granularities and strategies (of a column
+    chunk_strategy) admit the chunks of these, an empty list all. Adds rank, score, match_types and candidate_count (scored candidates
     after the cut). A column own_k of the queries gives each its own k, of at most k. Rows and queries meet in
     one pass over the rows for each slice of the queries (most_bytes of keys), however many these are. Scores are made there,
     so that texts and keys don't travel; those named in fetch are joined to the hits by chunk_id. among
@@ -105,6 +106,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, granularities:
     index is one of the chunks' content keys; the result is the same without it.
     """
     rows = chunks.where(F.col("granularity").isin(granularities)) if granularities else chunks
+    rows = rows.where(F.col("chunk_strategy").isin(strategies)) if strategies else rows
     priority, score, types = lexical_columns()
     only = [c for c in ("only_author", "only_dynasty") if c in queries.columns]
     own = ["own_k"] if "own_k" in queries.columns else []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
-from ..operators import postings, selection, vector_index
+from ..operators import candidates, postings, selection, vector_index
 from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, statuses, texts, top, works
 from .shared import LINES, QUESTIONS, WORKS, folded_content, folded_lookup
 
@@ -56,6 +56,28 @@ def lexical_by_name(spark, d):
     return found.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"), "candidate_count")
 
 
+def stored_chunks(spark, d):
+    """Lines as stored chunks with all their columns: of two strategies, every third with an annotation, some without a vector."""
+    rows, n = line_chunks(texts(spark, d)), F.col("chunk_index")
+    made = rows.select("*", F.col("id").alias("work_id"), (F.col("id") * 10 + 1).alias("version_id"), F.when(n % 3 == 0, F.col("id") % 50).alias("annotation_id"), F.when(n % 4 > 0, F.sha1(F.col("chunk_id").cast("string"))).alias("vector_id"))
+    return made.withColumns({"granularity": F.lit("line"), "normalized_text": t.content_form(F.col("text")), "line_start": F.col("line_no"), "line_end": F.col("line_no"), "chunk_strategy": F.concat(F.lit("v"), (n % 2 + 1).cast("string")), "chunk_status": F.lit("ready")})
+
+
+def candidates_detailed(spark, d):
+    """The best lines of one chunking strategy with all twenty columns; authors, dynasties and annotations are looked up for the hits."""
+    rows = stored_chunks(spark, d)
+    keys = rows.select("chunk_id", "work_id", "granularity", "chunk_strategy", F.col("normalized_text").alias("content_key"), *(t.lookup_form(F.col(c)).alias(f"{c}_key") for c in ("title", "author", "dynasty")))
+    hits = r.lexical_search(keys, asked(spark, d), 3, strategies=["v1"]).select("query_id", "rank", "score", "chunk_id")
+    number = F.regexp_extract("author", r"\d+", 0).cast("long")
+    works_of = texts(spark, d).select(F.col("id").alias("work_id"), "title", number.alias("author_id"), F.ascii(F.substring("dynasty", 2, 1)).cast("long").alias("dynasty_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int")).alias("published_at"))
+    names = load(spark, d, "documents").select(F.col("source").alias("author"), F.col("lang").alias("dynasty"))
+    authors = names.select(number.alias("author_id"), F.col("author").alias("author_name")).distinct().where("author_id % 4 > 0")
+    dynasties = names.select(F.ascii(F.substring("dynasty", 2, 1)).cast("long").alias("dynasty_id"), F.col("dynasty").alias("dynasty_name")).distinct()
+    notes = load(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("annotation_id"), F.col("role").alias("annotation_type"))
+    versions = texts(spark, d).where("id % 11 > 0").select((F.col("id") * 10 + 1).alias("version_id"))
+    return candidates.detailed(hits, rows.select("chunk_id", "vector_id", "work_id", "version_id", "annotation_id", "granularity", "chunk_index", "text", "normalized_text", "line_start", "line_end", "chunk_strategy", "chunk_status"), works_of, versions, authors, dynasties, notes)
+
+
 def query_vectors(spark, d):
     return load(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
@@ -225,7 +247,7 @@ def evidence_clip_budget(spark, d):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max_by("text", "rank").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_indexed, lexical_scored, lexical_by_name, lexical_filtered, dense_topk_cosine, dense_topk_filtered, dense_index_topk, dense_index_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
+QUERIES = {f.__name__: f for f in (lexical_top5_lines, lexical_indexed, lexical_scored, lexical_by_name, lexical_filtered, candidates_detailed, dense_topk_cosine, dense_topk_filtered, dense_index_topk, dense_index_filtered, vector_distance_dot, vector_distance_euclid, dense_floor_by_granularity, dense_stale_dropped, hybrid_rrf, hybrid_guarded, expanded_weighted_rrf, match_types_union, content_overlap_rank, diversified_top_k, theme_primary_insert, title_selector, multi_evidence_selector, parent_context, context_prefix_budget, evidence_clip_budget)}
 
 
 def lexical_sql(chunks: str, k: int, queries: str = "keys", name: str = "", only: str = "true") -> str:
@@ -299,6 +321,13 @@ ORACLES = {
     "lexical_filtered": f"WITH {WORKS}, {QUESTIONS}, {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 5, only=FILTERED)} SELECT query_id, rank, chunk_id, score, candidate_count FROM lex",
     "lexical_top5_lines": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
     "lexical_indexed": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {lexical_sql('lc', 5)} SELECT query_id, rank, chunk_id, work_id, score, match_types, candidate_count FROM lex",
+    "candidates_detailed": f"""WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, v1 AS (SELECT lc.* FROM lc JOIN lines USING (chunk_id) WHERE chunk_index % 2 = 0), {lexical_sql('v1', 3)},
+      au AS (SELECT DISTINCT CAST(regexp_extract(source, '\\d+') AS BIGINT) AS author_id, source AS author_name FROM documents), dy AS (SELECT DISTINCT CAST(ascii(substr(lang, 2, 1)) AS BIGINT) AS dynasty_id, lang AS dynasty_name FROM documents)
+      SELECT query_id, rank, score, x.chunk_id, CASE WHEN chunk_index % 4 > 0 THEN sha1(CAST(x.chunk_id AS VARCHAR)) END AS vector_id, w.work_id, w.work_id * 10 + 1 AS version_id, CASE WHEN chunk_index % 3 = 0 THEN w.work_id % 50 END AS annotation_id, c.role AS annotation_type,
+        x.granularity, chunk_index, text, ck AS normalized_text, line_no AS line_start, line_no AS line_end, 'v1' AS chunk_strategy, 'ready' AS chunk_status, title, CAST(regexp_extract(author, '\\d+') AS BIGINT) AS author_id, author_name, CAST(ascii(substr(dynasty, 2, 1)) AS BIGINT) AS dynasty_id, dynasty_name,
+        CAST(DATE '2024-01-01' + CAST(w.work_id % 365 AS INTEGER) AS DATE) AS published_at
+      FROM lex x JOIN lines w ON w.chunk_id = x.chunk_id LEFT JOIN (SELECT conv_id, role FROM conversations WHERE turn = 0) c ON chunk_index % 3 = 0 AND c.conv_id = w.work_id % 50
+      LEFT JOIN au ON au.author_name = author AND author_id % 4 > 0 LEFT JOIN dy ON dy.dynasty_name = dynasty WHERE w.work_id % 11 > 0""",
     "lexical_scored": f"WITH {WORKS}, {LINES}, {QUESTIONS}, {KEYS}, {LINE_KEYS}, {TEXT_KEYS}, vis AS (SELECT * FROM lc WHERE status = 'published' AND NOT deleted UNION ALL SELECT * FROM tc WHERE status = 'published' AND NOT deleted), {lexical_sql('vis', 8)} SELECT query_id, rank, chunk_id, granularity, score, match_types FROM lex",
     "lexical_by_name": f"WITH {WORKS}, questions(query_id, question) AS (VALUES (1::BIGINT, 'src1'), (2, 'SRC12 '), (3, 'en'), (4, 'e'), (5, '%'), (6, '_')), {KEYS}, {TEXT_KEYS}, {lexical_sql('tc', 7)} SELECT query_id, rank, chunk_id, score, match_types, candidate_count FROM lex",
     "dense_topk_cosine": f"SELECT query_id, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)), 6) AS score, rank FROM ({dense_sql(10)}) z",

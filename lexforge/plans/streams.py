@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import ports
 from ..sources.tables import load, shared_folder
 from ..streaming import chat, index_runs
 
@@ -85,6 +86,36 @@ def sse_stream(spark, d):
     return until_read(read, folder)
 
 
+def chat_reply_states(spark, d):
+    """Replies of a model as lines, parsed to events, and their final states; some are no JSON, some have no text."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    delta = F.concat(F.lit('data: {"choices": [{"delta": {"content": '), F.to_json(F.array("event_type")), F.lit("}}]}"))
+    text = F.regexp_replace(delta, r"\[(\"[a-z_]+\")\]\}\}", "$1}}")
+    line = F.when(kind == "purchase", "data: [DONE]").when(kind == "error", "data: {no json").when(n % 7 == 0, 'data: {"choices": [{"delta": {}}]}').when(n % 5 == 0, ": wait").otherwise(text)
+    lines = load(spark, d, "events").select(F.col("user_id").cast("long").alias("stream_id"), n.alias("seq"), line.alias("line"))
+    return chat.non_empty(chat.final_states(chat.data_lines(lines))).select("stream_id", "status", "error_code", "n_deltas", "content_length", "end_seq")
+
+
+def stand_in(messages):
+    """A stand-in for a model: what it is asked decides whether it cites well, badly, or nothing, says nothing or fails."""
+    question = messages[-1]["content"].rpartition("Question: ")[2]
+    kind = len(question) % 5
+    if kind == 4:
+        raise ports.ProviderError("busy")
+    return ("Stated [1].", "Stated [1, 9].", "Not cited.", " ")[kind]
+
+
+def rag_graph(spark, d):
+    """Conversations' turns as questions with their earlier turns as evidence, routed, answered by a stand-in, and checked."""
+    c = load(spark, d, "conversations").where("text IS NOT NULL")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    reply = F.when(F.col("turn") % 3 == 0, '{"answerable": true, "reason_code": "supported"}').when(F.col("turn") % 3 == 1, '{"answerable": false, "reason_code": "missing_fact"}')
+    questions = c.where("role = 'user'").select(key.alias("query_id"), F.col("text").alias("question"), reply.alias("reply"))
+    earlier = c.select("conv_id", F.col("turn").alias("t"), F.col("text").alias("e"))
+    evidence = c.where("role = 'user'").join(earlier, "conv_id").where("t < turn AND t >= turn - 2").select(key.alias("query_id"), F.col("t").alias("rank"), F.col("e").alias("text"))
+    return chat.answered(questions, evidence, lambda rows: ports.generated(rows, "messages", stand_in), "Answer from the evidence.", "I can't say.")
+
+
 def events_windows(spark, d):
     """Beyond the model of the corpus: tumbling windows of a day with counts and sums by type."""
     rows = load(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
@@ -97,12 +128,21 @@ def events_sessions(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (chat_history_last_n, stream_final_state, ttft_by_stream, assess_route, answer_validation, prompt_messages, index_run_states, events_state_stream, sse_stream, events_windows, events_sessions)}
+QUERIES = {f.__name__: f for f in (chat_history_last_n, stream_final_state, ttft_by_stream, assess_route, answer_validation, prompt_messages, index_run_states, events_state_stream, sse_stream, chat_reply_states, rag_graph, events_windows, events_sessions)}
 
 EVENTS = "ev AS (SELECT user_id AS stream_id, event_id AS seq, ts, value, CASE event_type WHEN 'click' THEN 'delta' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'timing' END AS kind FROM events)"
 HISTORY = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''"
 
 ORACLES = {
+    "chat_reply_states": """WITH p AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'error' WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN NULL ELSE 'delta' END AS kind, event_type AS payload FROM events),
+      t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM p WHERE kind IN ('done', 'error') GROUP BY 1),
+      s AS (SELECT p.stream_id, any_value(k) AS k, count(*) FILTER (kind = 'delta') AS n_deltas, CAST(coalesce(sum(length(payload)) FILTER (kind = 'delta'), 0) AS BIGINT) AS content_length, any_value(end_seq) AS end_seq FROM p LEFT JOIN t USING (stream_id) WHERE kind IS NOT NULL AND (end_seq IS NULL OR seq <= end_seq) GROUP BY 1)
+      SELECT stream_id, CASE WHEN k = 'done' AND content_length > 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN k = 'done' AND content_length = 0 THEN 'empty_response' END AS error_code, n_deltas, content_length, end_seq FROM s""",
+    "rag_graph": """WITH q AS (SELECT conv_id * 1000 + turn AS query_id, text AS question, turn, (SELECT count(*) FROM conversations e WHERE e.conv_id = c.conv_id AND e.text IS NOT NULL AND e.turn < c.turn AND e.turn >= c.turn - 2) AS n FROM conversations c WHERE role = 'user' AND text IS NOT NULL),
+      r AS (SELECT *, CASE WHEN n = 0 THEN 'skipped' WHEN turn % 3 = 0 THEN 'passed' WHEN turn % 3 = 1 THEN 'refused' ELSE 'failed_open' END AS status, CASE WHEN n = 0 THEN 'no_evidence' WHEN turn % 3 = 0 THEN 'supported' WHEN turn % 3 = 1 THEN 'missing_fact' ELSE 'assessment_error' END AS reason_code FROM q),
+      g AS (SELECT *, CASE WHEN status IN ('skipped', 'refused') THEN 'refuse' ELSE 'generate' END AS route, length(question) % 5 AS kind FROM r)
+      SELECT query_id, route, status, reason_code, CASE WHEN route = 'refuse' THEN 'I can''t say.' WHEN kind = 0 THEN 'Stated [1].' WHEN kind = 1 THEN 'Stated [1, 9].' WHEN kind = 2 THEN 'Not cited.' END AS answer,
+        CASE WHEN route = 'refuse' THEN NULL WHEN kind = 1 THEN 'citation_invalid' WHEN kind = 2 THEN 'citation_missing' WHEN kind = 3 THEN 'empty_response' WHEN kind = 4 THEN 'busy' END AS error FROM g""",
     "events_state_stream": f"""WITH {EVENTS}, p AS (SELECT ev.*, props AS payload FROM ev JOIN events ON event_id = seq), t AS (SELECT stream_id, min(seq) AS end_seq, arg_min(kind, seq) AS k FROM p WHERE kind IN ('done', 'error', 'cancelled') GROUP BY 1)
       SELECT t.stream_id, CASE k WHEN 'done' THEN 'completed' WHEN 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status, count(p.seq) FILTER (p.kind = 'delta') AS n_deltas, CAST(coalesce(sum(length(p.payload)) FILTER (p.kind = 'delta'), 0) AS BIGINT) AS content_length, end_seq AS last_seq
       FROM t LEFT JOIN p ON p.stream_id = t.stream_id AND p.seq < t.end_seq GROUP BY ALL""",

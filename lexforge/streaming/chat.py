@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import citation_ranks
+from ..sources.tables import checkpointed
+
 TERMINAL = ("done", "error", "cancelled")
 STATUS = {"done": "completed", "cancelled": "cancelled"}
 FINAL = "stream_id long, status string, n_deltas long, content_length long, last_seq long"
@@ -87,6 +90,47 @@ def validated(answers: DataFrame) -> DataFrame:
     return answers.withColumn("error", error)
 
 
+def answered(questions: DataFrame, evidence: DataFrame, generate: Callable[[DataFrame], DataFrame], system: str, refusal: str) -> DataFrame:
+    """The whole way of a batch of questions from evidence to an answer: (query_id, route, status, reason_code, answer, error).
+
+    questions: query_id, question, reply (of the model that assesses the evidence; null counts as no assessment);
+    evidence: query_id, rank, text. One pass routes the questions; those refused get the refusal and reach no model, the others
+    go to generate, which adds answer and error_code to rows with messages. Answers are then checked: a failed call keeps its error, an empty
+    answer, a citation out of range, and none though there is evidence, are errors of their case alone.
+    """
+    held = evidence.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda e: e["text"]).alias("evidence"))
+    asked = questions.join(held, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    route = routed(asked.withColumn("n_evidence", F.size("evidence")))
+    rows = checkpointed(asked.select("query_id", "question", "evidence").join(route, "query_id"))
+    made = generate(rows.where("route = 'generate'").withColumn("messages", prompt(system, F.lit(None), F.col("evidence"), F.col("question"))))
+    refused = rows.where("route = 'refuse'").withColumns({"answer": F.lit(refusal), "error_code": F.lit(None).cast("string")})
+    columns = ["query_id", "route", "status", "reason_code", "evidence", "answer", "error_code"]
+    both = made.select(*columns).unionByName(refused.select(*columns))
+    checked = validated(both.withColumns({"ranks": citation_ranks(F.coalesce("answer", F.lit(""))), "n_evidence": F.size("evidence"), "refused": F.col("route") == "refuse"}))
+    return checked.select("query_id", "route", "status", "reason_code", "answer", F.coalesce("error_code", "error").alias("error"))
+
+
+def data_lines(lines: DataFrame) -> DataFrame:
+    """Events (stream_id, seq, kind, payload) of a model's streamed reply, given by its lines (stream_id, seq, line), as a table or a stream.
+
+    A line "data: ..." with a delta of text is a delta, "data: [DONE]" is done, one that is no JSON object is an error; other lines, and
+    deltas without text, give nothing. final_states and final_state_stream end a stream at its first done or error.
+    """
+    data = F.trim(F.substring(F.col("line"), 6, 1 << 30))
+    value = F.try_parse_json(data)
+    bad = F.coalesce(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(True))
+    text = F.try_variant_get(value, "$.choices[0].delta.content", "string")
+    kind = F.when(data == "[DONE]", "done").when(bad, "error").when(F.length(text) > 0, "delta")
+    rows = lines.where(F.col("line").startswith("data:") & (data != "")).select("stream_id", "seq", kind.alias("kind"), F.when(kind == "delta", text).alias("payload"))
+    return rows.where("kind IS NOT NULL")
+
+
+def non_empty(states: DataFrame) -> DataFrame:
+    """Final states in which a completed stream without any text has failed: an empty answer is an error."""
+    empty = (F.col("status") == "completed") & (F.col("content_length") == 0)
+    return states.withColumns({"status": F.when(empty, "failed").otherwise(F.col("status")), "error_code": F.when(empty, "empty_response")})
+
+
 def prompt(system: str, history: Column, evidence: Column, question: Column) -> Column:
     """Messages (role, content) of a question: system, history, and the question under its evidence."""
     ask = F.concat(F.lit("Evidence:\n"), F.array_join(F.transform(evidence, lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e)), "\n\n"), F.lit("\n\nQuestion: "), question)

@@ -346,6 +346,27 @@ def test_stack(spark):
     assert [(r.chunk_id, list(r.match_types)) for r in rows] == [(2, ["chunk_exact"]), (1, ["parent_context"])]
 
 
+def test_strategies_and_works_that_may_be_found(spark):
+    table = chunks(spark).withColumn("chunk_strategy", F.when(F.col("chunk_id") % 2 == 0, "a").otherwise("b"))
+    queries = retrieval.query_keys(spark.createDataFrame([(1, "李白")], "query_id long, question string"))
+    ids = lambda **kw: [r.chunk_id for r in retrieval.lexical_search(table, queries, 5, **kw).orderBy("rank").collect()]
+    assert ids() == ids(strategies=[]) == [2, 3, 1] and ids(strategies=["b"]) == [3, 1] and ids(granularities=["line"], strategies=["a"]) == [2]
+    assert ids(among=spark.createDataFrame([(11,)], "work_id long")) == [3]
+
+
+def test_candidate_columns(spark):
+    from lexforge.operators.candidates import CANDIDATE, detailed
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    stored = frame([(i, f"v{i}", 10 + i, 20 + i, 5 if i == 1 else None, "line", 0, "t", "t", 1, 2, "s", "ready") for i in (1, 2, 3)], "chunk_id long, vector_id string, work_id long, version_id long, annotation_id long, granularity string, chunk_index int, text string, normalized_text string, line_start int, line_end int, chunk_strategy string, chunk_status string")
+    works_of = frame([(11, "T", 1, 7, "d"), (12, "U", None, None, None), (13, "V", 1, 7, "d")], "work_id long, title string, author_id long, dynasty_id long, published_at string")
+    sides = frame([(21,), (22,)], "version_id long"), frame([(1, "A")], "author_id long, author_name string"), frame([(8, "D")], "dynasty_id long, dynasty_name string"), frame([(5, "note")], "annotation_id long, annotation_type string")
+    hits = frame([(9, 1, 1, "x"), (9, 2, 2, "x"), (9, 3, 3, "x")], "query_id long, rank long, chunk_id long, text string")
+    rows = detailed(hits, stored, works_of, *sides).orderBy("rank").collect()
+    assert rows[0].__fields__ == ["query_id", "rank", *CANDIDATE] and len(CANDIDATE) == 20
+    assert [(r.chunk_id, r.author_name, r.dynasty_id, r.dynasty_name, r.annotation_type) for r in rows] == [(1, "A", 7, None, "note"), (2, None, None, None, None)]
+
+
 def test_expanded_search(spark):
     from lexforge.plans import stack
     from lexforge.plans.rewrite import Lexicon

@@ -75,3 +75,32 @@ def test_settings_are_put_back(spark):
     with chat.stateful(spark, until_read=True):
         assert spark.conf.get(key) == "false"
     assert spark.conf.get(key) == before
+
+
+def test_reply_lines(spark):
+    rows = [(1, 1, 'data: {"choices": [{"delta": {"content": "ab"}}]}'), (1, 2, ": wait"), (1, 3, "data:"), (1, 4, 'data: {"choices": []}'), (1, 5, 'data:{"choices": [{"delta": {"content": "c"}}]}'), (1, 6, "data: [DONE]"), (1, 7, "data: late"), (2, 1, "data: [DONE]"), (3, 1, "data: [1]"), (4, 1, 'data: {"choices": [{"delta": {"content": null}}]}'), (5, 1, "event: x")]
+    events = chat.data_lines(spark.createDataFrame(rows, "stream_id long, seq long, line string"))
+    assert sorted((r.stream_id, r.seq, r.kind, r.payload) for r in events.collect()) == [(1, 1, "delta", "ab"), (1, 5, "delta", "c"), (1, 6, "done", None), (1, 7, "error", None), (2, 1, "done", None), (3, 1, "error", None)]
+    states = {r.stream_id: (r.status, r.error_code, r.n_deltas, r.content_length) for r in chat.non_empty(chat.final_states(events)).collect()}
+    assert states == {1: ("completed", None, 2, 3), 2: ("failed", "empty_response", 0, 0), 3: ("failed", None, 0, 0)}
+
+
+def test_refused_questions_reach_no_model(spark, tmp_path):
+    from lexforge.sources import ports
+
+    seen = str(tmp_path / "seen")
+
+    def model(messages):
+        with open(seen, "a") as out:
+            out.write(messages[-1]["content"].rpartition("Question: ")[2] + "\n")
+        return "So it is [1]."
+
+    yes, no = '{"answerable": true, "reason_code": "supported"}', '{"answerable": false, "reason_code": "missing_fact"}'
+    questions = spark.createDataFrame([(1, "first", yes), (2, "second", no), (3, "third", None), (4, "none", yes)], "query_id long, question string, reply string")
+    evidence = spark.createDataFrame([(q, 1, "e") for q in (1, 2, 3)], "query_id long, rank long, text string")
+    found = chat.answered(questions, evidence, lambda df: ports.generated(df, "messages", model), "s", "No.")
+    rows = {r.query_id: (r.route, r.status, r.answer, r.error) for r in found.collect()}
+    assert rows == {1: ("generate", "passed", "So it is [1].", None), 2: ("refuse", "refused", "No.", None), 3: ("generate", "failed_open", "So it is [1].", None), 4: ("refuse", "skipped", "No.", None)}
+    assert sorted(open(seen).read().split()) == ["first", "third"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1

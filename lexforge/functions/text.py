@@ -14,6 +14,8 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 STRONG, WEAK = "。！？!?；;", "，,、"
 #: Patterns of quoted literals, in order.
 LITERALS = (r"《([^《》]{1,100})》", r"“([^“”]{1,100})”", r"‘([^‘’]{1,100})’", r'"([^"]{1,100})"')
+#: Fixed value: the pattern of citation markers.
+CITATION = r"\[(\d+(?:\s*[,，]\s*\d+)*)\]"
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -85,7 +87,7 @@ def mapped(value: Column, names: dict[str, str]) -> Column:
 
 def citation_ranks(answer: Column) -> Column:
     """Ranks in [1] or [1, 2] markers, each once, in order of appearance."""
-    marks = F.regexp_extract_all(answer, F.lit(r"\[\s*(\d+(?:\s*[,，]\s*\d+)*)\s*\]"), F.lit(1))
+    marks = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.transform(F.split(m, r"[,，]"), lambda x: F.trim(x).cast("int")))))
 
 

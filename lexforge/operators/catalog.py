@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,10 @@ def nested(parents: DataFrame, children: DataFrame, key: str, columns: list[str]
 
 
 def ancestors(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """(id, ancestor_id, hops, cycle) for every node's walk up the parents, of at most most hops; a walk that meets its start is a cycle and stops.
+    """(id, ancestor_id, hops, cycle) for every node's walk up the parents, of at most most hops, each ancestor once, where it is met first.
 
-    Walks double: those of n hops go on with all walks of up to n hops from where they end.
+    A walk that comes back to its start is a cycle; one that leads into a cycle elsewhere ends there. Walks double:
+    those of n hops go on with all walks of up to n hops from where they end.
     """
     walks = nodes.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("hops"))
     n = 1
@@ -49,9 +50,8 @@ def ancestors(nodes: DataFrame, most: int = 32) -> DataFrame:
         ends = walks.where(F.col("hops") == n).select("id", F.col("ancestor_id").alias("middle"))
         more = ends.join(walks.select(F.col("id").alias("middle"), "ancestor_id", (F.col("hops") + n).alias("hops")), "middle")
         walks, n = walks.unionByName(more.drop("middle")), 2 * n
-    back = F.min(F.when(F.col("ancestor_id") == F.col("id"), F.col("hops"))).over(Window.partitionBy("id"))
-    kept = walks.where(F.col("hops") <= most).withColumn("__back", back).where(F.col("__back").isNull() | (F.col("hops") <= F.col("__back")))
-    return kept.select("id", "ancestor_id", "hops", (F.col("ancestor_id") == F.col("id")).alias("cycle"))
+    first = walks.where(F.col("hops") <= most).groupBy("id", "ancestor_id").agg(F.min("hops").alias("hops"))
+    return first.withColumn("cycle", F.col("ancestor_id") == F.col("id"))
 
 
 def resolve_names(terms: DataFrame, dimension: DataFrame, term: str, name: str, target: str) -> DataFrame:

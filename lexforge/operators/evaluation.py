@@ -156,6 +156,17 @@ def calibration_summary(cases: DataFrame, eligible: DataFrame) -> DataFrame:
     return rates.crossJoin(F.broadcast(eligible.agg(F.count("*").alias("eligible_cases")))).withColumn("coverage_rate", ratio(F.col("reviewed_cases"), F.col("eligible_cases")))
 
 
+def selected_for_calibration(judged: DataFrame, flagged: Column, scope: str) -> DataFrame:
+    """The judged cases that a calibration reviews: all, or those flagged by the judge; an empty selection is an error."""
+    if scope not in ("all", "failures"):
+        raise ValueError(f"unknown scope: {scope}")
+    rows = judged.where(F.col("judge_status") == "judged")
+    rows = rows if scope == "all" else rows.where(flagged)
+    if rows.isEmpty():
+        raise ValueError(f"no judged case to calibrate on (scope {scope})")
+    return rows
+
+
 def unknown(reviews: DataFrame, judged: DataFrame) -> DataFrame:
     """Reviews of cases that were not judged."""
     return reviews.join(judged, "case_id", "left_anti")

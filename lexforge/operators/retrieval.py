@@ -132,6 +132,27 @@ def dense_hits(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int, fac
     return vectors.search(queries, k, exact=True, facets=facets) if isinstance(vectors, VectorIndex) else dense_search(vectors, queries, k, facets=facets)
 
 
+def overlap_ranked(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k works of the greatest group_score for each query: (query_id, work_id, score, rank).
+
+    rows: work_id, body, head; queries: query_id, terms and anchors (arrays; a term that repeats counts again). The different
+    terms meet the texts in one pass, and only (work, term) pairs go on, so that neither texts nor pairs of all with all travel.
+    """
+    asked = queries.select("query_id", F.explode("terms").alias("term"), F.lit(1).alias("base"), F.lit(0).alias("anchor"))
+    asked = asked.unionByName(queries.select("query_id", F.explode("anchors").alias("term"), F.lit(0).alias("base"), F.lit(1).alias("anchor"))).where("term <> ''")
+    asked = asked.groupBy("query_id", "term").agg(F.sum("base").alias("base"), F.sum("anchor").alias("anchor"))
+    terms = asked.select("term").distinct().withColumn("query_id", F.xxhash64("term"))
+    met = matched(rows, terms, [("body", "term"), ("head", "term")])
+    held = met.select("work_id", "term", F.contains("body", F.col("term")).cast("int").alias("in_body"), F.coalesce(F.contains("head", F.col("term")), F.lit(False)).cast("int").alias("in_head"))
+    held = held.withColumn("in_body", F.coalesce("in_body", F.lit(0)))
+    square = (F.length("term") * F.length("term")).cast("long")
+    base = F.sum(square * F.col("base") * (F.col("in_body") + F.col("in_head")))
+    anchor = F.sum(square * F.col("anchor") * (2 * F.col("in_body") + 3 * F.col("in_head")))
+    sums = held.join(asked, "term").groupBy("query_id", "work_id").agg(base.alias("base"), anchor.alias("anchor"))
+    score = F.col("base") * F.when(F.col("anchor") > 0, 2).otherwise(1) + F.col("anchor")
+    return top(sums.select("query_id", "work_id", score.alias("score")).where("score > 0"), k, F.desc("score"), F.asc("work_id"))
+
+
 def above_floor(hits: DataFrame, floor: float, tolerance: float = 0.02) -> DataFrame:
     """Hits with a clamped score not under the floor of their granularity: a little lower for texts and lines than for notes."""
     low = F.when(F.col("granularity").isin("poem", "line"), max(0.0, floor - tolerance)).otherwise(floor)

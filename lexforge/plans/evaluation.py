@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import evaluation as e
 from ..operators import retrieval as r
-from ..sources.tables import load, texts
+from ..sources.tables import checkpointed, load, texts
 from .retrieval import KEYS, TEXT_KEYS, asked, lexical_sql, texts_of
 from .shared import QUESTIONS, WORKS, content_key, folded_content
 
 
 def evidence(spark, d):
     found = r.lexical_search(texts_of(texts(spark, d)), asked(spark, d), 5, fetch=("content_key", "title_key", "author_key"))
-    return found.select(F.col("query_id").alias("case_id"), "rank", "content_key", "title_key", "author_key").persist()
+    return checkpointed(found.select(F.col("query_id").alias("case_id"), "rank", "content_key", "title_key", "author_key"))
 
 
 def gold(spark, d):
@@ -121,8 +121,8 @@ def unknown_reviews_anti(spark, d):
 
 def judge_failures(spark, d):
     """The cases that a calibration of flagged ones takes: judged, and not faithful or not relevant."""
-    rows = judged(spark, d).where("judge_status = 'judged'")
-    return rows.where((e.faithfulness(F.col("supports")) != "supported") | (F.col("relevance") != "relevant")).select("case_id", "category")
+    flagged = (e.faithfulness(F.col("supports")) != "supported") | (F.col("relevance") != "relevant")
+    return e.selected_for_calibration(judged(spark, d), flagged, "failures").select("case_id", "category")
 
 
 QUERIES = {f.__name__: f for f in (gold_first_rank, retrieval_case_results, retrieval_summary, retrieval_summary_grouping_sets, latency_p95_nearest_rank, generation_case_verdict, generation_summary_micro, judge_routing, judge_summary, rank_subset_check, calibration_summary, unknown_reviews_anti, judge_failures)}

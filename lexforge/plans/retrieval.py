@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import retrieval as r
 from ..operators import candidates, postings, selection, vector_index
-from ..sources.tables import fresh_folder, line_chunks, load, questions, ranked, statuses, texts, top, works
+from ..sources.tables import checkpointed, fresh_folder, line_chunks, load, questions, ranked, statuses, texts, top, works
 from .shared import LINES, QUESTIONS, WORKS, folded_content, folded_lookup
 
 
@@ -179,12 +179,11 @@ def match_types_union(spark, d):
 
 
 def content_overlap_rank(spark, d):
+    """Works by how much of a question's longer words their text and title hold, its first such word being the anchor."""
     terms = F.array_distinct(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) >= 6))
-    queries = questions(spark, d).select("query_id", terms.alias("terms")).where("size(terms) > 0")
+    queries = questions(spark, d).select("query_id", terms.alias("terms"), F.slice(terms, 1, 1).alias("anchors"))
     rows = texts(spark, d).select(F.col("id").alias("work_id"), F.lower("content").alias("body"), F.lower("title").alias("head"))
-    score = t.group_score(F.col("body"), F.col("head"), F.col("terms"), F.slice("terms", 1, 1))
-    scored = rows.join(F.broadcast(queries)).withColumn("score", score).where("score > 0")
-    return top(scored, 5, F.desc("score"), F.asc("work_id")).select("query_id", "rank", "work_id", "score")
+    return r.overlap_ranked(rows, queries, 5).select("query_id", "rank", "work_id", "score")
 
 
 def lines_ranked(spark, d):
@@ -205,7 +204,7 @@ def theme_primary_insert(spark, d):
 
 def selected_rows(spark, d):
     """The fused results of the variants with their chunks' columns; the batch runs once."""
-    results = variant_results(spark, d).persist()
+    results = checkpointed(variant_results(spark, d))
     details = results.select("query_id", "chunk_id", "work_id", "title", "granularity", "text").dropDuplicates(["query_id", "chunk_id"])
     return r.expanded(results, 200).join(details, ["query_id", "chunk_id"]).withColumn("line_start", F.lit(None).cast("int"))
 
@@ -224,7 +223,7 @@ def multi_evidence_selector(spark, d):
 
 def parent_context(spark, d):
     """Lines of the works that hits name; only these works are cut into lines again."""
-    found = r.lexical_search(lines_of(texts(spark, d)), asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score").persist()
+    found = checkpointed(r.lexical_search(lines_of(texts(spark, d)), asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score"))
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     return r.context_rows(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
 

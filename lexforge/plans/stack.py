@@ -163,7 +163,7 @@ def strategy_counts(spark, d):
 def online_context(spark, d):
     """Lexical lines with the missing lines of their works."""
     lines = lines_of(texts(spark, d))
-    found = r.lexical_search(lines, asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types").persist()
+    found = checkpointed(r.lexical_search(lines, asked(spark, d), 5).select("query_id", "rank", "chunk_id", "work_id", "score", "match_types"))
     hit = works(spark, d).join(found.select(F.col("work_id").alias("id")).distinct(), "id", "left_semi")
     rows = with_context(found, line_chunks(hit).select(F.col("id").alias("work_id"), "chunk_id", "chunk_index", "text"))
     return rows.select("query_id", "rank", "chunk_id", "score", F.concat_ws(",", "match_types").alias("match_types"))

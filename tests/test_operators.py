@@ -201,6 +201,8 @@ def test_catalogue(spark):
     assert catalog.ancestors(chains, 4).count() == 100_000 * (1 + 2 + 3 + 4 * 7)
     found = {(r.id, r.ancestor_id, r.cycle) for r in catalog.ancestors(nodes).collect()}
     assert {(3, 2, False), (3, 1, False), (8, 8, True)} <= found and len([f for f in found if f[0] == 8]) == 2
+    into = spark.createDataFrame([(4, 1), (1, 2), (2, 3), (3, 1)], "id long, parent_id long")
+    assert sorted((r.ancestor_id, r.hops, r.cycle) for r in catalog.ancestors(into).where("id = 4").collect()) == [(1, 1, False), (2, 2, False), (3, 3, False)]
     page = catalog.page(nodes, 2, 2, F.asc("id")).collect()
     assert [r.id for r in page] == [3, 8] and page[0].total == 5 and page[0].total_pages == 3
 
@@ -218,6 +220,26 @@ def test_evaluation_summaries(spark):
     assert [r[0] for r in sel.select(evaluation.selector_matches({"f": F.col("want")}, {"f": F.col("have")})).collect()] == [True, False, True, False]
 
 
+def test_calibration_needs_a_case(spark):
+    judged = spark.createDataFrame([("a", "judged", False), ("b", "skipped", True)], "case_id string, judge_status string, bad boolean")
+    assert [r.case_id for r in evaluation.selected_for_calibration(judged, F.col("bad"), "all").collect()] == ["a"]
+    for scope in ("failures", "other"):
+        with pytest.raises(ValueError):
+            evaluation.selected_for_calibration(judged, F.col("bad"), scope)
+
+
+def test_overlap_ranking_equals_the_score_of_every_pair(spark):
+    from lexforge.functions import text as t
+
+    random.seed(8)
+    word = lambda: random.choice(["moon", "moonlight", "river", "sun", "sunset", "hill", "illness"])
+    rows = spark.createDataFrame([(i, " ".join(word() for _ in range(random.randint(0, 5))), random.choice([word(), None])) for i in range(60)] + [(99, None, "moon")], "work_id long, body string, head string")
+    queries = spark.createDataFrame([(i, [word() for _ in range(3)] + ["", "sun", "sun"], [word()]) for i in range(9)] + [(20, [], ["hill"]), (21, None, None)], "query_id long, terms array<string>, anchors array<string>")
+    body, head = F.coalesce("body", F.lit("")), F.coalesce("head", F.lit(""))
+    every = rows.crossJoin(queries.where("terms IS NOT NULL")).select("query_id", "work_id", t.group_score(body, head, F.col("terms"), F.col("anchors")).alias("score")).where("score > 0").collect()
+    assert sorted(map(tuple, retrieval.overlap_ranked(rows, queries, 1000).select("query_id", "work_id", "score").collect())) == sorted(map(tuple, every))
+
+
 def test_chat_states(spark):
     rows = [(1, 1, "delta", "ab"), (1, 2, "done", None), (1, 3, "error", None), (1, 4, "delta", "late"), (2, 1, "delta", "x"), (3, 1, "cancelled", None)]
     found = {r.stream_id: (r.status, r.n_deltas) for r in chat.final_states(spark.createDataFrame(rows, "stream_id long, seq long, kind string, payload string")).collect()}

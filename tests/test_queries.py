@@ -45,9 +45,9 @@ def plan(df):
 
 def test_plan_shapes(spark):
     q = __spark_entry__.queries()
-    for name in ("lexical_top5_lines", "lexical_scored", "expanded_search_lexical"):
+    for name in ("lexical_top5_lines", "lexical_scored", "expanded_search_lexical", "content_overlap_rank"):
         shape = plan(q[name](spark, FOLDER))
-        assert "WindowGroupLimit" in shape or name == "expanded_search_lexical"
+        assert "WindowGroupLimit" in shape or name in ("expanded_search_lexical",)
         assert "NestedLoop" not in shape and "Cartesian" not in shape
     assert "TakeOrderedAndProject" in plan(q["conversations_recent"](spark, FOLDER))
     assert "LeftSemi" in plan(q["batch_key_lookup_semi"](spark, FOLDER))

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 #: Letters of the runs that are looked up; shorter keys are looked up whole.
 ANCHOR = 8
 #: Letters of texts that are hashed together, and bytes of keys that are broadcast together.
-LETTERS, KEY_BYTES = 1 << 20, 16 << 20
+LETTERS, KEY_BYTES = 1 << 18, 16 << 20
 BASE = 0x9E3779B97F4A7C15
 BITS = 20
+#: Bytes of rows that are worked on together.
+ROW_BYTES = 4 << 20
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +153,19 @@ def matched(rows: DataFrame, queries: DataFrame, searched: list[tuple[str, str]]
     return out
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ROW_BYTES at most."""
+    for batch in batches:
+        step = max(1, batch.num_rows * ROW_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def matching(shared, columns: list[str], keys: list[str], searched: list[tuple[str, str]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
         known = {k: Literals([x or "" for x in asked.column(k).to_pylist()]) for k in keys}
-        for batch in batches:
+        for batch in bounded(batches):
             pairs = [np.zeros(0, np.int64)]
             for column, key in searched:
                 coded = batch.column(columns.index(column)).dictionary_encode()

@@ -6,9 +6,10 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 STRONG, WEAK = "。！？!?；;", "，,、"
@@ -29,20 +30,20 @@ def content_key(text: str | None) -> str:
     return _GAPS.sub("", unicodedata.normalize("NFKC", text or "").casefold())
 
 
-@F.pandas_udf(StringType())
-def normalize_lookup_full(text: pd.Series) -> pd.Series:
-    return text.map(lookup_key, na_action="ignore")
+@F.arrow_udf("string")
+def normalize_lookup_full(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else lookup_key(t) for t in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def normalize_content_full(text: pd.Series) -> pd.Series:
-    return text.map(content_key, na_action="ignore")
+@F.arrow_udf("string")
+def normalize_content_full(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else content_key(t) for t in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def lookup_forms(texts: pd.Series) -> pd.Series:
+@F.arrow_udf("array<string>")
+def lookup_forms(texts: pa.Array) -> pa.Array:
     """The lookup forms of the texts of an array."""
-    return texts.map(lambda values: [lookup_key(v) for v in values], na_action="ignore")
+    return pa.array([None if values is None else [lookup_key(v) for v in values] for values in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def is_plain(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 STRONG, WEAK = "。！？!?；;", "，,、"
@@ -30,17 +30,17 @@ def content_key(text: str | None) -> str:
     return _GAPS.sub("", unicodedata.normalize("NFKC", text or "").casefold())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def normalize_lookup_full(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else lookup_key(t) for t in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def normalize_content_full(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else content_key(t) for t in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def lookup_forms(texts: pa.Array) -> pa.Array:
     """The lookup forms of the texts of an array."""
     return pa.array([None if values is None else [lookup_key(v) for v in values] for values in texts.to_pylist()], pa.list_(pa.string()))

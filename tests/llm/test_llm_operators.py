@@ -244,7 +244,7 @@ def test_embedding_groups(spark, block, list_rows):
                 if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
                     near[i].append(j)
     label = components(range(len(rows)), near)
-    got = {r.vec_id: r for r in embedding_dedup.embedding_groups(frame, block=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.embedding_groups(frame, block=block, list_rows=list_rows).collect()}
     assert len(got) == len(rows)
     assert all((r.n_links, r.component_id, r.kept) == (len(near[i]), label[i], label[i] == i) for i, r in got.items())
     assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0

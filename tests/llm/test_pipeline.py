@@ -48,7 +48,7 @@ def test_stages(spark, corpus):
 
 
 def test_query_names():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES if k != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES if k != "pipeline"}
 
 
 def test_stages_take_nulls_repeats_clashing_columns_and_empty_tables(spark, corpus):

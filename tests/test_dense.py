@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.operators import dense, retrieval, vector_index
+from lexforge.functions import text
+from lexforge.operators import dense, vector_index
 
 NAN, INF = float("nan"), float("inf")
 #: Vectors that no search compares, and a zero vector, which only the cosine leaves out.
@@ -120,7 +121,7 @@ def test_hybrid_search_takes_an_index(spark, tmp_path):
 
     rows = [(i, v.tolist(), None) for i, v in enumerate(clustered(200, 8), 1)]
     chunks = spark.createDataFrame([(i, i, "line", f"text {i}", "t", None, None) for i in range(1, 201)], "chunk_id long, work_id long, granularity string, text string, title string, author string, dynasty string")
-    chunks = chunks.withColumn("content_key", retrieval.normalize_content(F.col("text"))).withColumns({f"{c}_key": retrieval.normalize_lookup(F.col(c)) for c in ("title", "author", "dynasty")})
+    chunks = chunks.withColumn("content_key", text.content_form(F.col("text"))).withColumns({f"{c}_key": text.lookup_form(F.col(c)) for c in ("title", "author", "dynasty")})
     queries = spark.createDataFrame([(1, "text 17", rows[3][1]), (2, "nothing", rows[9][1])], "query_id long, question string, embedding array<double>")
     index = vector_index.build_index(frame(spark, rows), str(tmp_path / "i"))
     for strategy in ("dense", "hybrid"):

@@ -46,6 +46,26 @@ def lookup_forms(texts: pa.Array) -> pa.Array:
     return pa.array([None if values is None else [lookup_key(v) for v in values] for values in texts.to_pylist()], pa.list_(pa.string()))
 
 
+#: White space of all kinds, as strip() takes it off.
+SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+
+
+def required_text(value: Column, line: Column, *path: str) -> tuple[Column, Column]:
+    """(text, error) of a field of a variant under a path of keys: the stripped text, or why there is none, with the number of the line.
+
+    On the way every key has to hold an object, the last one a text that is not blank. Keys hold no double quote.
+    """
+    at = lambda n: "$" + "".join(f'["{k}"]' for k in path[:n])
+    kind = lambda n: F.coalesce(F.schema_of_variant(F.try_variant_get(value, at(n), "variant")), F.lit(""))
+    missing = lambda what: F.concat(F.lit("line "), line.cast("string"), F.lit(f": missing {what}"))
+    text = F.trim(F.when(kind(len(path)) == "STRING", F.try_variant_get(value, at(len(path)), "string")), F.lit(SPACES))
+    found = F.length(text) > 0
+    error = F.when(~F.coalesce(found, F.lit(False)), missing(".".join(path)))
+    for n in range(len(path) - 1, 0, -1):
+        error = F.when(~F.startswith(kind(n), F.lit("OBJECT")), missing(".".join(path[:n]) + " object")).otherwise(error)
+    return F.when(error.isNull(), text), error
+
+
 def is_plain(text: Column) -> Column:
     """Whether a text is ASCII, of as many bytes as letters: NFKC leaves it alone and folding is the lower case."""
     return F.octet_length(text) == F.length(text)

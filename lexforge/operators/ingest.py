@@ -216,3 +216,20 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataF
 def upserted(store: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """The store without the rows of points' keys, and points."""
     return store.join(points, key, "left_anti").unionByName(points)
+
+
+def seeded(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """stored with each row of wanted as it should be, and action: created, repaired, kept, or own (no row of the seed).
+
+    wanted has some of the columns of stored; a created row's others are null, a repaired row's stay. Rows without a key are
+    the table's own, in wanted they are left out. Seeding again keeps all. Keys of both sides occur once.
+    """
+    columns = [c for c in wanted.columns if c != key]
+    seed = wanted.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), *(F.col(c).alias(f"__new_{c}") for c in columns), F.lit(True).alias("__seed"))
+    rows = stored.withColumn("__held", F.lit(True)).join(seed, F.col(key) == F.col("__key"), "full")
+    drift = F.lit(False)
+    for c in columns:
+        drift = drift | ~F.col(c).eqNullSafe(F.col(f"__new_{c}"))
+    action = F.when(F.col("__seed").isNull(), "own").when(F.col("__held").isNull(), "created").when(drift, "repaired").otherwise("kept")
+    value = lambda c: F.coalesce(key, "__key").alias(c) if c == key else F.when(F.col("__seed"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+    return rows.select(*map(value, stored.columns), action.alias("action"))

@@ -25,6 +25,14 @@ def shards_read(spark, d):
     return rows.select("record.doc_id", "record.lang", F.sha2("record.text", 256).alias("text_sha256"), same.alias("same_line"))
 
 
+def shard_trees(spark, d):
+    """The hash trees of the documents' shards: how many lines and bytes they cover, and trees whose root a line's change would not show."""
+    path = folder(spark)
+    load(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang")).alias("value")).write.text(path)
+    trees = ndjson.shard_trees(spark, spark.read.text(path).inputFiles())
+    return trees.agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), (F.count("*") - F.countDistinct("root")).alias("same_roots"))
+
+
 def report_read(spark, d):
     """A report of market segments as a table with six decimals, written and read again."""
     path = folder(spark)
@@ -81,10 +89,11 @@ def chunks_indexed_again(spark, d):
     return after.join(stored, "chunk_id", "left").select("chunk_id", "status", F.coalesce("points", F.lit(0)).cast("long").alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (shards_read, report_read, reviews_read, store_points, chunks_indexed, chunks_indexed_again)}
+QUERIES = {f.__name__: f for f in (shards_read, shard_trees, report_read, reviews_read, store_points, chunks_indexed, chunks_indexed_again)}
 
 ORACLES = {
     "shards_read": "SELECT doc_id, lang, sha256(text) AS text_sha256, true AS same_line FROM documents",
+    "shard_trees": """SELECT count(*) AS lines, CAST(sum(strlen(CASE WHEN lang IS NULL THEN '{"doc_id":' || doc_id || '}' ELSE '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' END) + 1) AS BIGINT) AS bytes, 0::BIGINT AS same_roots FROM documents""",
     "report_read": "SELECT '| ' || c_mktsegment || ' | ' || printf('%.6f', round(avg(CASE WHEN c_acctbal > 0 THEN c_custkey END), 6)) || ' | n/a | ' || count(*) || ' |' AS line FROM customer GROUP BY c_mktsegment",
     "reviews_read": "SELECT 'case-' || event_id AS case_id, event_type AS category, CAST(event_id % 3 AS INT) AS relevance_0_2, CAST(event_id % 2 + 1 AS INT) AS faithfulness_0_2 FROM events WHERE event_type <> 'error'",
     "store_points": "SELECT CAST(vec_id AS VARCHAR) AS id, round(CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::FLOAT::DOUBLE, 5) AS first, CAST(label AS VARCHAR) AS label FROM embeddings WHERE vec_id % 5 <> 0",

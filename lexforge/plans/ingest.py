@@ -119,6 +119,14 @@ def get_or_create_dim(spark, d):
     return ingest.with_keys(names, known, "name", "id")
 
 
+def seed_repaired(spark, d):
+    """Suppliers seeded again after rows were lost, fields had drifted and rows of the table's own had come."""
+    suppliers = load(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    drifted = suppliers.where("s_suppkey % 7 > 0").withColumns({"s_name": F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")), "s_nationkey": F.col("s_nationkey") + F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)})
+    own = suppliers.where("s_suppkey % 11 = 0").withColumn("s_suppkey", -1 - F.col("s_suppkey"))
+    return ingest.seeded(drifted.union(own), suppliers.select("s_suppkey", "s_name"), "s_suppkey")
+
+
 def bulk_case_update(spark, d):
     changes = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.lit("CHANGED").alias("c_mktsegment")).distinct()
     return ingest.updated(load(spark, d, "customer").select("c_custkey", "c_mktsegment"), changes, "c_custkey", "c_mktsegment")
@@ -148,7 +156,7 @@ def annotation_completeness(spark, d):
     return load(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), filled(F.col("text")).alias("with_text"), filled(F.when(F.length("text") > 100, F.col("text"))).alias("with_long_text"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_first_wins, stratified_quotas, stratified_sample, conversion_pipeline, candidate_reasons, import_classify, import_report, import_applied, import_stored, chunks_rebuilt, chunks_rebuilt_stored, unchanged_multiset_compare, current_version, lifecycle_transitions, get_or_create_dim, bulk_case_update, vector_upsert, visibility_current_version, annotation_completeness)}
+QUERIES = {f.__name__: f for f in (seed_repaired, dedupe_first_wins, stratified_quotas, stratified_sample, conversion_pipeline, candidate_reasons, import_classify, import_report, import_applied, import_stored, chunks_rebuilt, chunks_rebuilt_stored, unchanged_multiset_compare, current_version, lifecycle_transitions, get_or_create_dim, bulk_case_update, vector_upsert, visibility_current_version, annotation_completeness)}
 
 BUCKETED = "bucketed AS (SELECT id, dynasty, title, content, CASE WHEN length(content) < 600 THEN 'short' WHEN length(content) <= 2000 THEN 'medium' ELSE 'long' END AS bucket FROM works)"
 
@@ -174,6 +182,8 @@ IMPORTED = f"""{CLASSIFIED}, now AS (SELECT id, CASE WHEN length(content) > 1500
           CASE WHEN n.result = 'failed' THEN 'failed' ELSE 'unchanged' END AS result FROM works w JOIN now n ON n.id = w.id LEFT JOIN cur c ON c.id = w.id WHERE NOT (n.result = 'failed' AND c.id IS NULL)"""
 
 ORACLES = {
+    "seed_repaired": """SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 > 0 THEN CAST(s_nationkey AS BIGINT) + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END END AS s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN 'created' WHEN s_suppkey % 5 = 0 THEN 'repaired' ELSE 'kept' END AS action FROM supplier
+      UNION ALL SELECT -1 - s_suppkey, s_name, CAST(s_nationkey AS BIGINT), 'own' FROM supplier WHERE s_suppkey % 11 = 0""",
     "import_applied": IMPORTED,
     "import_stored": IMPORTED,
     "chunks_rebuilt_stored": f"WITH {WORKS}, {LINES}, c AS (SELECT CAST(work_id % 16 AS INT) AS version_id, CASE WHEN work_id % 16 % 5 = 0 THEN '* ' || text ELSE text END AS text FROM lines) SELECT version_id, count(*) AS chunks, count(*) FILTER (starts_with(text, '* ')) AS marked, CAST(sum(length(text)) AS BIGINT) AS letters FROM c GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as t
 from ..operators import chunking
 from ..sources import sse
@@ -81,6 +82,22 @@ def props_json_fields(spark, d):
     return parsed.select("event_id", F.get_json_object("line", "$.k").alias("k"), "error", F.when(F.get_json_object("line", "$.k").isNull(), "missing k").alias("missing"))
 
 
+def nested_fields(spark, d):
+    """A nested and a plain required field of JSON records, with the line in the error where one is missing."""
+    kind = F.col("event_type")
+    inner = F.when(kind == "click", '{"$oid":7}').when(kind == "view", '"x"').when(kind == "error", '{"$oid":" \\t "}').when(kind == "signup", F.concat(F.lit('{"$oid":" e'), F.col("event_id").cast("string"), F.lit('\\n"}'))).otherwise(F.concat(F.lit('{"$oid":"'), F.col("event_id").cast("string"), F.lit('","n":{}}')))
+    record = F.concat(F.lit('{"_id":'), inner, F.when(F.col("user_id") % 3 == 0, ',"name":null').otherwise(F.concat(F.lit(',"name":"'), kind, F.lit(' "'))), F.lit(',"props":'), F.col("props"), F.lit("}"))
+    value, line = F.try_parse_json(record), F.col("event_id") + 1
+    (source, bad), (name, none) = t.required_text(value, line, "_id", "$oid"), t.required_text(value, line, "name")
+    return load(spark, d, "events").select("event_id", source.alias("source_id"), name.alias("name"), F.coalesce(bad, none).alias("error"))
+
+
+def line_ranges_lateral(spark, d):
+    """Ranges of three lines of each document by a table function in a lateral join."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, range_no, first_line, last_line, sha2(r.text, 256) AS text_sha256 FROM {docs} d, LATERAL line_ranges(d.text, 3) r", docs=load(spark, d, "documents").select("doc_id", "text"))
+
+
 def text_previews(spark, d):
     return load(spark, d, "documents").select("doc_id", t.preview(F.col("text")).alias("preview"))
 
@@ -136,12 +153,19 @@ def natural_shard_order(spark, d):
     return names.select("author", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("source_index"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_content_native, normalize_full, content_sha256, length_buckets, line_chunk_rows, paragraph_islands, verse_heuristic, citation_markers, ngram_terms, literal_extract, stripped_terms, name_mapping_default, props_json_fields, text_previews, poem_chunks, vector_ids, redacted_props, sse_encode, sse_parse, canonical_snapshot, fixed_report_lines, primary_flags, natural_shard_order)}
+QUERIES = {f.__name__: f for f in (nested_fields, line_ranges_lateral, normalize_content_native, normalize_full, content_sha256, length_buckets, line_chunk_rows, paragraph_islands, verse_heuristic, citation_markers, ngram_terms, literal_extract, stripped_terms, name_mapping_default, props_json_fields, text_previews, poem_chunks, vector_ids, redacted_props, sse_encode, sse_parse, canonical_snapshot, fixed_report_lines, primary_flags, natural_shard_order)}
 
 GRAMS = """list_distinct(list_concat(CASE WHEN len(r) BETWEEN 2 AND 4 THEN [r] ELSE [] END,
   list_transform(range(1, greatest(len(r), 1)), lambda i: substr(r, CAST(i AS BIGINT), 2)), list_transform(range(1, greatest(len(r) - 1, 1)), lambda i: substr(r, CAST(i AS BIGINT), 3))))"""
 
 ORACLES = {
+    "nested_fields": r"""WITH r AS (SELECT *, '{"_id":' || CASE event_type WHEN 'click' THEN '{"$oid":7}' WHEN 'view' THEN '"x"' WHEN 'error' THEN '{"$oid":" \t "}' WHEN 'signup' THEN '{"$oid":" e' || event_id || '\n"}' ELSE '{"$oid":"' || event_id || '","n":{}}' END
+        || CASE WHEN user_id % 3 = 0 THEN ',"name":null' ELSE ',"name":"' || event_type || ' "' END || ',"props":' || props || '}' AS j FROM events),
+      f AS (SELECT event_id, CASE WHEN json_type(j, '$._id') = 'OBJECT' THEN nullif(trim(CASE WHEN json_type(j, '$._id."$oid"') = 'VARCHAR' THEN json_extract_string(j, '$._id."$oid"') END, ' ' || chr(9) || chr(10)), '') END AS source_id,
+        nullif(trim(CASE WHEN json_type(j, '$.name') = 'VARCHAR' THEN json_extract_string(j, '$.name') END), '') AS name, json_type(j, '$._id') <> 'OBJECT' AS flat FROM r)
+      SELECT event_id, source_id, name, CASE WHEN flat THEN 'line ' || (event_id + 1) || ': missing _id object' WHEN source_id IS NULL THEN 'line ' || (event_id + 1) || ': missing _id.$oid' WHEN name IS NULL THEN 'line ' || (event_id + 1) || ': missing name' END AS error FROM f""",
+    "line_ranges_lateral": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, a, unnest(range(0, (len(a) + 2) // 3)) AS range_no FROM l)
+      SELECT doc_id, range_no, range_no * 3 + 1 AS first_line, least(range_no * 3 + 3, len(a)) AS last_line, sha256(array_to_string(a[range_no * 3 + 1 : range_no * 3 + 3], chr(10))) AS text_sha256 FROM r""",
     "vector_ids": f"""WITH {WORKS}, {LINES}, h AS (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(work_id || ':line:structural_v1:' || chunk_index || ':' || sha256(text))) AS h FROM lines)
       SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS vector_id FROM h""",
     "normalize_content_native": f"SELECT doc_id, {content_key('text')} AS key FROM documents",

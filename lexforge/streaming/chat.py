@@ -138,6 +138,26 @@ def prompt(system: str, history: Column, evidence: Column, question: Column) ->
     return F.concat(F.array(message("system", F.lit(system))), F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), F.array(message("user", ask)))
 
 
+def judge_messages(system: str, question: Column, answer: Column, citations: Column, most_each: int = 2500, most: int = 12_000) -> Column:
+    """Messages (role, content) to a model that judges an answer: system, and question, answer and cited evidence as compact JSON.
+
+    citations: an array of (rank, title, author_name, dynasty_name, text) in order. Each text is cut to most_each letters, and all together to
+    most: the one in which this is reached is the last that is given. Fields without a value are null.
+    """
+    kind = "struct<left:int,given:array<struct<rank:bigint,title:string,author_name:string,dynasty_name:string,text:string>>>"
+    start = F.struct(F.lit(most).alias("left"), F.array().alias("given")).cast(kind)
+
+    def give(held: Column, c: Column) -> Column:
+        text = F.substring(F.coalesce(c["text"], F.lit("")), F.lit(1), F.least(F.lit(most_each), held["left"]))
+        row = F.struct(c["rank"].cast("bigint").alias("rank"), *(c[n].alias(n) for n in ("title", "author_name", "dynasty_name")), text.alias("text"))
+        more = F.struct((held["left"] - F.length(text)).alias("left"), F.array_append(held["given"], row).alias("given")).cast(kind)
+        return F.when(held["left"] > 0, more).otherwise(held)
+
+    given = F.aggregate(F.coalesce(citations, F.array()), start, give)["given"]
+    payload = F.to_json(F.struct(question.alias("question"), answer.alias("answer"), given.alias("citations")), {"ignoreNullFields": "false"})
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), payload.alias("content")))
+
+
 @contextmanager
 def stateful(spark: SparkSession, until_read: bool = False):
     """Settings that stateful streams need while they are started: a state store that holds timers and lifetimes.

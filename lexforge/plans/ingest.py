@@ -45,7 +45,7 @@ def candidate_reasons(spark, d):
 def staged_and_current(spark, d):
     rows = works(spark, d)
     staged = rows.select("id", "title", F.col("content"), "author", F.lit(True).alias("publish"))
-    current = rows.where("status <> 'draft'").select("id", "title", F.when(F.col("deleted"), F.upper("content")).otherwise(F.col("content")).alias("content"), F.when(F.col("author") != "src3", F.col("author")).alias("author"), "status")
+    current = rows.where("status <> 'draft'").select("id", "title", F.when(F.col("deleted"), t.upper_by_letter(F.col("content"))).otherwise(F.col("content")).alias("content"), F.when(F.col("author") != "src3", F.col("author")).alias("author"), "status")
     return staged, current
 
 

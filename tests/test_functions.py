@@ -133,3 +133,16 @@ def test_search_forms_equal_the_full_forms_for_every_code_point(spark):
     assert rows["p"].sum() > 120
     nothing = spark.createDataFrame([(None,)], "t string").select(t.lookup_form(F.col("t")), t.content_form(F.col("t"))).first()
     assert tuple(nothing) == (None, None)
+
+
+def test_upper_by_letter(spark):
+    """One letter for one, as the SQL twins' upper() has it; letters of the newest Unicode versions may be unknown to either."""
+    import duckdb
+
+    assert one(spark, t.upper_by_letter(F.col("x")), x="Straße ŉ ﬁ ᾀ é z") == "STRAẞE ŉ ﬁ ᾈ É Z"
+    letters = [chr(i) for i in range(1, 0x10D50) if not 0xD800 <= i < 0xE000]
+    pairs = spark.createDataFrame([(c,) for c in letters], "c string").select("c", t.upper_by_letter(F.col("c")).alias("u")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE letters AS SELECT unnest(?) AS c", [letters])
+    sql = dict(con.execute("SELECT c, upper(c) FROM letters").fetchall())
+    assert [(r.c, r.u, sql[r.c]) for r in pairs if r.u != sql[r.c]] == []

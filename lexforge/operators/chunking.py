@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STRONG, WEAK, content_key
+from .literal import bounded
 
 BLANK_LINE = re.compile(r"\n\s*\n+")
 MOST = {"poem": 480, "line": 200, "note": 800}
@@ -78,22 +79,27 @@ def drafts(content: str | None, notes: list[dict] | None, most: dict[str, int] =
     return [(g, i, t, content_key(t), hashlib.sha256(t.encode()).hexdigest(), a, b, note) for g, found in rows.items() for i, (t, a, b, note) in enumerate(found)]
 
 
-def chunk_texts(rows: DataFrame, key: str = "id", content: str = "content", notes: str | None = None, most: dict[str, int] | None = None) -> DataFrame:
-    """key and the chunk columns of every text; notes is an array<struct<annotation_id,content,line_start,line_end>> column."""
-    limits = {**MOST, **(most or {})}
-    if min(limits.values()) < 1:
-        raise ValueError("chunk limits must be positive")
+def drafting(key: str, limits: dict[str, int]):
+    """A function over batches (key, text, notes) that gives the key and chunk columns of slices of a bounded size."""
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             made = [(i, row) for i, (text, extra) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) for row in drafts(text, extra, limits)]
             columns = [pa.array([row[j] for _, row in made], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in made], pa.int64())), *columns], [key, *names])
 
+    return run
+
+
+def chunk_texts(rows: DataFrame, key: str = "id", content: str = "content", notes: str | None = None, most: dict[str, int] | None = None) -> DataFrame:
+    """key and the chunk columns of every text; notes is an array<struct<annotation_id,content,line_start,line_end>> column."""
+    limits = {**MOST, **(most or {})}
+    if min(limits.values()) < 1:
+        raise ValueError("chunk limits must be positive")
     extra = F.col(notes) if notes else F.lit(None).cast("array<struct<annotation_id:long,content:string,line_start:int,line_end:int>>")
-    return rows.select(key, content, extra.alias("notes")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return rows.select(key, content, extra.alias("notes")).mapInArrow(drafting(key, limits), f"{key} {rows.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
 def islands(lines: DataFrame, by: str, order: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Table functions for lateral joins in SQL. Rows go to and from the workers in Arrow batches; a lateral join takes no functions of whole Arrow arrays."""
+"""Table functions for lateral joins in SQL. Texts go to and from the workers a hundred rows at a time: Arrow batches hold thousands, and a lateral join takes no functions of whole Arrow arrays."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
-@F.udtf(returnType="range_no bigint, first_line bigint, last_line bigint, text string", useArrow=True)
+@F.udtf(returnType="range_no bigint, first_line bigint, last_line bigint, text string", useArrow=False)
 class LineRanges:
     """Runs of size lines of a text, the last of what is left: number, first and last line (from 1) and their text.
 
